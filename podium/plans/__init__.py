@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("leaderboards",)
+MODULES = ("leaderboards", "scalars")
 
 
 def load() -> None:

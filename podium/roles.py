@@ -56,9 +56,9 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "CASE c_mktsegment WHEN 'MACHINERY' THEN 'tns' WHEN 'BUILDING' THEN 'championship' ELSE 'trophy' END "
             "AS event_type",
             "CASE WHEN c_custkey % 23 = 0 THEN 'Ladies ' WHEN c_custkey % 29 = 0 THEN 'Laser Regatta ' ELSE '' END || "
-            "'Cup ' || CAST(floor(c_custkey / 4) AS STRING) || CASE c_custkey % 4 WHEN 1 THEN ' Overall' "
+            "'Cup ' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) || CASE c_custkey % 4 WHEN 1 THEN ' Overall' "
             "WHEN 2 THEN ' A&B' WHEN 3 THEN ' ??' ELSE '' END AS event_name",
-            "'results/cup-' || CAST(floor(c_custkey / 4) AS STRING) || CASE c_custkey % 4 WHEN 1 THEN '_overall.htm' "
+            "'results/cup-' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) || CASE c_custkey % 4 WHEN 1 THEN '_overall.htm' "
             "WHEN 2 THEN '_ab.htm' WHEN 3 THEN '_2.htm' ELSE '.htm' END AS source_file",
             "CASE c_custkey % 6 WHEN 0 THEN 'may' WHEN 1 THEN 'june' WHEN 2 THEN 'july' WHEN 3 THEN 'august' "
             "WHEN 4 THEN 'september' END AS series_month",
