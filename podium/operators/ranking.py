@@ -35,11 +35,13 @@ def rank_within(
     out: str = "rank",
     hot_rows: int = 2_000_000,
     hot: list[int] | None = None,
+    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """1..n per group ordered by numeric ``lead`` (not null), then ``ties``.
 
     Without hot groups this is a plain ``row_number``. A hot group is cut into value ranges of ``lead``; each
-    range is numbered on its own and shifted by the exact row count of the ranges before it.
+    range is numbered on its own and shifted by the exact row count of the ranges before it. ``hot`` may be handed
+    in when it is known already; ``hot_on`` then names the columns it was found on.
     """
     group = list(group)
     order = [F.col(lead).desc() if descending else F.col(lead).asc(), *ties]
@@ -49,7 +51,7 @@ def rank_within(
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
     spark = df.sparkSession
-    hashed = df.withColumn("_h", F.xxhash64(*group))
+    hashed = df.withColumn("_h", F.xxhash64(*(hot_on or group)))
     keys = F.broadcast(spark.createDataFrame([(h,) for h in hot], "_h long"))
     steps = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     # at most MAX_HOT x CUTS doubles; fixed here once so that every later use sees the same ranges

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("leaderboards", "scalars")
+MODULES = ("leaderboards", "scalars", "events", "rescoring", "enrichment")
 
 
 def load() -> None:

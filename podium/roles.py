@@ -75,14 +75,55 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN s_suppkey % 10 = 9 THEN NULL ELSE 'Owner ' || CAST(s_nationkey AS STRING) END AS owner",
         ],
     ),
-    # entity-owner tenure; both ends may be open
+    # entity-owner tenure, several per entity; both ends may be open
     "tenures": (
-        "supplier",
+        "customer",
         [
-            "s_suppkey AS entity_id",
-            "'Owner ' || CAST(s_nationkey AS STRING) AS owner",
-            "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(1994 + s_suppkey % 5 AS INT) END AS start_period",
-            "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(1996 + s_suppkey % 6 AS INT) END AS end_period",
+            "c_custkey AS tenure_id",
+            "CAST(floor(c_custkey / 15) AS BIGINT) AS entity_id",
+            "'Owner ' || CAST(c_nationkey AS STRING) AS owner",
+            "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(1994 + c_custkey % 7 AS INT) END AS start_period",
+            "CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE CAST(1994 + c_custkey % 7 + c_nationkey % 2 AS INT) END "
+            "AS end_period",
+        ],
+    ),
+    # handicap factors of a boat in thousandths, by wind band; null where the boat has no certificate
+    "ratings": (
+        "part",
+        [
+            "p_partkey AS boat_id",
+            "p_brand AS class",
+            "CASE WHEN p_size % 5 <> 0 THEN 880 + p_size * 4 END AS tot_low",
+            "CASE WHEN p_size % 5 <> 0 THEN CAST(900 + p_partkey % 60 * 3 AS INT) END AS tot_medium",
+            "CASE WHEN p_size % 5 <> 0 THEN CAST(1080 - p_size * 3 + p_partkey % 40 AS INT) END AS tot_high",
+            "CAST(500 + p_size AS INT) AS tod",
+        ],
+    ),
+    # certificates on file and the register that says whose they are
+    "certificates": (
+        "part",
+        [
+            "CASE WHEN p_size % 7 <> 0 THEN 'C' || CAST(p_partkey AS STRING) END AS cert_ref",
+            "CAST(900 + p_size * 4 AS INT) AS tot",
+        ],
+    ),
+    "cert_register": (
+        "part",
+        [
+            "p_partkey AS reg_no",
+            "p_name || ' ' || CAST(p_partkey % 50 AS STRING) AS name",
+            "CAST(20000 + p_partkey % 900 AS STRING) AS sail",
+            "p_type || '-' || p_brand AS class",
+            "CASE WHEN p_size % 3 = 0 THEN 'C' || CAST(p_partkey AS STRING) END AS cert_ref",
+        ],
+    ),
+    "cert_wanted": (
+        "part",
+        [
+            "p_partkey AS boat_id",
+            "p_name || ' ' || CAST(CASE WHEN p_size < 20 THEN p_partkey % 50 ELSE p_partkey % 97 END AS STRING) AS name",
+            "CAST(20000 + p_partkey % 900 AS STRING) AS sail",
+            "lower(p_type) || ' ' || p_brand AS class",
         ],
     ),
     # noisy entity register: names, identifiers and classes as typed by hand
