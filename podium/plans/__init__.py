@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("leaderboards", "scalars", "events", "rescoring", "enrichment")
+MODULES = ("leaderboards", "scalars", "events", "rescoring", "enrichment", "identity", "pages")
 
 
 def load() -> None:

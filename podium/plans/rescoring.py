@@ -188,7 +188,7 @@ BIAS_COLS = ", ".join(
 @query("A35_bias_by_class_and_band", f"WITH {BOTH} SELECT class, {BIAS_COLS} FROM br GROUP BY 1")
 def _(t):
     shift = (C("new_rank") - C("old_rank")).cast("long")
-    sums = [F.count("*").alias("n"), F.sum(shift).alias("s")]
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(shift).alias("s")]
     wide = ranks(t).groupBy("class").pivot("band", list(rs.BANDS)).agg(*sums).fillna(0, [f"{b}_n" for b in rs.BANDS])
     return wide.select(
         "class",

@@ -112,7 +112,7 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
         [
             "p_partkey AS reg_no",
             "p_name || ' ' || CAST(p_partkey % 50 AS STRING) AS name",
-            "CAST(20000 + p_partkey % 900 AS STRING) AS sail",
+            "CAST(20000 + CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS sail",
             "p_type || '-' || p_brand AS class",
             "CASE WHEN p_size % 3 = 0 THEN 'C' || CAST(p_partkey AS STRING) END AS cert_ref",
         ],
@@ -122,7 +122,7 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
         [
             "p_partkey AS boat_id",
             "p_name || ' ' || CAST(CASE WHEN p_size < 20 THEN p_partkey % 50 ELSE p_partkey % 97 END AS STRING) AS name",
-            "CAST(20000 + p_partkey % 900 AS STRING) AS sail",
+            "CAST(20000 + CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS sail",
             "lower(p_type) || ' ' || p_brand AS class",
         ],
     ),
@@ -133,12 +133,12 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "p_partkey AS boat_id",
             "CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || p_name || ' **' "
             "WHEN 2 THEN replace(p_name, ' ', '   ') WHEN 3 THEN p_name || ' ??' "
-            "WHEN 4 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Sail ' || CAST(20000 + p_partkey % 900 AS STRING) ELSE "
+            "WHEN 4 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Sail ' || CAST(20000 + CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) ELSE "
             "p_name || '''s' END WHEN 5 THEN replace(p_name, ' ', ' & ') ELSE p_name END AS name",
             "CASE p_partkey % 9 WHEN 0 THEN '???' WHEN 1 THEN NULL WHEN 2 THEN '0' "
-            "WHEN 3 THEN '# ' || CAST(20000 + p_partkey % 900 AS STRING) "
+            "WHEN 3 THEN '# ' || CAST(20000 + CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) "
             "WHEN 4 THEN 'can ' || CAST(100 + p_size AS STRING) WHEN 5 THEN 'X' || CAST(p_size % 10 AS STRING) || 'X' "
-            "ELSE CAST(20000 + p_partkey % 900 AS STRING) END AS sail",
+            "ELSE CAST(20000 + CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) END AS sail",
             "CASE CAST(substr(p_brand, 7) AS INT) % 9 WHEN 0 THEN 'J' || substr(p_brand, 7) "
             "WHEN 1 THEN 'j/' || substr(p_brand, 7) || ' ib' WHEN 2 THEN 'C & C ' || substr(p_brand, 7) "
             "WHEN 3 THEN 'A' || CAST(p_size % 5 AS STRING) || '/' || CAST(p_size AS STRING) WHEN 4 THEN 'e22' "
@@ -147,6 +147,38 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "CAST(1995 + p_size % 7 AS INT) AS first_period",
         ],
     ),
+    # entries of another results archive, and our own boats to be matched with them
+    "outside_entries": (
+        "part",
+        [
+            "p_partkey AS entry_id",
+            "CAST(1995 + p_size % 7 AS INT) AS period",
+            "p_name || ' ' || CAST(p_partkey % 40 AS STRING) AS name",
+            "CASE WHEN p_partkey % 5 = 0 THEN 'CAN ' ELSE '' END || CAST(300 + p_partkey % 700 AS STRING) AS sail",
+            "p_type AS type",
+            "CASE p_partkey % 3 WHEN 0 THEN 'BOB SMITH ' WHEN 1 THEN 'Robert Smith ' ELSE 'bob  smith ' END "
+            "|| CAST(p_size % 4 AS STRING) AS skipper",
+        ],
+    ),
+    "own_boats": (
+        "part",
+        [
+            "p_partkey AS boat_id",
+            "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ' ' || CAST(p_partkey % 60 AS STRING) "
+            "WHEN 1 THEN replace(p_name, ' ', '-') || CAST(p_partkey % 60 AS STRING) "
+            "ELSE 'Unseen ' || CAST(p_partkey AS STRING) END AS name",
+            "CASE WHEN p_partkey % 9 = 0 THEN '999' ELSE CAST(250 + p_partkey % 800 AS STRING) END AS sail",
+            "CASE WHEN p_size % 3 > 0 THEN lower(p_type) ELSE '' END AS class",
+        ],
+    ),
+    "registry": (
+        "part",
+        [
+            "p_partkey AS reg_no",
+            "CASE WHEN p_partkey % 2 = 0 THEN 'Unseen ' || CAST(p_partkey AS STRING) ELSE p_name END AS name",
+            "CASE WHEN p_size % 2 = 0 THEN 'ann lee ' || CAST(p_size AS STRING) END AS owner",
+        ],
+    ),
     # hourly observations
     "observations": (
         "events",
