@@ -290,7 +290,7 @@ def status_code(raw: Column | str) -> Column:
 
 def score_cell(raw: Column | str) -> Column:
     """struct(points, status, is_discarded) of a cell such as '(5.0 DNC)'."""
-    text = F.trim(F.translate(F.coalesce(as_col(raw), F.lit("")), " ", " "))
+    text = F.trim(F.translate(F.coalesce(as_col(raw), F.lit("")), "\u00a0", " "))
     dropped = F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))
     inner = F.when(dropped, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
     points = F.regexp_extract(inner, r"([\d.]+)", 1).try_cast("double")
