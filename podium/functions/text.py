@@ -50,13 +50,20 @@ BARE_VIEWS = ("all", "ab")
 
 def canonical_stem(c: Column | str) -> Column:
     """File stem with every trailing view suffix removed."""
-    stem = F.regexp_replace(file_stem(c), VIEW_SUFFIXES, "")
-    trimmed = F.when(stem != file_stem(c), F.regexp_replace(stem, "_+$", "")).otherwise(stem)
-    return F.when(trimmed.isin(*BARE_VIEWS), "").otherwise(trimmed)
+    return strip_views(file_stem(c))
+
+
+def strip_views(stem: Column) -> Column:
+    cut = F.regexp_replace(stem, VIEW_SUFFIXES, "")
+    return F.when(cut.isin(*BARE_VIEWS), "").otherwise(cut)
 
 
 def stem_without_number(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(file_stem(c), r"\d+$", ""), "_+$", "")
+    return strip_number(file_stem(c))
+
+
+def strip_number(stem: Column) -> Column:
+    return F.regexp_replace(stem, r"_*\d+$|_+$", "")
 
 
 # Words that mark a view in an event name.

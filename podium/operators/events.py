@@ -74,11 +74,12 @@ def canonical_groups(events: DataFrame) -> DataFrame:
     ``event_stats``. Groups are reduced to one row each by mergeable aggregates and joined back, so a month with
     very many views never meets in one task.
     """
-    marked = events.select(
+    # each text is worked out once, in stages, so that later columns reuse it
+    stems = events.withColumn("_stem", text.file_stem("source_file"))
+    marked = stems.select(
         "*",
-        text.file_stem("source_file").alias("_stem"),
-        text.canonical_stem("source_file").alias("_root"),
-        text.stem_without_number("source_file").alias("_plain"),
+        text.strip_views(C("_stem")).alias("_root"),
+        text.strip_number(C("_stem")).alias("_plain"),
         text.name_key(text.canonical_name("event_name"), drop="'\"`|").alias("_name"),
     ).withColumn("_variant", (C("_root") != C("_stem")) | text.is_view_name("event_name"))
     dated = ["period", "_name", "first_date", "_plain"]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,78 +95,88 @@ def page_role(path: Column | str) -> Column:
     return F.when(name.rlike(VARIANT_NAME), "variant").when(template, "template").otherwise("canonical")
 
 
-class _Tables(HTMLParser):
-    """Collects the rows of every table of one page."""
+# every tag that shapes a table; text between two of them belongs to the cell or caption that is open
+_SHAPE = re.compile(r"<(/?)(table|caption|tr|td|th)\b([^>]*)>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
+_TAG = re.compile(r"<[^>]*>")
+_CSS = re.compile(r"""class\s*=\s*["']?([^"'>]*)""", re.IGNORECASE)
+_LABEL = re.compile(r"""bgcolor\s*=\s*["']?#008080""", re.IGNORECASE)
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
-        self.count = 0
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "table":
-            self.open.append({"no": self.count, "class": a.get("class", "").lower(), "caption": "", "header": None,
-                              "rows": 0, "row": None, "cell": None, "in_caption": False})
-            self.count += 1
-        elif not self.open:
-            return
-        elif tag == "caption":
-            self.open[-1]["in_caption"] = True
-        elif tag == "tr":
-            self._end_row()
-            self.open[-1]["row"] = {"cells": [], "heads": 0, "labels": []}
-        elif tag in ("td", "th"):
-            t = self.open[-1]
-            if t["row"] is None:
-                t["row"] = {"cells": [], "heads": 0, "labels": []}
-            self._end_cell()
-            t["cell"] = []
-            t["row"]["heads"] += tag == "th"
-            t["row"]["labels"].append(a.get("bgcolor", "").lower() == "#008080")
-
-    def handle_data(self, data):
-        if self.open:
-            t = self.open[-1]
-            if t["in_caption"]:
-                t["caption"] += data
-            elif t["cell"] is not None:
-                t["cell"].append(data)
-
-    def handle_endtag(self, tag):
-        if not self.open:
-            return
-        if tag == "caption":
-            self.open[-1]["in_caption"] = False
-        elif tag in ("td", "th"):
-            self._end_cell()
-        elif tag == "tr":
-            self._end_row()
-        elif tag == "table":
-            self._end_row()
-            self.open.pop()
-
-    def _end_cell(self):
-        t = self.open[-1]
-        if t["cell"] is not None and t["row"] is not None:
-            t["row"]["cells"].append(" ".join("".join(t["cell"]).replace("\xa0", " ").split()))
-        t["cell"] = None
-
-    def _end_row(self):
-        t = self.open[-1]
-        self._end_cell()
-        row, t["row"] = t["row"], None
-        if row is None or not row["cells"]:
+def _text(parts: list[str]) -> str:
+    raw = "".join(parts)
+    if "<" in raw:
+        raw = _TAG.sub("", raw)
+    if "&" in raw:
+        raw = unescape(raw)
+    return " ".join(raw.replace("\u00a0", " ").split())
+
+
+def page_tables(html: str) -> list[tuple]:
+    """(table_no, kind, caption, row_no, header, cells, labels) of every row of every table, nested ones included.
+
+    End tags may be missing: a new cell closes the open cell, a new row the open row.
+    """
+    found: list[tuple] = []
+    stack: list[dict] = []
+    tables = 0
+    last = 0
+
+    def end_cell(t: dict) -> None:
+        if t["text"] is not None:
+            t["cells"].append(_text(t["text"]))
+            t["text"] = None
+
+    def end_row(t: dict) -> None:
+        end_cell(t)
+        cells, t["cells"] = t["cells"], []
+        labels, t["labels"] = t["labels"], []
+        heads, t["heads"] = t["heads"], 0
+        if not cells:
             return
-        if row["heads"] and t["header"] is None:
-            t["header"] = [c.lower() for c in row["cells"]]
+        if heads and t["header"] is None:
+            t["header"] = [c.lower() for c in cells]
+            t["kind"] = _kind(t["css"], t["header"])
             return
-        self.rows.append({"table_no": t["no"], "kind": _kind(t["class"], t["header"] or []), "caption": t["caption"].strip(),
-                          "row_no": t["rows"], "header": t["header"] or [], "cells": row["cells"],
-                          "labels": row["labels"]})
+        found.append((t["no"], t["kind"], t["caption"], t["rows"], t["header"] or [], cells, labels))
         t["rows"] += 1
 
+    for m in _SHAPE.finditer(html):
+        t = stack[-1] if stack else None
+        if t is not None and m.start() > last:
+            if t["text"] is not None:
+                t["text"].append(html[last : m.start()])
+            elif t["captioned"]:
+                t["caption"] = _text([t["caption"], html[last : m.start()]])
+        last = m.end()
+        tag = (m.group(2) or "").lower()
+        if tag == "table":
+            if m.group(1):
+                if t is not None:
+                    end_row(t)
+                    stack.pop()
+                continue
+            css = _CSS.search(m.group(3))
+            css = css.group(1).lower() if css else ""
+            stack.append({"no": tables, "css": css, "kind": _kind(css, []), "caption": "", "captioned": False, "header": None,
+                          "rows": 0, "cells": [], "labels": [], "heads": 0, "text": None})
+            tables += 1
+        elif t is None or not tag:
+            continue
+        elif tag == "caption":
+            t["captioned"] = not m.group(1)
+        elif tag == "tr":
+            end_row(t)
+        elif m.group(1):
+            end_cell(t)
+        else:
+            end_cell(t)
+            t["text"] = []
+            t["heads"] += tag == "th"
+            t["labels"].append(bool(_LABEL.search(m.group(3))))
+    for t in reversed(stack):
+        end_row(t)
+    return found
+
 
 def _kind(css: str, header: Sequence[str]) -> str:
     if "summarytable" in css:
@@ -181,19 +192,21 @@ def table_rows(pages: DataFrame) -> DataFrame:
     """One row per table row of every page (page_id, html); the header of the table goes with each of its rows."""
 
     def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        columns = ["page_id", "table_no", "kind", "caption", "row_no", "header", "cells", "labels"]
+        texts, flags = pa.list_(pa.string()), pa.list_(pa.bool_())
+        types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), texts, texts, flags]
+        names = ["page_id", "table_no", "kind", "caption", "row_no", "header", "cells", "labels"]
         for batch in batches:
-            found = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                parser = _Tables()
-                parser.feed(html or "")
-                parser.close()
-                found.extend({"page_id": page_id, **row} for row in parser.rows)
-            yield pd.DataFrame(found, columns=columns)
-
-    return pages.select("page_id", "html").mapInPandas(parse, schema.TABLE_ROW)
+            rows = [
+                (page_id, *row)
+                for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for row in page_tables(html or "")
+            ]
+            columns = list(zip(*rows)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return pages.select(C("page_id").cast("long"), "html").mapInArrow(parse, schema.TABLE_ROW)
 
 
 # Headings by the column they name; exact words, and words that may stand anywhere in the heading.
