@@ -30,28 +30,35 @@ def identifier(c: Column | str) -> Column:
 
 
 def is_placeholder(c: Column | str) -> Column:
-    ident = identifier(c)
-    return ident.isNull() | ident.isin(*DUMMIES) | ident.rlike(PLACEHOLDER)
+    return unknown(identifier(c))
 
 
 def is_strong(c: Column | str) -> Column:
     """A real identifier: not a placeholder, has a digit and at least four characters."""
-    ident = identifier(c)
-    return ~is_placeholder(c) & ident.rlike(r"\d") & (F.length(ident) >= 4)
+    return strong(identifier(c))
+
+
+def unknown(ident: Column) -> Column:
+    """Same as ``is_placeholder`` for an identifier that is tidy already."""
+    return ident.isNull() | ident.isin(*DUMMIES) | ident.rlike(PLACEHOLDER)
+
+
+def strong(ident: Column) -> Column:
+    return ~unknown(ident) & ident.rlike(r"\d") & (F.length(ident) >= 4)
 
 
 def related(left: Column | str, right: Column | str) -> Column:
     """Two identifiers that may be one: equal, one inside the other, or one character apart."""
+    ids = F.struct(identifier(left).alias("a"), identifier(right).alias("b"))
+    return F.coalesce(let(ids, lambda p: near(p["a"], p["b"])), F.lit(False))
 
-    def compare(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        la, lb = F.length(a), F.length(b)
-        inside = (F.least(la, lb) >= 3) & (F.abs(la - lb) <= 2) & (F.contains(a, b) | F.contains(b, a))
-        close = (la == lb) & (la >= 4) & (F.size(F.filter(_differing(a, b), lambda d: d)) <= 1)
-        return (a == b) | inside | close
 
-    ids = F.struct(identifier(left).alias("a"), identifier(right).alias("b"))
-    return F.coalesce(let(ids, compare), F.lit(False))
+def near(a: Column, b: Column) -> Column:
+    """Same as ``related`` for identifiers that are tidy already; null when either is."""
+    la, lb = F.length(a), F.length(b)
+    inside = (F.least(la, lb) >= 3) & (F.abs(la - lb) <= 2) & (F.contains(a, b) | F.contains(b, a))
+    close = (la == lb) & (la >= 4) & (F.size(F.filter(_differing(a, b), lambda d: d)) <= 1)
+    return (a == b) | inside | close
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -79,7 +86,11 @@ def design_class(c: Column | str) -> Column:
 
 
 def class_family(c: Column | str) -> Column:
-    return F.regexp_replace(design_class(c), r"\s+[IO]/B$", "")
+    return family(design_class(c))
+
+
+def family(design: Column) -> Column:
+    return F.regexp_replace(design, r"\s+[IO]/B$", "")
 
 
 def is_rating_band(c: Column | str) -> Column:
@@ -88,23 +99,26 @@ def is_rating_band(c: Column | str) -> Column:
 
 def class_score(c: Column | str) -> Column:
     """Sort key for the better spelling of a class: real designs before bands, then the longer text."""
-    known = design_class(c)
+    return design_score(design_class(c))
+
+
+def design_score(design: Column) -> Column:
     return F.struct(
-        F.when(known.isNull() | is_rating_band(c), 0).otherwise(1).alias("design"),
-        F.coalesce(F.length(known), F.lit(0)).alias("length"),
+        F.when(design.isNull() | design.rlike(RATING_BAND), 0).otherwise(1).alias("design"),
+        F.coalesce(F.length(design), F.lit(0)).alias("length"),
     )
 
 
 def name_score(c: Column | str) -> Column:
     """Sort key for the better spelling of a name."""
-    text = collapse(c)
+    return spelling_score(collapse(c))
+
+
+def spelling_score(tidy: Column) -> Column:
     points = (
-        text.rlike("[a-z]").cast("int") + F.contains(text, F.lit(" ")).cast("int") + (~text.rlike(r"[?*]")).cast("int")
-    )
-    return F.struct(
-        F.when(text == "", 0).otherwise(points).alias("points"),
-        F.length(text).alias("length"),
+        tidy.rlike("[a-z]").cast("int") + F.contains(tidy, F.lit(" ")).cast("int") + (~tidy.rlike(r"[?*]")).cast("int")
     )
+    return F.struct(F.when(tidy == "", 0).otherwise(points).alias("points"), F.length(tidy).alias("length"))
 
 
 def is_synthetic(c: Column | str) -> Column:

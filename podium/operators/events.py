@@ -48,31 +48,31 @@ def event_type(*parts: Column | str) -> Column:
 
 
 def event_stats(events: DataFrame, contests: DataFrame, results: DataFrame) -> DataFrame:
-    """Contests, results and entities per event; each child is reduced before it is joined, so nothing fans out."""
-    per_contest = results.groupBy("contest_id").agg(F.count("*").alias("results"))
-    per_event = (
-        contests.select("contest_id", "event_id")
-        .join(per_contest, "contest_id", "left")
-        .groupBy("event_id")
-        .agg(F.count("*").alias("contests"), F.sum("results").alias("results"))
-    )
-    standing = (
-        results.join(contests.select("contest_id", "event_id"), "contest_id")
-        .select("event_id", "entity_id")
-        .distinct()
+    """Contests, results and entities per event.
+
+    Each child is reduced before it is joined, so nothing fans out and no distinct count is needed; the results are
+    read once.
+    """
+    held = contests.groupBy("event_id").agg(F.count("*").alias("contests"))
+    entries = (
+        results.groupBy("contest_id", "entity_id")
+        .agg(F.count("*").alias("n"))
+        .join(contests.select("contest_id", "event_id"), "contest_id")
+        .groupBy("event_id", "entity_id")
+        .agg(F.sum("n").alias("n"))
         .groupBy("event_id")
-        .agg(F.count("*").alias("standings"))
+        .agg(F.sum("n").alias("results"), F.count("*").alias("standings"))
     )
-    out = events.join(per_event, "event_id", "left").join(standing, "event_id", "left")
+    out = events.join(held, "event_id", "left").join(entries, "event_id", "left")
     return out.fillna(0, ["contests", "results", "standings"])
 
 
-def canonical_groups(events: DataFrame) -> DataFrame:
+def canonical_groups(events: DataFrame, counts: DataFrame) -> DataFrame:
     """Which events are views of one and the same event, and which view stands for the group.
 
-    Needs event_id, period, event_type, event_name, source_file, series_month, first_date and the counts of
-    ``event_stats``. Groups are reduced to one row each by mergeable aggregates and joined back, so a month with
-    very many views never meets in one task.
+    ``events`` needs event_id, period, event_type, event_name, source_file, series_month and first_date; ``counts`` is
+    ``event_stats`` of the same events. Groups are reduced to one row each by mergeable aggregates and joined back,
+    so a month with very many views never meets in one task.
     """
     # each text is worked out once, in stages, so that later columns reuse it
     stems = events.withColumn("_stem", text.file_stem("source_file"))
@@ -94,7 +94,8 @@ def canonical_groups(events: DataFrame) -> DataFrame:
         .when(C("_root") != "", C("_root"))
         .otherwise(F.concat(F.lit("event:"), C("event_id").cast("string")))
     )
-    keyed = marked.join(twins, dated, "left").withColumn("group_key", key)
+    known = counts.select("event_id", "contests", "results", "standings")
+    keyed = marked.join(twins, dated, "left").join(known, "event_id").withColumn("group_key", key)
     claim = F.struct(
         (~C("_variant")).cast("int").alias("a"),
         (C("_root") == C("_stem")).cast("int").alias("b"),
@@ -116,6 +117,10 @@ def canonical_groups(events: DataFrame) -> DataFrame:
         F.when(alone, C("event_id")).otherwise(C("_p.event_id")).alias("canonical_event_id"),
         F.when(alone, C("event_name")).otherwise(text.canonical_name("_p.event_name")).alias("canonical_name"),
         (~alone & (C("event_id") != C("_p.event_id"))).alias("is_variant"),
+        # kept in the result, so that both uses of the keyed rows share their shuffles
+        "contests",
+        "results",
+        "standings",
     )
 
 

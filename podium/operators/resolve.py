@@ -21,22 +21,22 @@ def canonical_boat_name(c: Column | str) -> Column:
 
 def describe(boats: DataFrame) -> DataFrame:
     """Register rows with their comparison keys and quality marks."""
-    return boats.select(
+    tidy = boats.select(
         "boat_id",
-        "name",
         "uses",
         text.collapse("name").alias("tidy"),
-        text.name_key(canonical_boat_name("name")).alias("key"),
         idn.identifier("sail").alias("ident"),
         idn.design_class("raw_class").alias("cls"),
         text.collapse("club").alias("club"),
-    ).select(
+    )
+    return tidy.select(
         "*",
-        F.coalesce(idn.is_strong("ident"), F.lit(False)).alias("strong"),
-        idn.is_placeholder("ident").alias("dummy"),
-        idn.class_family("cls").alias("family"),
-        idn.name_score("tidy").alias("nscore"),
-        F.when(C("cls").isNotNull(), idn.class_score("cls")).alias("cscore"),
+        text.name_key(F.regexp_replace("tidy", TRAILING_MARKS, "")).alias("key"),
+        F.coalesce(idn.strong(C("ident")), F.lit(False)).alias("strong"),
+        idn.unknown(C("ident")).alias("dummy"),
+        idn.family(C("cls")).alias("family"),
+        idn.spelling_score(C("tidy")).alias("nscore"),
+        F.when(C("cls").isNotNull(), idn.design_score(C("cls"))).alias("cscore"),
     )
 
 
@@ -74,7 +74,7 @@ def reconcile(boats: DataFrame, manual: Mapping[str, Sequence[str]] | None = Non
             C("one_family")
             & C("sole_strong").isNotNull()
             & F.coalesce(
-                (C("ident") == C("sole_strong")) | ~C("strong") | idn.related("ident", "sole_strong"), F.lit(False)
+                (C("ident") == C("sole_strong")) | ~C("strong") | idn.near(C("ident"), C("sole_strong")), F.lit(False)
             ),
         )
         .withColumn(
@@ -86,7 +86,7 @@ def reconcile(boats: DataFrame, manual: Mapping[str, Sequence[str]] | None = Non
                 | (
                     (C("uses") == 0)
                     & F.coalesce(C("family") == C("dom.family"), F.lit(True))
-                    & idn.related("ident", "dom.ident")
+                    & F.coalesce(idn.near(C("ident"), C("dom.ident")), F.lit(False))
                 )
             ),
         )
@@ -179,7 +179,7 @@ def absorb_synthetic(entities: DataFrame) -> DataFrame:
         .where("n = 1")
     )
     agrees = C("cls").isNull() | C("real_class").isNull() | (C("cls") == C("real_class"))
-    synthetic = entities.where(made_up & ~idn.is_placeholder("ident"))
+    synthetic = entities.where(made_up & ~idn.unknown(C("ident")))
     return synthetic.join(real, "ident").where(agrees).select("entity_id", "into_id")
 
 
@@ -190,11 +190,8 @@ def assign(incoming: DataFrame, register: DataFrame) -> DataFrame:
     one to a register row of the name that has none yet, and everything else is new.
     """
     reg = register.select(
-        text.name_key(canonical_boat_name("name")).alias("key"),
-        idn.identifier("sail").alias("ident"),
-        idn.is_placeholder("sail").alias("dummy"),
-        "boat_id",
-    )
+        text.name_key(canonical_boat_name("name")).alias("key"), idn.identifier("sail").alias("ident"), "boat_id"
+    ).withColumn("dummy", idn.unknown(C("ident")))
     exact = reg.where(~C("dummy")).groupBy("key", "ident").agg(F.min("boat_id").alias("exact_id"))
     per_key = reg.groupBy("key").agg(
         F.min(F.when(C("dummy"), C("boat_id"))).alias("blank_id"),
@@ -202,11 +199,8 @@ def assign(incoming: DataFrame, register: DataFrame) -> DataFrame:
         F.min(F.when(~C("dummy"), C("boat_id"))).alias("known_id"),
     )
     rows = incoming.select(
-        "row_id",
-        text.name_key(canonical_boat_name("name")).alias("key"),
-        idn.identifier("sail").alias("ident"),
-        idn.is_placeholder("sail").alias("dummy"),
-    )
+        "row_id", text.name_key(canonical_boat_name("name")).alias("key"), idn.identifier("sail").alias("ident")
+    ).withColumn("dummy", idn.unknown(C("ident")))
     matched = rows.join(exact, ["key", "ident"], "left").join(per_key, "key", "left")
     tier = (
         F.when(C("exact_id").isNotNull(), "exact")

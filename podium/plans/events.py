@@ -32,6 +32,12 @@ def stats(t):
     return ev.event_stats(event_rows(t), t.contest_headers, t.results)
 
 
+def groups(t):
+    rows = event_rows(t)
+    counts = ev.event_stats(rows.select("event_id"), t.contest_headers, t.results)
+    return ev.canonical_groups(rows, counts)
+
+
 @query(
     "J02_left_chain_stats",
     f"""WITH {STATS} SELECT event_id, period, event_type, first_date, CAST(contests AS BIGINT) AS contests,
@@ -55,12 +61,13 @@ GROUPS = f"""{STATS}, mk AS (SELECT *, {STEM} AS stem, {ROOT} AS root, rtrim(reg
     cg AS (SELECT event_id, period, event_type, event_name, group_key, CAST(group_size AS BIGINT) AS group_size,
         CASE WHEN group_size = 1 AND NOT var THEN event_id ELSE p_id END AS canonical_event_id,
         CASE WHEN group_size = 1 AND NOT var THEN event_name ELSE {q.canonical_name('p_name')} END AS canonical_name,
-        group_size > 1 AND event_id <> p_id AS is_variant FROM gr)"""
+        group_size > 1 AND event_id <> p_id AS is_variant, CAST(contests AS BIGINT) AS contests, CAST(results AS BIGINT) AS results,
+        CAST(standings AS BIGINT) AS standings FROM gr)"""
 
 
 @query("C01_canonical_groups", f"WITH {GROUPS} SELECT * FROM cg")
 def _(t):
-    return ev.canonical_groups(stats(t))
+    return groups(t)
 
 
 @query(
@@ -70,7 +77,7 @@ def _(t):
 )
 def _(t):
     return (
-        ev.canonical_groups(stats(t))
+        groups(t)
         .groupBy("period", "group_key")
         .agg(F.min("canonical_event_id").alias("primary_id"), F.count("*").alias("members"))
     )
@@ -146,7 +153,7 @@ def skip_sets(t):
     named = ev.special_events(
         event_rows(t).withColumns({"participants": F.lit(0), "helm_ratio": F.lit(0.0), "oneoff_ratio": F.lit(0.0)})
     )
-    return named.select("event_id"), ev.canonical_groups(stats(t)).where("is_variant").select("event_id")
+    return named.select("event_id"), groups(t).where("is_variant").select("event_id")
 
 
 @query("U01_skip_set", f"WITH {CHEAP} SELECT event_id FROM skip")
@@ -329,16 +336,15 @@ def _(t):
 
 @query(
     "C14_season_mart",
-    f"""WITH {GROUPS}, s AS (SELECT c.*, contests, results, nm FROM cg c JOIN (SELECT event_id, contests, results, nm FROM mk) k USING (event_id))
+    f"""WITH {GROUPS}, s AS (SELECT c.*, nm FROM cg c JOIN (SELECT event_id, nm FROM mk) k USING (event_id))
     SELECT period, {q.n(cond="event_type = 'tns'")} AS tns_events, {q.n(cond="event_type = 'trophy'")} AS trophy_events,
         {q.n(cond="event_type = 'championship'")} AS championship_events, {q.n(cond='NOT is_variant')} AS canonical_events,
         {q.n('DISTINCT nm')} AS unique_series, CAST(sum(contests) AS BIGINT) AS contests, CAST(sum(results) AS BIGINT) AS results
     FROM s GROUP BY 1""",
 )
 def _(t):
-    rows = stats(t)
     root = text.name_key(text.canonical_name("event_name"), drop="'\"`|")
-    marked = rows.join(ev.canonical_groups(rows).select("event_id", "is_variant"), "event_id").withColumn("root", root)
+    marked = groups(t).withColumn("root", root)
     types = ["tns", "trophy", "championship"]
     by_root = marked.groupBy("period", "root").agg(
         *[count_if(C("event_type") == x).alias(f"{x}_events") for x in types],

@@ -168,23 +168,44 @@ def alias_rows(t):
         text.name_key("name").alias("key"),
         idn.identifier("sail").alias("ident"),
     )
+    # a row stands in the group of its name and, with a real identifier, in the group of that
+    keyed = rows.withColumn(
+        "review_group",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(C("key") != "", F.concat(F.lit("name:"), C("key"))),
+                    F.when(idn.strong(C("ident")), F.concat(F.lit("sail:"), C("ident"))),
+                )
+            )
+        ),
+    )
     stay = F.max(F.struct("uses", (-C("boat_id")).alias("m"), "boat_id", "tidy")).alias("p")
-
-    def groups(keyed, reason, confidence, extra):
-        stats = keyed.groupBy("review_group").agg(F.count("*").alias("members"), stay, *extra)
-        joined = keyed.join(stats, "review_group").where("members > 1")
-        return joined.withColumn("reason", F.lit(reason)).withColumn("confidence", confidence)
-
-    named = rows.where("key <> ''").withColumn("review_group", F.concat(F.lit("name:"), C("key")))
-    spellings = named.select("review_group", "name").distinct().groupBy("review_group").agg(F.count("*").alias("names"))
-    by_name = groups(named.join(spellings, "review_group"), "same_normalized_name",
-                     F.when(C("names") != C("members"), "high").otherwise("medium"), [])
-    sailed = rows.where(idn.is_strong("ident")).withColumn("review_group", F.concat(F.lit("sail:"), C("ident")))
-    several = (F.min("key") != F.max("key")).alias("several")
-    by_sail = groups(sailed, "same_cleaned_sail_number", F.lit("medium"), [several]).where("several")
-    cols = ["review_group", "reason", "boat_id", "tidy", "uses", "confidence", "members",
-            C("p.boat_id").alias("canonical_id"), C("p.tidy").alias("canonical_name")]
-    return by_name.select(*cols).unionByName(by_sail.select(*cols))
+    spelled = keyed.groupBy("review_group", "name").agg(
+        F.count("*").alias("n"), stay, F.min("key").alias("lo"), F.max("key").alias("hi")
+    )
+    stats = spelled.groupBy("review_group").agg(
+        F.sum("n").alias("members"),
+        F.count("*").alias("names"),
+        F.max("p").alias("p"),
+        (F.min("lo") != F.max("hi")).alias("several"),
+    )
+    by_name = F.startswith("review_group", F.lit("name:"))
+    return (
+        keyed.join(stats.where("members > 1"), "review_group")
+        .where(by_name | C("several"))
+        .select(
+            "review_group",
+            F.when(by_name, "same_normalized_name").otherwise("same_cleaned_sail_number").alias("reason"),
+            "boat_id",
+            "tidy",
+            "uses",
+            F.when(by_name & (C("names") != C("members")), "high").otherwise("medium").alias("confidence"),
+            "members",
+            C("p.boat_id").alias("canonical_id"),
+            C("p.tidy").alias("canonical_name"),
+        )
+    )
 
 
 @query(

@@ -96,19 +96,19 @@ def page_role(path: Column | str) -> Column:
 
 
 # every tag that shapes a table; text between two of them belongs to the cell or caption that is open
-_SHAPE = re.compile(r"<(/?)(table|caption|tr|td|th)\b([^>]*)>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
+_SHAPE = re.compile(r"<(/?)(table|caption|tr|td|th)\b([^>]*)>", re.IGNORECASE)
+_COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
 _TAG = re.compile(r"<[^>]*>")
 _CSS = re.compile(r"""class\s*=\s*["']?([^"'>]*)""", re.IGNORECASE)
 _LABEL = re.compile(r"""bgcolor\s*=\s*["']?#008080""", re.IGNORECASE)
 
 
-def _text(parts: list[str]) -> str:
-    raw = "".join(parts)
+def _text(raw: str) -> str:
     if "<" in raw:
         raw = _TAG.sub("", raw)
     if "&" in raw:
         raw = unescape(raw)
-    return " ".join(raw.replace("\u00a0", " ").split())
+    return " ".join(raw.split())
 
 
 def page_tables(html: str) -> list[tuple]:
@@ -117,64 +117,58 @@ def page_tables(html: str) -> list[tuple]:
     End tags may be missing: a new cell closes the open cell, a new row the open row.
     """
     found: list[tuple] = []
-    stack: list[dict] = []
+    outer: list[dict] = []
+    t: dict | None = None
     tables = 0
-    last = 0
-
-    def end_cell(t: dict) -> None:
-        if t["text"] is not None:
-            t["cells"].append(_text(t["text"]))
-            t["text"] = None
 
     def end_row(t: dict) -> None:
-        end_cell(t)
-        cells, t["cells"] = t["cells"], []
-        labels, t["labels"] = t["labels"], []
-        heads, t["heads"] = t["heads"], 0
+        cells, heads = t["cells"], t["heads"]
         if not cells:
             return
+        cells = [_text(c) for c in cells]
         if heads and t["header"] is None:
             t["header"] = [c.lower() for c in cells]
             t["kind"] = _kind(t["css"], t["header"])
-            return
-        found.append((t["no"], t["kind"], t["caption"], t["rows"], t["header"] or [], cells, labels))
-        t["rows"] += 1
-
-    for m in _SHAPE.finditer(html):
-        t = stack[-1] if stack else None
-        if t is not None and m.start() > last:
-            if t["text"] is not None:
-                t["text"].append(html[last : m.start()])
-            elif t["captioned"]:
-                t["caption"] = _text([t["caption"], html[last : m.start()]])
-        last = m.end()
-        tag = (m.group(2) or "").lower()
-        if tag == "table":
-            if m.group(1):
+        else:
+            found.append((t["no"], t["kind"], t["caption"], t["rows"], t["header"] or [], cells, t["labels"]))
+            t["rows"] += 1
+        t["cells"], t["labels"], t["heads"] = [], [], False
+
+    if "<!--" in html:
+        html = _COMMENT.sub("", html)
+    parts = _SHAPE.split(html)
+    # text, then (slash, tag, attributes, text) for each tag
+    for i in range(1, len(parts), 4):
+        closing, tag, attrs, text = parts[i], parts[i + 1].lower(), parts[i + 2], parts[i + 3]
+        if tag == "td" or tag == "th":
+            if t is None:
+                continue
+            if not closing:
+                t["cells"].append(text)
+                t["heads"] = t["heads"] or tag == "th"
+                t["labels"].append("008080" in attrs and bool(_LABEL.search(attrs)))
+        elif tag == "tr":
+            if t is not None:
+                end_row(t)
+        elif tag == "table":
+            if closing:
                 if t is not None:
                     end_row(t)
-                    stack.pop()
+                    t = outer.pop()
+                    if t is not None and t["cells"]:
+                        t["cells"][-1] += text
                 continue
-            css = _CSS.search(m.group(3))
+            css = _CSS.search(attrs)
             css = css.group(1).lower() if css else ""
-            stack.append({"no": tables, "css": css, "kind": _kind(css, []), "caption": "", "captioned": False, "header": None,
-                          "rows": 0, "cells": [], "labels": [], "heads": 0, "text": None})
+            outer.append(t)
+            t = {"no": tables, "css": css, "kind": _kind(css, []), "caption": "", "header": None, "rows": 0, "cells": [],
+                 "labels": [], "heads": False}
             tables += 1
-        elif t is None or not tag:
-            continue
-        elif tag == "caption":
-            t["captioned"] = not m.group(1)
-        elif tag == "tr":
-            end_row(t)
-        elif m.group(1):
-            end_cell(t)
-        else:
-            end_cell(t)
-            t["text"] = []
-            t["heads"] += tag == "th"
-            t["labels"].append(bool(_LABEL.search(m.group(3))))
-    for t in reversed(stack):
+        elif t is not None and not closing:
+            t["caption"] = _text(text)
+    while t is not None:
         end_row(t)
+        t = outer.pop()
     return found
 
 
