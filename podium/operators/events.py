@@ -67,6 +67,24 @@ def event_stats(events: DataFrame, contests: DataFrame, results: DataFrame) -> D
     return out.fillna(0, ["contests", "results", "standings"])
 
 
+def mark_views(names: DataFrame) -> DataFrame:
+    """Comparison marks of event_name and source_file, each text worked out once, in stages.
+
+    Add them where the names are fewest, such as to the series, before the names are joined to anything.
+    """
+    return (
+        names.withColumn("_stem", text.file_stem("source_file"))
+        .withColumns(
+            {
+                "_root": text.strip_views(C("_stem")),
+                "_plain": text.strip_number(C("_stem")),
+                "_name": text.name_key(text.canonical_name("event_name"), drop="'\"`|"),
+            }
+        )
+        .withColumn("_variant", (C("_root") != C("_stem")) | text.is_view_name("event_name"))
+    )
+
+
 def canonical_groups(events: DataFrame, counts: DataFrame) -> DataFrame:
     """Which events are views of one and the same event, and which view stands for the group.
 
@@ -74,14 +92,7 @@ def canonical_groups(events: DataFrame, counts: DataFrame) -> DataFrame:
     ``event_stats`` of the same events. Groups are reduced to one row each by mergeable aggregates and joined back,
     so a month with very many views never meets in one task.
     """
-    # each text is worked out once, in stages, so that later columns reuse it
-    stems = events.withColumn("_stem", text.file_stem("source_file"))
-    marked = stems.select(
-        "*",
-        text.strip_views(C("_stem")).alias("_root"),
-        text.strip_number(C("_stem")).alias("_plain"),
-        text.name_key(text.canonical_name("event_name"), drop="'\"`|").alias("_name"),
-    ).withColumn("_variant", (C("_root") != C("_stem")) | text.is_view_name("event_name"))
+    marked = events if "_root" in events.columns else mark_views(events)
     dated = ["period", "_name", "first_date", "_plain"]
     twins = (
         marked.where((C("_name") != "") & (C("_plain") != "") & C("first_date").isNotNull())

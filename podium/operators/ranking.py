@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HOT = 1000  # hot groups kept on the driver; also the row bound of what is broadcast
-TRACKED = 100_000
+TRACKED = 20_000  # counters of the sketch: a group with over 0.02 % of all rows is found
 CUTS = 255
 
 

@@ -178,12 +178,11 @@ def wind_shift_scenarios(winners: DataFrame, shifts_kt: Sequence[int]) -> DataFr
 
 def factor_pairs(factors: DataFrame, base: str) -> DataFrame:
     """Ratio of each class to the base class per band, and how far it drifts. ``factors``: one row per class."""
-    per_base = factors.where(C("class") == base).select(*[C(f"tot_{b}").alias(f"base_{b}") for b in BANDS], F.lit(1).alias("k"))
-    ratios = [C(f"tot_{b}").cast("double") / C(f"base_{b}") for b in BANDS]
+    one = factors.where(C("class") == base).select(F.struct(*[C(f"tot_{b}") for b in BANDS])).scalar()
+    ratios = [C(f"tot_{b}").cast("double") / C(f"_base.tot_{b}") for b in BANDS]
     return (
         factors.where(C("class") != base)
-        .withColumn("k", F.lit(1))
-        .join(F.broadcast(per_base), "k")  # one row
+        .withColumn("_base", one)
         .select(
             "class",
             *[r.alias(f"ratio_{b}") for r, b in zip(ratios, BANDS)],

@@ -21,11 +21,11 @@ STATS = f"""{EVENT_ROWS}, rs AS (SELECT event_id, count(*) AS results, count(DIS
     es AS (SELECT er.*, coalesce(results, 0) AS results, coalesce(standings, 0) AS standings FROM er LEFT JOIN rs USING (event_id))"""
 
 
-def event_rows(t):
+def event_rows(t, series=None):
     heads = t.contest_headers.groupBy("event_id", "series_id", "period").agg(
         F.date_format(F.trunc(F.min("contest_date"), "month"), "yyyy-MM-dd").alias("first_date")
     )
-    return heads.join(t.series, "series_id")
+    return heads.join(t.series if series is None else series, "series_id")
 
 
 def stats(t):
@@ -33,7 +33,7 @@ def stats(t):
 
 
 def groups(t):
-    rows = event_rows(t)
+    rows = event_rows(t, ev.mark_views(t.series))
     counts = ev.event_stats(rows.select("event_id"), t.contest_headers, t.results)
     return ev.canonical_groups(rows, counts)
 

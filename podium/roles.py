@@ -213,9 +213,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = sf_dir
+        self._open: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        """A table; its files are listed and its schema is read once."""
+        if table not in self._open:
+            self._open[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self._open[table]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.RAW:
