@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from podium.operators.measures import count_if, half_up, wins
 from podium.operators.ranking import rank_within, top_k, top_n_per_group
 from podium.plans import dialect as q
 from podium.plans.registry import query
+from podium.session import checkpoint_dir
 from podium.sources import files
 
 C = F.col
@@ -92,6 +95,34 @@ def _(t):
     return reduce(DataFrame.unionByName, dims, by_period)
 
 
+@query(
+    "S08_selective_marts",
+    f"""SELECT 'fleet' AS mart, period, {q.n('DISTINCT entity_id')} AS value FROM star GROUP BY 2
+    UNION ALL SELECT 'contests', period, {N} FROM contest_headers GROUP BY 2""",
+)
+def _(t):
+    def fleet():
+        seen = t.results.join(t.contest_headers, "contest_id").select("period", "entity_id").distinct()
+        return seen.groupBy("period").agg(F.count("*").alias("value"))
+
+    builders = {
+        "fleet": fleet,
+        "contests": lambda: t.contest_headers.groupBy("period").agg(F.count("*").alias("value")),
+        "boats": lambda: t.boats.groupBy(C("first_period").alias("period")).agg(F.count("*").alias("value")),
+    }
+    marts = files.chosen_marts(builders, only=["fleet", "contests"])
+    return se.union_all([df.select(F.lit(name).alias("mart"), "period", "value") for name, df in marts.items()])
+
+
+@query("S11_full_reload", f"SELECT entity_id, {N} AS tenures, min(start_period) AS first_period FROM tenures GROUP BY 1")
+def _(t):
+    folder = f"{checkpoint_dir(t.spark, tempfile.gettempdir())}/reload-{uuid.uuid4().hex}"
+    for _ in range(2):  # a second load leaves what the first one left
+        files.replace_table(t.tenures, folder)
+    loaded = files.read_table(t.spark, folder)
+    return loaded.groupBy("entity_id").agg(F.count("*").alias("tenures"), F.min("start_period").alias("first_period"))
+
+
 @query(
     "J16_snapshot_diff",
     """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_right' WHEN d.doc_id IS NULL THEN 'missing_left' ELSE 'changed' END AS change

@@ -129,14 +129,20 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def build_marts(
-    builders: Mapping[str, Callable[[], DataFrame]], path: str, only: Sequence[str] | None = None
-) -> list[str]:
-    """Write the chosen marts as JSON lines, all of them by default; unknown names are refused before any is built."""
+def chosen_marts(builders: Mapping[str, Callable[[], DataFrame]], only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The chosen marts, all of them by default; unknown names are refused before any is built."""
     chosen = list(builders) if only is None else list(only)
     unknown = sorted(set(chosen) - set(builders))
     if unknown:
         raise ValueError(f"unknown marts: {', '.join(unknown)}; known are: {', '.join(builders)}")
-    for name in chosen:
-        write_json_lines(builders[name](), f"{path}/{name}")
-    return chosen
+    return {name: builders[name]() for name in chosen}
+
+
+def build_marts(
+    builders: Mapping[str, Callable[[], DataFrame]], path: str, only: Sequence[str] | None = None
+) -> list[str]:
+    """Write the chosen marts as JSON lines, one folder each."""
+    marts = chosen_marts(builders, only)
+    for name, mart in marts.items():
+        write_json_lines(mart, f"{path}/{name}")
+    return list(marts)
