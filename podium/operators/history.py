@@ -110,7 +110,8 @@ def owner_at(wanted: DataFrame, tenures: DataFrame) -> DataFrame:
     aggregates over the tenures of one entity.
     """
     listed = F.struct(F.coalesce("start_period", F.lit(0)).alias("s"), "tenure_id", "owner")
-    covers = (C("period") >= F.coalesce("start_period", F.lit(0))) & (C("period") <= F.coalesce("end_period", F.lit(9999)))
+    starts, ends = F.coalesce("start_period", F.lit(0)), F.coalesce("end_period", F.lit(9999))
+    covers = C("tenure_id").isNotNull() & C("period").between(starts, ends)
     picked = (
         wanted.join(tenures, "entity_id", "left")
         .groupBy("entity_id", "period")

@@ -90,7 +90,7 @@ def _(t):
 @query(
     "J09_owner_at_period",
     """WITH w AS (SELECT DISTINCT entity_id, period FROM star), j AS (SELECT w.*, owner, tenure_id, coalesce(start_period, 0) AS s,
-        w.period BETWEEN coalesce(start_period, 0) AND coalesce(end_period, 9999) AS ok FROM w LEFT JOIN tenures USING (entity_id)),
+        tenure_id IS NOT NULL AND w.period BETWEEN coalesce(start_period, 0) AND coalesce(end_period, 9999) AS ok FROM w LEFT JOIN tenures USING (entity_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, period ORDER BY ok DESC NULLS LAST,
         CASE WHEN ok THEN s ELSE -s END, CASE WHEN ok THEN tenure_id ELSE -tenure_id END) AS rn FROM j)
     SELECT entity_id, period, owner, coalesce(ok, false) AS covered FROM k WHERE rn = 1""",
