@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from podium.functions import identifiers as idn
 from podium.operators import boards
 from podium.operators.measures import count_if, half_up, wins
-from podium.operators.ranking import rank_within, top_k
+from podium.operators.ranking import hot_groups, rank_within, top_k
 from podium.operators.scope import clean_finish
 from podium.plans import dialect as q
 from podium.plans.registry import query
@@ -410,7 +410,9 @@ def _(t):
         .agg(F.sum("used").alias("used"), F.min("first_period").alias("first_period"), F.min("entity_id").alias("entity_id"))
     )
     primary = members.groupBy("owner_key").agg(F.max(F.struct("used", -C("entity_id"))).alias("p"))
-    numbered = rank_within(members, ["owner_key"], "first_period", [C("entity_id")], out="member_no")
+    named = t.entities.select(boards.owner_key(C("owner"), C("entity_id")).alias("owner_key"))
+    hot = hot_groups(named, ["owner_key"], 2_000_000)
+    numbered = rank_within(members, ["owner_key"], "first_period", [C("entity_id")], out="member_no", hot=hot)
     return numbered.join(primary, "owner_key").select(
         "owner_key",
         "entity_name",

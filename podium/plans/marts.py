@@ -15,7 +15,7 @@ from podium.functions import text as tx
 from podium.operators import boards, loads
 from podium.operators import search as se
 from podium.operators.measures import count_if, half_up, wins
-from podium.operators.ranking import rank_within, top_k, top_n_per_group
+from podium.operators.ranking import hot_groups, rank_within, top_k, top_n_per_group
 from podium.plans import dialect as q
 from podium.plans.registry import query
 from podium.session import checkpoint_dir
@@ -291,7 +291,9 @@ def event_documents(t):
         .groupBy("event_id", "entity_id")
         .agg(F.min("rank").alias("best"), F.sum("points").alias("points"))
     )
-    placed = rank_within(standing, ["event_id"], "points", [C("entity_id")], out="place")
+    # hot events show in the small contest table already, so the standings need not be worked out to find them
+    hot = hot_groups(t.contest_headers, ["event_id"], 100_000)
+    placed = rank_within(standing, ["event_id"], "points", [C("entity_id")], out="place", hot=hot)
     return loads.in_documents(placed.select("event_id", "place", "entity_id", "best", "points"), ["event_id"], "place", ENTRIES_PER_DOC, "standings")
 
 

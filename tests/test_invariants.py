@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from podium.plans import load
 from podium.plans.registry import BUILDERS
 from podium.roles import Tables
 from tests.oracle import DATA
 
 SF_DIR = f"{DATA}/sf0.001"
+load()
 
 
 @pytest.fixture(scope="module")
