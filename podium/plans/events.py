@@ -85,8 +85,8 @@ def _(t):
 
 METRICS = f"""pe AS (SELECT DISTINCT event_id, period, boat_id AS p FROM results JOIN contest_headers USING (contest_id)),
     yp AS (SELECT period, p, count(*) AS c FROM pe GROUP BY 1, 2),
-    mt AS (SELECT event_id, {N} AS participants, {q.n(cond='p % 4 = 0')} AS helms, {q.n(cond='p % 4 <> 0')} AS boats,
-        {q.n(cond='c = 1')} AS oneoffs FROM pe JOIN yp USING (period, p) GROUP BY 1),
+    mt AS (SELECT event_id, {N} AS participants, {q.n(cond="participant_type = 'helm'")} AS helms, {q.n(cond="participant_type = 'boat'")} AS boats,
+        {q.n(cond='c = 1')} AS oneoffs FROM pe JOIN yp USING (period, p) JOIN boats ON boat_id = p GROUP BY 1),
     mr AS (SELECT *, {q.pct('helms', 'participants', 3)} AS helm_ratio, {q.pct('oneoffs', 'participants', 3)} AS oneoff_ratio FROM mt)"""
 
 
@@ -96,9 +96,7 @@ def metrics(t):
         .select("event_id", "period", C("boat_id").alias("participant_id"))
         .distinct()
     )
-    people = t.boats.selectExpr(
-        "boat_id AS participant_id", "CASE WHEN boat_id % 4 = 0 THEN 'helm' ELSE 'boat' END AS participant_type"
-    )
+    people = t.boats.select(C("boat_id").alias("participant_id"), "participant_type")
     return ev.event_metrics(entries, people)
 
 
@@ -298,14 +296,14 @@ def _(t):
 @query(
     "U04_missing_months",
     f"""WITH have AS (SELECT DISTINCT period, series_month AS month FROM contests WHERE event_type = 'tns' AND series_month IS NOT NULL
-        AND contest_id % 3 = 0), want AS (SELECT DISTINCT period, m.month FROM contests,
+        AND contest_no = 1), want AS (SELECT DISTINCT period, m.month FROM contests,
         (VALUES ('june'), ('july'), ('august'), ('september'), ('october')) m(month) WHERE event_type = 'tns')
     SELECT period, month, 'missing' AS problem FROM (SELECT * FROM want EXCEPT SELECT * FROM have)
     UNION ALL SELECT period, month, 'unexpected' FROM (SELECT * FROM have EXCEPT SELECT * FROM want)""",
 )
 def _(t):
     weekly = t.contests.where("event_type = 'tns'")
-    have = weekly.where("series_month IS NOT NULL AND contest_id % 3 = 0").select("period", C("series_month").alias("month"))
+    have = weekly.where("series_month IS NOT NULL AND contest_no = 1").select("period", C("series_month").alias("month"))
     wanted = F.array(*[F.lit(m) for m in (*ev.EXPECTED_MONTHS, "october")])
     want = weekly.select("period").distinct().select("period", F.explode(wanted).alias("month"))
     missing = want.exceptAll(have.distinct()).withColumn("problem", F.lit("missing"))

@@ -392,10 +392,10 @@ def _(t):
     "C13_skipper_aliases",
     f"""SELECT {q.collapse('name')} AS name, coalesce(sail, '') AS sail, {q.design_class('raw_class')} AS class, {N} AS results,
         min(period) AS first_period, max(period) AS last_period FROM results JOIN contest_headers USING (contest_id) JOIN boats USING (boat_id)
-    WHERE boat_id % 4 = 0 GROUP BY ALL""",
+    WHERE participant_type = 'helm' GROUP BY ALL""",
 )
 def _(t):
-    helms = t.boats.where("boat_id % 4 = 0")  # the role marks these participants as helms
+    helms = t.boats.where("participant_type = 'helm'")
     per = (
         t.results.join(t.contest_headers, "contest_id")
         .groupBy("boat_id")

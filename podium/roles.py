@@ -145,6 +145,7 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "WHEN 5 THEN 'Far 30 ??' WHEN 6 THEN NULL WHEN 7 THEN 'J29' ELSE p_type END AS raw_class",
             "CASE WHEN p_size % 2 = 0 THEN ' Home  Club ' END AS club",
             "CAST(1995 + p_size % 7 AS INT) AS first_period",
+            "CASE WHEN p_partkey % 4 = 0 THEN 'helm' ELSE 'boat' END AS participant_type",
         ],
     ),
     # entries of another results archive, and our own boats to be matched with them

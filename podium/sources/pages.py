@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium import schema
-from podium.functions.text import as_col, blank_to_null, collapse
+from podium.functions.text import as_col, blank_to_null, collapse, let
 from podium.sources.files import file_name
 
 C = F.col
@@ -76,7 +76,7 @@ def page_class(html: Column | str, path: Column | str) -> Column:
     summary = h.rlike(r"""(?i)<table[^>]*class\s*=\s*["']?summarytable""")
     race = h.rlike(r"""(?i)<table[^>]*class\s*=\s*["']?racetable""")
     words = F.lower(plain_text(h))
-    entry_list = F.contains(words, F.lit("entry")) & F.contains(words, F.lit("list"))
+    entry_list = let(words, lambda w: F.contains(w, F.lit("entry")) & F.contains(w, F.lit("list")))
     titled = F.contains(F.lower(F.coalesce(element_text(h, "title"), F.lit(""))), F.lit("sailwave"))
     return (
         F.when(template, "template")
