@@ -22,10 +22,19 @@ MONTH_MARKS = (
 )
 
 
+def _valid(year: Column, month: Column, day: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    return month.between(1, 12) & (day >= 1) & (day <= last)
+
+
+def _padded(n: Column, width: int) -> Column:
+    return F.lpad(n.cast("string"), width, "0")
+
+
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """ISO text of a date, null when there is no such day."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year.isNotNull() & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull(), text)
+    return F.when(_valid(year, month, day), F.concat_ws("-", _padded(year, 4), _padded(month, 2), _padded(day, 2)))
 
 
 def iso_date(raw: Column | str, event_year: Column) -> Column:
@@ -62,7 +71,7 @@ def iso_date(raw: Column | str, event_year: Column) -> Column:
             reading(dash & two & (F.length(a) == 2), a, b, c),
             reading(slash | (dash & two), c, a, b),
         )
-        return F.filter(layouts, lambda r: r.isNotNull() & _iso(r["y"], r["m"], r["d"]).isNotNull())
+        return F.filter(layouts, lambda r: r.isNotNull() & _valid(r["y"], r["m"], r["d"]))
 
     def choose(found: Column) -> Column:
         agreeing = F.filter(found, lambda r: event_year.isNull() | (r["y"] == event_year))
@@ -92,8 +101,8 @@ def clock(seconds: Column | str, *, rounded: bool = False) -> Column:
     s = as_col(seconds)
     whole = (F.round(s) if rounded else F.floor(s)).cast("long")
     div = lambda x, y: F.call_function("div", x, F.lit(y))
-    text = F.format_string("%d:%02d:%02d", div(whole, 3600), div(whole % 3600, 60), whole % 60)
-    return F.when(s.isNotNull(), text)
+    parts = [div(whole, 3600).cast("string"), _padded(div(whole % 3600, 60), 2), _padded(whole % 60, 2)]
+    return F.when(s.isNotNull(), F.concat_ws(":", *parts))
 
 
 def month_name(*texts: Column | str, footer: Column | str | None = None, date: Column | None = None) -> Column:

@@ -48,23 +48,20 @@ def event_type(*parts: Column | str) -> Column:
 
 
 def event_stats(events: DataFrame, contests: DataFrame, results: DataFrame) -> DataFrame:
-    """Contests, results and entities per event.
+    """Events (with their number of contests) together with their results and distinct entities.
 
-    Each child is reduced before it is joined, so nothing fans out and no distinct count is needed; the results are
-    read once.
+    Results meet their event once and are reduced twice, first to (event, entity), so nothing fans out and no
+    distinct count is needed.
     """
-    held = contests.groupBy("event_id").agg(F.count("*").alias("contests"))
     entries = (
-        results.groupBy("contest_id", "entity_id")
-        .agg(F.count("*").alias("n"))
+        results.select("contest_id", "entity_id")
         .join(contests.select("contest_id", "event_id"), "contest_id")
         .groupBy("event_id", "entity_id")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n"))
         .groupBy("event_id")
         .agg(F.sum("n").alias("results"), F.count("*").alias("standings"))
     )
-    out = events.join(held, "event_id", "left").join(entries, "event_id", "left")
-    return out.fillna(0, ["contests", "results", "standings"])
+    return events.join(entries, "event_id", "left").fillna(0, ["results", "standings"])
 
 
 def mark_views(names: DataFrame) -> DataFrame:
@@ -85,12 +82,12 @@ def mark_views(names: DataFrame) -> DataFrame:
     )
 
 
-def canonical_groups(events: DataFrame, counts: DataFrame) -> DataFrame:
+def canonical_groups(events: DataFrame) -> DataFrame:
     """Which events are views of one and the same event, and which view stands for the group.
 
-    ``events`` needs event_id, period, event_type, event_name, source_file, series_month and first_date; ``counts`` is
-    ``event_stats`` of the same events. Groups are reduced to one row each by mergeable aggregates and joined back,
-    so a month with very many views never meets in one task.
+    ``events`` needs event_id, period, event_type, event_name, source_file, series_month, first_date and the counts of
+    ``event_stats``. Groups are reduced to one row each by mergeable aggregates and joined back, so a month with
+    very many views never meets in one task.
     """
     marked = events if "_root" in events.columns else mark_views(events)
     dated = ["period", "_name", "first_date", "_plain"]
@@ -105,8 +102,7 @@ def canonical_groups(events: DataFrame, counts: DataFrame) -> DataFrame:
         .when(C("_root") != "", C("_root"))
         .otherwise(F.concat(F.lit("event:"), C("event_id").cast("string")))
     )
-    known = counts.select("event_id", "contests", "results", "standings")
-    keyed = marked.join(twins, dated, "left").join(known, "event_id").withColumn("group_key", key)
+    keyed = marked.join(twins, dated, "left").withColumn("group_key", key)
     claim = F.struct(
         (~C("_variant")).cast("int").alias("a"),
         (C("_root") == C("_stem")).cast("int").alias("b"),

@@ -23,19 +23,18 @@ STATS = f"""{EVENT_ROWS}, rs AS (SELECT event_id, count(*) AS results, count(DIS
 
 def event_rows(t, series=None):
     heads = t.contest_headers.groupBy("event_id", "series_id", "period").agg(
-        F.date_format(F.trunc(F.min("contest_date"), "month"), "yyyy-MM-dd").alias("first_date")
+        F.date_format(F.trunc(F.min("contest_date"), "month"), "yyyy-MM-dd").alias("first_date"),
+        F.count("*").alias("contests"),
     )
     return heads.join(t.series if series is None else series, "series_id")
 
 
-def stats(t):
-    return ev.event_stats(event_rows(t), t.contest_headers, t.results)
+def stats(t, series=None):
+    return ev.event_stats(event_rows(t, series), t.contest_headers, t.results)
 
 
 def groups(t):
-    rows = event_rows(t, ev.mark_views(t.series))
-    counts = ev.event_stats(rows.select("event_id"), t.contest_headers, t.results)
-    return ev.canonical_groups(rows, counts)
+    return ev.canonical_groups(stats(t, ev.mark_views(t.series)))
 
 
 @query(

@@ -98,7 +98,7 @@ def test_canonical_groups(spark):
         (7, 2001, "trophy", "Alone", "alone.htm", None, None),
     ])
     counts = frame(spark, "event_id long, contests long, results long, standings long", [(i, 1, 10 - i, 1) for i in range(1, 8)])
-    got = {r["event_id"]: r for r in ev.canonical_groups(events, counts).collect()}
+    got = {r["event_id"]: r for r in ev.canonical_groups(events.join(counts, "event_id")).collect()}
     assert {k: r["canonical_event_id"] for k, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
     assert {k for k, r in got.items() if r["is_variant"]} == {2, 4, 6}
     assert got[4]["canonical_name"] == "Glube Cup" and got[7]["canonical_name"] == "Alone"
