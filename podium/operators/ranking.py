@@ -37,7 +37,7 @@ def rank_within(
     hot: list[int] | None = None,
     hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
-    """1..n per group ordered by numeric ``lead`` (not null), then ``ties``.
+    """1..n per group, as a long, ordered by numeric ``lead`` (not null), then ``ties``.
 
     Without hot groups this is a plain ``row_number``. A hot group is cut into value ranges of ``lead``; each
     range is numbered on its own and shifted by the exact row count of the ranges before it. ``hot`` may be handed
@@ -48,7 +48,8 @@ def rank_within(
     if hot is None:
         hot = hot_groups(df, group, hot_rows)
     if not hot:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return df.withColumn(out, number.cast("long"))
 
     spark = df.sparkSession
     hashed = df.withColumn("_h", F.xxhash64(*(hot_on or group)))
@@ -80,7 +81,7 @@ def rank_within(
     )
     return (
         numbered.join(F.broadcast(shift), [*group, "_range"], "left")
-        .withColumn(out, (F.col("_rn") + F.coalesce("_shift", F.lit(0))).cast("int"))
+        .withColumn(out, F.col("_rn") + F.coalesce("_shift", F.lit(0)))
         .drop("_h", "_range", "_rn", "_shift")
     )
 

@@ -93,9 +93,11 @@ def rescore_summary(ranked: DataFrame) -> DataFrame:
 
 def rank_agreement(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spearman's rho of the two ranks per group of at least two."""
-    gap = (C("new_rank") - C("old_rank")).cast("long")
+    # in doubles: exact while the sums stay below 2^53, and no overflow in a contest of any size
+    gap = (C("new_rank") - C("old_rank")).cast("double")
     sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(gap * gap).alias("d2")).where("n >= 2")
-    rho = F.lit(1.0) - (C("d2") * 6).cast("double") / (C("n") * (C("n") * C("n") - 1)).cast("double")
+    n = C("n").cast("double")
+    rho = F.lit(1.0) - C("d2") * 6.0 / (n * (n * n - F.lit(1.0)))
     return sums.select(*keys, "n", rho.alias("rho"))
 
 
@@ -114,12 +116,12 @@ def spread(ranked: DataFrame, value: str, rank: str, trim: int = 0) -> DataFrame
         F.min(v).alias("fastest"),
         F.max(v).alias("slowest"),
         F.sum(v).alias("s"),
-        F.sum((v * v).cast("decimal(28,0)")).alias("s2"),
+        F.sum((v * v).cast("decimal(18,0)")).alias("s2"),
         F.percentile(F.when(C(rank) > 1, v), F.lit(0.5)).alias("mid"),
     )
-    n, s = C("n").cast("decimal(10,0)"), C("s").cast("decimal(19,0)")
+    n, s, s2 = C("n").cast("decimal(12,0)"), C("s").cast("decimal(19,0)"), C("s2").cast("decimal(26,0)")
     # n * sum of squares - square of the sum, exact before the one division
-    variance = (n * C("s2") - s * s).cast("double") / (C("n") * (C("n") - 1)).cast("double")
+    variance = (n * s2 - s * s).cast("double") / (C("n").cast("double") * (C("n") - 1).cast("double"))
     return sums.where("n >= 2").select(
         "contest_id",
         "band",

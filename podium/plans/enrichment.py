@@ -364,7 +364,7 @@ RAW_RANK = "CASE line_no % 4 WHEN 0 THEN CAST(points AS STRING) || 'th' WHEN 1 T
 @query(
     "W11_rank_fill",
     f"""SELECT contest_id, boat_id, line_no, entity_id, CAST(CASE line_no % 4 WHEN 0 THEN points WHEN 2 THEN points
-        ELSE CASE WHEN points > 5 THEN rank END END AS INTEGER) AS filled FROM ranked""",
+        ELSE CASE WHEN points > 5 THEN rank END END AS BIGINT) AS filled FROM ranked""",
 )
 def _(t):
     filled = F.coalesce(times.first_number(F.expr(RAW_RANK)), F.when(C("points") > 5, C("rank")))

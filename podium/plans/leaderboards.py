@@ -394,7 +394,7 @@ def _(t):
     f"""WITH {OWNERS}, u AS (SELECT entity_id, count(*) AS used, min(period) AS first_period FROM star GROUP BY 1),
     m AS (SELECT owner_key, entity_name, sum(used) AS used, min(first_period) AS first_period, min(entity_id) AS entity_id
         FROM u JOIN own USING (entity_id) JOIN entities USING (entity_id) GROUP BY 1, 2)
-    SELECT owner_key, entity_name, CAST(row_number() OVER (PARTITION BY owner_key ORDER BY first_period, entity_id) AS INTEGER) AS member_no,
+    SELECT owner_key, entity_name, CAST(row_number() OVER (PARTITION BY owner_key ORDER BY first_period, entity_id) AS BIGINT) AS member_no,
         first_period, row_number() OVER (PARTITION BY owner_key ORDER BY used DESC, entity_id) = 1 AS is_primary FROM m""",
 )
 def _(t):

@@ -197,7 +197,7 @@ def _(t):
 
 @query(
     "S14_nested_results",
-    """SELECT 'r' || contest_id AS race_key, CASE WHEN entity_id % 5 > 0 THEN 'Boat ' || entity_id ELSE 'Sail # ' || boat_id END AS participant, CAST(boat_id AS VARCHAR) AS sail, rank, elapsed_s,
+    """SELECT 'r' || contest_id AS race_key, CASE WHEN entity_id % 5 > 0 THEN 'Boat ' || entity_id ELSE 'Sail # ' || boat_id END AS participant, CAST(boat_id AS VARCHAR) AS sail, CAST(rank AS INTEGER) AS rank, elapsed_s,
         CAST(points AS DOUBLE) AS points, nullif(status, '') AS status FROM ranked""",
 )
 def _(t):
@@ -281,7 +281,7 @@ def _(t):
 
 ENTRIES_PER_DOC = 500
 STANDING = """st AS (SELECT event_id, entity_id, min(rank) AS best, CAST(sum(points) AS BIGINT) AS points FROM star GROUP BY 1, 2),
-    sp AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY points, entity_id) AS INTEGER) AS place FROM st)"""
+    sp AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY points, entity_id) AS BIGINT) AS place FROM st)"""
 
 
 def event_documents(t):

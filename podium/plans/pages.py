@@ -176,7 +176,7 @@ def _(t):
 def _(t):
     named = pages.named_cells(race_rows(t), ["rank", "boat", "sail_number", "phrf", "elapsed", "fleet"])
     return named.select(
-        "page_id", C("rank").try_cast("int").alias("rank"), "boat", "sail_number", "phrf",
+        "page_id", C("rank").try_cast("long").alias("rank"), "boat", "sail_number", "phrf",
         C("elapsed").try_cast("int").alias("elapsed"), "fleet",
     )
 

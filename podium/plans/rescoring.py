@@ -43,8 +43,8 @@ RATED = f"""{WIND}, rt AS (SELECT contest_id, entity_id, boat_id, line_no, rank,
         tot_medium, tot_high, tod FROM ranked JOIN cw USING (contest_id) JOIN ratings USING (boat_id))"""
 BOTH = f"""{RATED}, cv AS (SELECT *, CAST(elapsed_s AS BIGINT) * CASE band WHEN 'low' THEN tot_low WHEN 'high' THEN tot_high ELSE tot_medium END
         AS corrected FROM rt WHERE tot_low IS NOT NULL),
-    br AS (SELECT *, CAST(row_number() OVER (PARTITION BY contest_id ORDER BY corrected, rank, boat_id, line_no) AS INTEGER) AS new_rank,
-        CAST(row_number() OVER (PARTITION BY contest_id ORDER BY rank) AS INTEGER) AS old_rank FROM cv)"""
+    br AS (SELECT *, CAST(row_number() OVER (PARTITION BY contest_id ORDER BY corrected, rank, boat_id, line_no) AS BIGINT) AS new_rank,
+        CAST(row_number() OVER (PARTITION BY contest_id ORDER BY rank) AS BIGINT) AS old_rank FROM cv)"""
 
 
 def rated(t):
@@ -98,8 +98,8 @@ def _(t):
     return rs.rescore_summary(ranks(t))
 
 
-RHO = f"""{BOTH}, rh AS (SELECT contest_id, band, count(*) AS n, 1 - CAST(6 * sum(CAST((new_rank - old_rank) AS BIGINT) ** 2) AS DOUBLE)
-        / CAST(count(*) * (count(*) * count(*) - 1) AS DOUBLE) AS rho FROM br GROUP BY 1, 2 HAVING count(*) >= 2)"""
+RHO = f"""{BOTH}, rh AS (SELECT contest_id, band, count(*) AS n, 1 - 6e0 * CAST(sum((new_rank - old_rank) * (new_rank - old_rank)) AS DOUBLE)
+        / (CAST(count(*) AS DOUBLE) * (CAST(count(*) AS DOUBLE) * CAST(count(*) AS DOUBLE) - 1e0)) AS rho FROM br GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
 @query("A32_rank_agreement", f"WITH {RHO} SELECT contest_id, band, CAST(n AS BIGINT) AS n, rho FROM rh")
@@ -140,8 +140,8 @@ def spread_sql(trim: int) -> str:
         quantile_cont(v, 0.5) FILTER (new_rank > 1) AS mid FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
     SELECT contest_id, band, CAST(n AS BIGINT) AS n, CAST(f AS BIGINT) AS fastest, CAST(l AS BIGINT) AS slowest,
         100e0 * (l - f) / f AS range_pct, mid - f AS median_gap, CAST(s - f * n AS DOUBLE) / (n - 1) AS mean_gap,
-        sqrt(CAST(n * s2 - s * s AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) AS stdev,
-        100e0 * sqrt(CAST(n * s2 - s * s AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) / (CAST(s AS DOUBLE) / n) AS stdev_pct FROM g"""
+        sqrt(CAST(n * s2 - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE))) AS stdev,
+        100e0 * sqrt(CAST(n * s2 - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE))) / (CAST(s AS DOUBLE) / n) AS stdev_pct FROM g"""
 
 
 def _seconds(t):

@@ -274,7 +274,7 @@ class Tables:
 CTES: dict[str, str] = {
     **{name: cte(name) for name in BINDINGS},
     "ranked": """SELECT *, CAST(row_number() OVER (PARTITION BY contest_id
-        ORDER BY metric DESC, boat_id, line_no, entity_id) AS INTEGER) AS rank FROM results""",
+        ORDER BY metric DESC, boat_id, line_no, entity_id) AS BIGINT) AS rank FROM results""",
     "contests": "SELECT * FROM contest_headers JOIN series USING (series_id)",
     "star": "SELECT * FROM ranked JOIN contests USING (contest_id)",
     "scoped": """SELECT * FROM star WHERE event_type <> 'championship'
