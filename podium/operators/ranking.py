@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 MAX_HOT = 1000  # hot groups kept on the driver; also the row bound of what is broadcast
 TRACKED = 20_000  # counters of the sketch: a group with over 0.02 % of all rows is found
 CUTS = 255
+SAMPLE = 100_000  # rows from which the cuts of all hot groups are chosen
 
 
 def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int) -> list[int]:
@@ -25,6 +27,29 @@ def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int) -> list[int]:
     return sorted(r.t["item"] for r in rows)
 
 
+def _cuts(hashed: DataFrame, hot: DataFrame, value: Column, hot_rows: int) -> DataFrame:
+    """Points, in ranking order, that cut each hot group into pieces of about ``hot_rows`` rows.
+
+    They come from a bounded sample and are fixed here once, so every later use sees the same ranges. Any points
+    give right ranks; good ones give even pieces. Being whole order keys, they also cut rows that tie in the
+    leading column.
+    """
+    keyed = hashed.join(F.broadcast(hot), "_h").select("_h", value.alias("k"))
+    sizes = {r["_h"]: r["count"] for r in keyed.groupBy("_h").count().collect()}  # at most MAX_HOT rows
+    every = max(1, sum(sizes.values()) // SAMPLE)
+    sample = keyed.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).limit(4 * SAMPLE).collect()
+    found: dict[int, list[tuple]] = {h: [] for h in sizes}
+    for r in sample:
+        found[r["_h"]].append(tuple(r["k"]))
+    rows = []
+    for h, keys in found.items():
+        keys.sort(key=lambda k: tuple((x is not None, x) for x in k))
+        pieces = min(CUTS + 1, len(keys) + 1, -(-sizes[h] // hot_rows))
+        rows.append((h, [keys[i * len(keys) // pieces] for i in range(1, pieces)]))
+    ddl = StructType([StructField("_h", LongType()), StructField("_cuts", ArrayType(keyed.schema["k"].dataType))])
+    return hashed.sparkSession.createDataFrame(rows, ddl)
+
+
 def rank_within(
     df: DataFrame,
     group: Sequence[str],
@@ -39,8 +64,8 @@ def rank_within(
 ) -> DataFrame:
     """1..n per group, as a long, ordered by numeric ``lead`` (not null), then ``ties``.
 
-    Without hot groups this is a plain ``row_number``. A hot group is cut into value ranges of ``lead``; each
-    range is numbered on its own and shifted by the exact row count of the ranges before it. ``hot`` may be handed
+    Without hot groups this is a plain ``row_number``. A hot group is cut into ranges of its order; each range is
+    numbered on its own and shifted by the exact row count of the ranges before it. ``hot`` may be handed
     in when it is known already; ``hot_on`` then names the columns it was found on.
     """
     group = list(group)
@@ -53,20 +78,12 @@ def rank_within(
 
     spark = df.sparkSession
     hashed = df.withColumn("_h", F.xxhash64(*(hot_on or group)))
-    keys = F.broadcast(spark.createDataFrame([(h,) for h in hot], "_h long"))
-    steps = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    # at most MAX_HOT x CUTS doubles; fixed here once so that every later use sees the same ranges
-    cuts = (
-        hashed.join(keys, "_h")
-        .groupBy("_h")
-        .agg(F.percentile_approx(F.col(lead).cast("double"), steps, 10_000).alias("_cuts"))
-        .collect()
+    value = F.struct(
+        (-F.col(lead) if descending else F.col(lead)).alias("k0"), *[c.alias(f"k{i}") for i, c in enumerate(ties, 1)]
     )
-    cut_df = F.broadcast(spark.createDataFrame([(r["_h"], r["_cuts"]) for r in cuts], "_h long, _cuts array<double>"))
-    value = F.col(lead).cast("double")
-    before = (lambda c: c > value) if descending else (lambda c: c < value)
+    cut_df = F.broadcast(_cuts(hashed, spark.createDataFrame([(h,) for h in hot], "_h long"), value, hot_rows))
     cut = hashed.join(cut_df, "_h", "left").withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", before)))
+        "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < value)))
     )
     prior = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
@@ -79,8 +96,9 @@ def rank_within(
     numbered = cut.drop("_cuts").withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
     )
+    # the numbered rows are partitioned by this key already, so only the few counts move
     return (
-        numbered.join(F.broadcast(shift), [*group, "_range"], "left")
+        numbered.join(shift, [*group, "_range"], "left")
         .withColumn(out, F.col("_rn") + F.coalesce("_shift", F.lit(0)))
         .drop("_h", "_range", "_rn", "_shift")
     )

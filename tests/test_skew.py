@@ -41,6 +41,17 @@ def test_rank_of_hot_groups(spark):
         assert {r["id"]: r["rank"] for r in got.collect()} == expected_ranks(rows, descending)
 
 
+def test_rank_of_a_hot_group_of_ties(spark):
+    rows = [(0 if i % 3 else i, 7, i * 7919 % 5003) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g long, v long, id long").repartition(8)
+    got = ranking.rank_within(df, ["g"], "v", [F.col("id")], hot_rows=500)
+    assert {r["id"]: r["rank"] for r in got.collect()} == expected_ranks(rows, False)
+    hot = ranking.hot_groups(df, ["g"], 500)
+    keyed = df.withColumn("_h", F.xxhash64("g"))
+    cuts = ranking._cuts(keyed, spark.createDataFrame([(h,) for h in hot], "_h long"), F.struct(F.col("v").alias("k0"), F.col("id").alias("k1")), 500)
+    assert [len(r["_cuts"]) for r in cuts.collect()] == [6]
+
+
 def test_rank_without_hot_groups_is_one_window(spark):
     rows, df = skewed(spark)
     got = ranking.rank_within(df, ["g"], "v", [F.col("id")], hot_rows=10**6)
