@@ -42,10 +42,13 @@ def presence(text: str, sizes: tuple[int, ...], bits: int, wanted: np.ndarray) -
     return np.unique(np.concatenate(hits)) if hits else np.empty(0, wanted.dtype)
 
 
-def frequencies(text: str, sizes: tuple[int, ...], bits: int) -> np.ndarray:
-    """Vector of length 1 of the square roots of the n-gram counts; zero for a text without n-grams."""
+def frequencies(text: str, sizes: tuple[int, ...], bits: int, doubt: float = 0.0) -> np.ndarray:
+    """Square roots of the n-grams' shares: a vector of length 1, and zero for a text without n-grams.
+
+    ``doubt`` is a number of n-grams that are taken to be unseen; it draws the vector of a short text towards zero.
+    """
     counts = np.zeros(1 << bits, np.float64)
     for found in buckets(text, sizes, bits):
         counts += np.bincount(found, minlength=1 << bits)
     total = counts.sum()
-    return np.sqrt(counts / total).astype(np.float32) if total else counts.astype(np.float32)
+    return np.sqrt(counts / (total + doubt)).astype(np.float32) if total else counts.astype(np.float32)

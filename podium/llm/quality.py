@@ -29,7 +29,11 @@ SIZES = (1, 2, 3)
 BITS = 12
 MAX_EACH = 2_500
 STEPS = 300
+#: Ratings are grades, not measurements: the lowest so many are learned.
+MAX_GRADES = 100
 PENALTY = 1e-4
+#: N-grams taken to be unseen, so that a few odd letters do not decide over a short text.
+DOUBT = 300.0
 #: Documents whose tail probability is under this are rejected.
 SELECT = 0.5
 
@@ -42,7 +46,7 @@ class Model:
 
     def tails(self, text: str) -> np.ndarray:
         """P(grade > k) for each k but the last."""
-        return logistic(frequencies(text, SIZES, BITS) @ self.weights - self.thresholds)
+        return logistic(features(text) @ self.weights - self.thresholds)
 
     def expected(self, tails: np.ndarray) -> float:
         return float(self.grades[0] + np.diff(self.grades) @ tails)
@@ -53,16 +57,23 @@ class Model:
         return 1.0 if below == 0 else 0.0 if below == len(self.grades) else float(tails[below - 1])
 
 
+def features(text: str) -> np.ndarray:
+    """Hashed character n-grams, and hashed n-grams of the marks "the word before again" and "another word"."""
+    words = text.split()
+    again = "".join("\x01" if a == b else "\x02" for a, b in zip(words, words[1:], strict=False))
+    letters, repeats = frequencies(text, SIZES, BITS, DOUBT), frequencies(again, SIZES, BITS, DOUBT / 5)
+    return (letters + repeats) * np.float32(0.7)
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, classes: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of greatest likelihood, grades weighing the same; adaptive descent.
+def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of greatest likelihood; adaptive descent.
 
-    Thresholds are the first one plus exponentials, so they stay in order throughout.
+    ``weight`` is each row's. Thresholds are the first one plus exponentials, so they stay in order throughout.
     """
-    weight = (1 / np.maximum(np.bincount(y, minlength=classes), 1))[y] / classes
     w, gaps = np.zeros(x.shape[1]), np.concatenate([[-0.5 * (classes - 2)], np.zeros(classes - 2)])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(gaps), np.zeros_like(gaps)]
     for step in range(1, steps + 1):
@@ -91,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
     known = known.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col(target).cast("int")).alias("y"))
-    grades = [r["y"] for r in known.select("y").distinct().orderBy("y").limit(100).collect()]
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().orderBy("y").limit(MAX_GRADES).collect()}
+    grades = sorted(sizes)
     if len(grades) < 2:
         return None
     chosen = [known.where(F.col("y") == g).orderBy(F.xxhash64("key"), "key").limit(most) for g in grades]
@@ -101,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
 
     def reduce(batches):
         for batch in batches:
-            rows = [frequencies(t, SIZES, BITS) for t in batch.column(0).to_pylist()]
+            rows = [features(t) for t in batch.column(0).to_pylist()]
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
     x[np.repeat(np.arange(len(y)), lengths), rows.column("at").combine_chunks().flatten().to_numpy()] = (
         rows.column("value").combine_chunks().flatten().to_numpy()
     )
-    weights, thresholds = fit_ordinal(x, y, len(grades))
+    # a grade of which only a part was sampled weighs as its share of all ratings
+    share = np.array([sizes[g] for g in grades], float) / sum(sizes.values())
+    weights, thresholds = fit_ordinal(x, y, (share / np.bincount(y, minlength=len(grades)).clip(1))[y], len(grades))
     return Model(grades, weights, thresholds)
 
 
