@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +22,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the size of Arrow batches to what the operators are written for; smaller settings stay."""
+@functools.cache
+def _ship_package(application: str) -> None:
+    """Send this package to the Python workers, which need not see the driver's folders."""
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="podium-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    SparkContext.getOrCreate().addPyFile(str(archive))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before Python stages: ship the code once, lower the size of Arrow batches; smaller settings stay."""
+    _ship_package(spark.sparkContext.applicationId)
     for key, most in BATCH.items():
         now = str(spark.conf.get(key, str(most))).lower().removesuffix("b")
         scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
@@ -72,7 +87,7 @@ def map_texts(docs: DataFrame, make, fields: list[tuple[str, str]]) -> DataFrame
     A null text counts as empty. The function returns a tuple of values in the order of ``fields`` (name, SQL type).
     Arrow batches are bounded, so is what a task holds.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = ["doc_id", *(name for name, _ in fields)]
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
              "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import bounded_batches, map_texts
+from podium.llm.common import prepare, map_texts
 from podium.llm.features import frequencies
 
 # Families of languages, by their codes.
@@ -116,7 +116,7 @@ class Model:
 
 def fit(docs: DataFrame, learn: Column) -> Model | None:
     """Learn from the rows (doc_id, text, lang) for which ``learn`` holds."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.where(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     counts = rows.groupBy(F.col("lang").alias("language")).count().orderBy(F.col("count").desc(), "language")
     languages = sorted(r["language"] for r in counts.limit(MAX_LANGUAGES).collect())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import bounded_batches, map_texts
+from podium.llm.common import prepare, map_texts
 from podium.llm.features import frequencies
 from podium.llm.toxicity import sampled_texts
 
@@ -99,7 +99,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = MAX_EACH) -> Model | None:
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
     known = known.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col(target).cast("int")).alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().orderBy("y").limit(MAX_GRADES).collect()}
@@ -159,7 +159,7 @@ def keep_good(docs: DataFrame, model: Model | None, good: int = 1) -> DataFrame:
     """The rows of docs, all their columns, whose tail probability reaches SELECT."""
     if model is None:
         return docs
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def selected(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import chat, language, licenses, quality, toxicity
+from podium.llm import chat, language, licenses, quality, simhash, suffixes, toxicity
 from podium.llm.common import read, remainder
 
 #: The conversation that every run formats besides those of the table.
@@ -36,6 +36,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).withColumn("held_out", held_out)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs, remainder("doc_id", 4) != 2)
@@ -43,6 +48,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, model).withColumn("held_out", held_out)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return quality.score_quality(docs, quality.fit(docs, labels))
@@ -52,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
+    "op6_simhash": op6_simhash,
     "op7_language": op7_language,
+    "op9_suffixes": op9_suffixes,
     "op10_quality": op10_quality,
 }
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import bounded_batches, map_texts
+from podium.llm.common import prepare, map_texts
 from podium.llm.features import buckets, presence
 
 SIZES = (4, 5)
@@ -80,7 +80,7 @@ def feature_counts(texts: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic") -> Model | None:
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = sampled_texts(docs, sample(labels, learn, target))
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:

@@ -74,7 +74,7 @@ def _piece_anchors(data: np.ndarray, length: int):
 
 
 def anchors(data: np.ndarray, length: int):
-    """For each run of windows with one anchor: k-mer hash, hash of all bytes of the run, first and last window start.
+    """For each run of windows with one anchor: hashes of its k-mer and of all bytes, first and last window, anchor.
 
     Texts shorter than ``length`` have none. The run's hash also covers the anchor's place in it. A text of more than
     one piece may split a run at a piece border; both parts then count as runs of their own.
@@ -84,9 +84,9 @@ def anchors(data: np.ndarray, length: int):
         part = data[begin : begin + PIECE + length - 1]
         kmer, at, first, last, sums = _piece_anchors(part, length)
         whole = span_hash(sums, first, last + length) ^ mix((at - first).astype(np.uint64))
-        found.append((kmer, whole, first + begin, last + begin))
+        found.append((kmer, whole, first + begin, last + begin, at + begin))
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return (*(np.empty(0, np.uint64) for _ in range(2)), *(np.empty(0, np.int64) for _ in range(3)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
