@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, language, licenses, quality, simhash, suffixes, toxicity
+from podium.llm import bpe, chat, decontam, language, licenses, quality, simhash, suffixes, toxicity
 from podium.llm.common import read, remainder
 
 #: The conversation that every run formats besides those of the table.
@@ -25,6 +25,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_chats(turns.unionByName(probe))))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def vocabulary(file: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabulary:
     import public_tokenizers
 
@@ -69,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_decontam": op2_decontam,
     "op3_bpe": op3_bpe,
     "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
