@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, decontam, language, licenses, quality, simhash, suffixes, toxicity
+from podium.llm import bpe, chat, decontam, embeddings, language, licenses, quality, simhash, suffixes, toxicity
 from podium.llm.common import read, remainder
 
 #: The conversation that every run formats besides those of the table.
@@ -62,6 +62,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, model).withColumn("held_out", held_out)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(read(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
+    "op8_embeddings": op8_embeddings,
     "op9_suffixes": op9_suffixes,
     "op10_quality": op10_quality,
 }
