@@ -278,10 +278,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, and its ids are decoded again."""
+def digests(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for.
+
+    Each text is encoded, and its ids are decoded again.
+    """
     prepare(docs.sparkSession)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         of = coder(vocabulary)
@@ -294,9 +297,11 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(of.listed(i).encode()).hexdigest() for i in ids]),
                     pa.array([hashlib.sha256(data).hexdigest() for data in of.decode(ids)]),
+                    *[pa.array(ids, pa.list_(pa.int32()))] * with_ids,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(part)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return own.mapInArrow(run, schema)

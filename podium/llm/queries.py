@@ -88,4 +88,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+# The template and its escapes, written out again.
+OP1_SQL = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+    SELECT *,
+        regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|</?SYS>>)', '<\\!\1', 'g'), '\[(/?INST\])', '[\\!\1', 'g') AS shown,
+        regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(\||/?s>|</?SYS>>)', '<\\!\1', 'g'), '\[(/?INST\])', '[\\!\1', 'g') AS named,
+        row_number() OVER w AS place,
+        lag(role) OVER w IS NOT DISTINCT FROM role AND row_number() OVER w > 1 AS goes_on
+    FROM said
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id,
+    count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(shown) + CASE WHEN goes_on THEN 8 ELSE length(named) + 23 END)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT e.vec_id,
+    (SELECT count(*) FROM links l WHERE l.a = e.vec_id)::BIGINT AS n_links,
+    least(e.vec_id, coalesce((SELECT min(r.b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+    e.vec_id = least(e.vec_id, coalesce((SELECT min(r.b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e
+"""
+
+#: The others learn, hash or tokenize in ways that SQL can't express; tests/llm holds them against brute force.
+SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op8_embeddings": OP8_SQL}
