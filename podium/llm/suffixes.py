@@ -239,7 +239,7 @@ def joined_spans(spans: DataFrame) -> DataFrame:
 def union_of(spans) -> list[tuple[int, int]]:
     """Maximal runs of the union of sorted spans; spans that touch are one run."""
     merged: list[tuple[int, int]] = []
-    for span in spans or ():
+    for span in () if spans is None else spans:
         a, b = span["start"], span["end"]
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
