@@ -3,11 +3,11 @@
 A document's fingerprint has 64 bits: lower-cased in A-Z, the words of the whole text form shingles, and a bit is 1 if it
 is set in over half of the shingles' XXH64 hashes. Fingerprints link at MAX_BITS = 4 or fewer differing bits.
 
-Search. A fingerprint is cut into segments of 23, 23 and 18 bits. Of at most four differing bits, the two least hit
-segments hold at most two together. Take such a pair of segments: some word is at most one bit away from both
-fingerprints there, so if each fingerprint has, for every way to change at most one bit of the pair, a key made of the
-two segments' nearest Golay codewords, the two share a key. Nearby words have the same codewords, so these are about a
-dozen distinct keys and not 47. Every candidate is verified.
+Search. A fingerprint is cut into segments of 22, 21 and 21 bits. Of at most four differing bits, the two least hit
+segments, P and Q, hold at most two together, so some word is at most one bit away from both fingerprints there. Each
+fingerprint has, for every way to change at most one bit of P or Q, a key made of the number of the Golay codeword nearest
+to P and of Q itself; two near fingerprints share the key of the word between them. Nearby words have the same codeword,
+so the 22 changes of P give about six distinct keys. Every candidate is verified.
 
 Groups. Equal fingerprints are one class. In a key's bucket, members link to the smallest one if near it (a star, not all
 pairs); components of these links are taken. Only buckets of three or more that still hold several components are looked
@@ -32,8 +32,8 @@ from podium.llm.components import components
 
 MAX_BITS = 4
 SEED = 42
-#: (lowest bit, bits) of the segments, and the pairs of segments that make keys.
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: (lowest bit, bits) of the segments, and the pairs of segments (by codeword, as it is) that make keys.
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -76,17 +76,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in fps, key) of all distinct keys."""
     words = fps.view(np.uint64)
-    segments = [((words >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.uint32) for low, size in SEGMENTS]
     # column 0: the segment itself; the others: with one bit changed
-    indexes = [
-        golay.index(np.stack([s, *(s ^ np.uint32(1 << b) for b in range(size))], axis=1))
-        for s, (_, size) in zip(segments, SEGMENTS, strict=True)
+    near = [
+        np.stack([s, *(s ^ np.uint32(1 << b) for b in range(size))], axis=1)
+        for low, size in SEGMENTS
+        for s in [((words >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.uint32)]
     ]
     at, keys = [], []
     for number, (p, q) in enumerate(PAIRS):
-        left = indexes[p] << 12 | indexes[q][:, :1]
-        right = indexes[p][:, :1] << 12 | indexes[q][:, 1:]
-        made = np.sort(np.hstack([left, right]).astype(np.int64) | number << 24, axis=1)
+        coded, exact = golay.index(near[p]).astype(np.int64), near[q].astype(np.int64)
+        made = np.hstack([coded << 22 | exact[:, :1], coded[:, :1] << 22 | exact[:, 1:]])
+        made = np.sort(made | number << 34, axis=1)
         fresh = np.ones(made.shape, bool)
         fresh[:, 1:] = made[:, 1:] != made[:, :-1]
         rows, columns = np.nonzero(fresh)
@@ -102,9 +102,9 @@ def keyed(classes: DataFrame) -> DataFrame:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             at, keys = golay_keys(np.ascontiguousarray(fps))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(fps[at], pa.int64())], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps[at], pa.int64())], names=["key", "fp"])
 
-    return classes.select("fp").mapInArrow(run, "key int, fp long")
+    return classes.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def near(a: str, b: str):
