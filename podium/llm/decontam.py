@@ -28,7 +28,7 @@ from podium.llm.windows import mix, prefix_sums, span_hash
 
 WIDTH = 8
 MIN_LITERALS = 5
-#: Windows that an alignment needs: together thirteen tokens.
+#: Windows that an alignment needs; side by side they span thirteen tokens.
 NEEDED = 6
 BITS = 24
 #: Bytes of a text handled at once; cut after a line or a word.

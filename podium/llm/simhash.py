@@ -165,15 +165,15 @@ def hexadecimal(fp: str):
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of docs, all their columns, whose doc_id is their component's smallest.
 
-    Rows that share such a doc_id count as one document: the one with the smallest text stays. Rows without doc_id stay
-    where no named document is near them.
+    Rows that share such a doc_id count as one document: the one with the smallest text stays. Rows without doc_id, which
+    no verdict can name, stay.
     """
     result = cut(near_duplicates(docs, shingle), "near")
-    stays = result.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = result.where(F.col("doc_id") == F.col("component_id"))
     stays = cut(stays.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")), "stays")
-    single = stays.where("rows = 1 or kept_id is null")
-    kept = docs.join(single, docs["doc_id"].eqNullSafe(single["kept_id"]), "left_semi")
-    several = stays.where("rows > 1 and kept_id is not null")
+    single = stays.where("rows = 1")
+    kept = docs.join(single, docs["doc_id"] == single["kept_id"], "left_semi").union(docs.where(docs["doc_id"].isNull()))
+    several = stays.where("rows > 1")
     if several.isEmpty():
         return kept
     again = docs.join(several, docs["doc_id"] == several["kept_id"], "left_semi")
