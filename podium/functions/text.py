@@ -66,23 +66,19 @@ def strip_number(stem: Column) -> Column:
     return F.regexp_replace(stem, r"_*\d+$|_+$", "")
 
 
-# Words that mark a view in an event name.
-VIEW_WORDS = (
-    r"\s+\boverall\b",
-    r"\s+\bsummary\b",
-    r"\s+a\s*&\s*b(?:\s*&\s*s)?\b",
-    r"\s+a&?b(?:&s)?\b",
-    r"\s+a,b(?:\s*&\s*s)?\b",
-    r"\s+all\b",
-)
+# Words that mark a view in an event name; blanks around & do not count.
+VIEW_TOKENS = ("A&B&S", "A,B&S", "AB&S", "A&B", "A,B", "AB", "All", "Overall", "Summary")
+VIEW_WORDS = r"(?i)\s+(?:" + "|".join(VIEW_TOKENS).replace("&", r"\s*&\s*") + r")\b"
 VIEW_NAME = r"\boverall\b|\bsummary\b|\ba\s*&\s*b\b|\ba,b\b|\ball\b"
 
 
 def canonical_name(c: Column | str) -> Column:
-    out = collapse(c)
-    for words in VIEW_WORDS:
-        out = F.regexp_replace(out, "(?i)" + words, "")
-    return F.btrim(F.regexp_replace(out, r"\s{2,}", " "), F.lit(" -"))
+    """The event's name without the words that mark a view of it."""
+    return trim_ends(collapse(F.regexp_replace(collapse(c), VIEW_WORDS, "")))
+
+
+def trim_ends(c: Column) -> Column:
+    return F.btrim(c, F.lit(" -"))
 
 
 def is_view_name(c: Column | str) -> Column:
@@ -90,10 +86,9 @@ def is_view_name(c: Column | str) -> Column:
 
 
 def clean_title(c: Column | str) -> Column:
-    """Title without '??' and '##' marks, without blanks before punctuation or dashes at the ends."""
-    out = F.regexp_replace(collapse(c), r"\s*(\?\?+|##+)\s*", " ")
-    out = F.regexp_replace(out, r"\s+([,.;:])", "$1")
-    return F.btrim(F.regexp_replace(out, r"\s{2,}", " "), F.lit(" -"))
+    """Title in which marks of doubt (?? and ##) count as blanks, and blanks before punctuation do not count."""
+    certain = collapse(F.regexp_replace(collapse(c), r"[?]{2,}|#{2,}", " "))
+    return trim_ends(F.regexp_replace(certain, " (?=[,.;:])", ""))
 
 
 TITLE_PREFIX = r"(?i)^Sailwave results for\s+"  # fixed value: prefix the scoring program puts on page titles
@@ -126,16 +121,6 @@ def has_all_terms(text: Column, terms: Sequence[str]) -> Column:
     return out
 
 
-def first_rule(rules: Mapping[str, str] | Sequence[tuple[str, str]], text: Column, default: Column | None = None) -> Column:
-    """Value of the first rule whose pattern matches ``text``; rules are tried in order."""
-    pairs = list(rules.items()) if isinstance(rules, Mapping) else list(rules)
-    out = None
-    for pattern, value in pairs:
-        hit = text.rlike(pattern)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(default if default is not None else F.lit(None))
-
-
 def map_label(c: Column | str, labels: Mapping[str, str], prefix: str = r"^[A-Z]+ - ") -> Column:
     """Canonical label by lookup, tried on ever looser forms of the text.
 

@@ -95,7 +95,7 @@ def records(times: DataFrame, keys: Sequence[str]) -> DataFrame:
 def preferred_winner(standing_winners: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One winner per key: the overall scope first, then the lowest points."""
     scope = F.when(C("scope") == "overall", 0).otherwise(1)
-    return keep_first(standing_winners, keys, [scope, F.coalesce("nett", F.lit(999_999)), C("entity_id")])
+    return keep_first(standing_winners, keys, [scope, C("nett").isNull(), C("nett"), C("entity_id")])
 
 
 def with_fallback(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -23,11 +23,6 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def money(col: Column | str) -> Column:
-    """Fixed-point view of a double amount, so that sums do not depend on the order of addition."""
-    return F.col(col).cast("decimal(18,2)") if isinstance(col, str) else col.cast("decimal(18,2)")
-
-
 def wins(rank: str = "rank") -> Column:
     return count_if(F.col(rank) == 1)
 

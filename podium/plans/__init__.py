@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("leaderboards", "scalars", "events", "rescoring", "enrichment", "identity", "pages", "marts")
+MODULES = ("events", "leaderboards", "scalars", "rescoring", "enrichment", "identity", "pages", "marts")
 
 
 def load() -> None:

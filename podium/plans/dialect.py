@@ -77,13 +77,8 @@ def canonical_stem(x: str) -> str:
 
 
 def canonical_name(x: str) -> str:
-    out = collapse(x)
-    for p in (
-        r"\s+overall\b", r"\s+summary\b", r"\s+a\s*&\s*b(?:\s*&\s*s)?\b", r"\s+a&?b(?:&s)?\b",
-        r"\s+a,b(?:\s*&\s*s)?\b", r"\s+all\b",
-    ):
-        out = rx(out, "(?i)" + p)
-    return f"trim({rx(out, chr(92) + 's{2,}', ' ')}, ' -')"
+    words = r"(?i)\s+(A\s*&\s*B\s*&\s*S|A,B\s*&\s*S|AB\s*&\s*S|A\s*&\s*B|A,B|AB|All|Overall|Summary)\b"
+    return f"trim({collapse(rx(collapse(x), words))}, ' -')"
 
 
 def clean_title(x: str) -> str:

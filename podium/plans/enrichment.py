@@ -24,7 +24,8 @@ N = q.n()
     "SELECT contest_id, period, event_id FROM contest_headers WHERE contest_id NOT IN (SELECT contest_id FROM results)",
 )
 def _(t):
-    return t.contest_headers.join(t.results, "contest_id", "left_anti").select("contest_id", "period", "event_id")
+    sailed = t.results.select("contest_id").distinct()
+    return t.contest_headers.join(sailed, "contest_id", "left_anti").select("contest_id", "period", "event_id")
 
 
 @query(
@@ -311,7 +312,7 @@ STAND = """sw AS (SELECT event_id, series_id, period, entity_id, CASE WHEN entit
         ORDER BY CASE scope WHEN 'overall' THEN 0 ELSE 1 END, nett, entity_id) AS rn FROM sw) WHERE rn = 1),
     rw AS (SELECT series_id, period, event_id, entity_id, CAST(points AS BIGINT) AS nett, 'race' AS scope FROM (SELECT *, row_number() OVER
         (PARTITION BY series_id, period ORDER BY points, contest_id) AS rn FROM star WHERE rank = 1) WHERE rn = 1),
-    wn AS (SELECT * FROM pw UNION ALL SELECT * FROM rw WHERE (series_id, period) NOT IN (SELECT (series_id, period) FROM pw))"""
+    wn AS (SELECT * FROM pw UNION ALL SELECT * FROM rw WHERE series_id NOT IN (SELECT series_id FROM pw))"""
 
 
 def standing_winners(t):
@@ -332,7 +333,8 @@ def winners(t):
         F.lit("race").alias("scope"),
     )
     second = keep_first(rows, ["series_id", "period"], [C("nett"), C("contest_id")]).drop("contest_id")
-    return hi.with_fallback(first, second, ["series_id", "period"])
+    # races count only where a series has no standings at all
+    return hi.with_fallback(first, second, ["series_id"])
 
 
 @query("W04_preferred_winner", f"WITH {STAND} SELECT * FROM pw")
@@ -347,14 +349,13 @@ def _(t):
 
 @query(
     "W06_first_per_logical_race",
-    f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY event_id, CASE WHEN contest_no IS NOT NULL THEN 'num:' || contest_no
-        WHEN regexp_matches(contest_key, '[0-9]') THEN 'key:' || CAST(regexp_extract(contest_key, '[0-9]+') AS INT)
-        ELSE 'date:' || contest_date END, entity_id ORDER BY rank, contest_id, boat_id, line_no) AS rn FROM star)
+    f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY event_id, contest_no, contest_key, contest_date, entity_id ORDER BY rank, contest_id, boat_id, line_no) AS rn FROM star)
     SELECT event_id, entity_id, contest_id, rank, boat_id FROM d WHERE rn = 1""",
 )
 def _(t):
-    rows = t.star.select("event_id", ev.race_token().alias("token"), "entity_id", "contest_id", "rank", "boat_id", "line_no")
-    first = keep_first(rows, ["event_id", "token", "entity_id"], [C("rank"), C("contest_id"), C("boat_id"), C("line_no")])
+    race = ["event_id", "contest_no", "contest_key", "contest_date", "entity_id"]
+    rows = t.star.select(*race, "contest_id", "rank", "boat_id", "line_no")
+    first = keep_first(rows, race, [C("rank"), C("contest_id"), C("boat_id"), C("line_no")])
     return first.select("event_id", "entity_id", "contest_id", "rank", "boat_id")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from podium.functions import text, times
 from podium.operators import events as ev
 from podium.operators.measures import count_if, half_up
-from podium.operators.scope import exclude
 from podium.plans import dialect as q
 from podium.plans.registry import query
+from podium.roles import define
 
 C = F.col
 N = q.n()
@@ -141,19 +141,19 @@ def _(t):
     )
 
 
-# Name and type decide most special events; the cheap form is what the scope filters use.
-CHEAP = f"""{GROUPS}, skip AS (SELECT event_id FROM er WHERE event_type = 'championship'
-        OR regexp_matches(lower(event_name), '{LOCAL_RX}|{EXTERNAL_RX}') UNION SELECT event_id FROM cg WHERE is_variant)"""
+# Events that leaderboards leave out: special by any of the five rules, or another view of an event that counts.
+define(
+    "skipped",
+    ["contests", "star", "results", "contest_headers", "boats"],
+    f"WITH {GROUPS}, {SPECIAL.removeprefix(EVENT_ROWS + ', ')} SELECT event_id FROM sp UNION SELECT event_id FROM cg WHERE is_variant",
+)
 
 
 def skip_sets(t):
-    named = ev.special_events(
-        event_rows(t).withColumns({"participants": F.lit(0), "helm_ratio": F.lit(0.0), "oneoff_ratio": F.lit(0.0)})
-    )
-    return named.select("event_id"), groups(t).where("is_variant").select("event_id")
+    return specials(t).select("event_id"), groups(t).where("is_variant").select("event_id")
 
 
-@query("U01_skip_set", f"WITH {CHEAP} SELECT event_id FROM skip")
+@query("U01_skip_set", "SELECT event_id FROM skipped")
 def _(t):
     special, variant = skip_sets(t)
     return special.union(variant).distinct()
@@ -161,11 +161,11 @@ def _(t):
 
 @query(
     "F01_analytic_scope",
-    f"""WITH {CHEAP} SELECT period, event_type, {N} AS results, {q.n('DISTINCT contest_id')} AS contests FROM star
-    WHERE event_id NOT IN (SELECT event_id FROM skip) GROUP BY 1, 2""",
+    f"""SELECT period, event_type, {N} AS results, {q.n('DISTINCT contest_id')} AS contests FROM star
+    WHERE event_id NOT IN (SELECT event_id FROM skipped) GROUP BY 1, 2""",
 )
 def _(t):
-    kept = exclude(t.contests, *skip_sets(t), on="event_id").select("contest_id", "period", "event_type")
+    kept = t.open_contests.select("contest_id", "period", "event_type")
     per = t.results.groupBy("contest_id").agg(F.count("*").alias("n"))
     return (
         per.join(kept, "contest_id")

@@ -10,6 +10,7 @@ from podium.operators.measures import count_if, half_up, wins
 from podium.operators.ranking import hot_groups, rank_within, top_k
 from podium.operators.scope import clean_finish
 from podium.plans import dialect as q
+from podium.plans import events  # noqa: F401  defines the scope that the oracles name
 from podium.plans.registry import query
 
 C = F.col
@@ -59,7 +60,7 @@ def _(t):
     "A02_kpi_snapshot",
     """SELECT (SELECT CAST(count(*) AS BIGINT) FROM contests) AS contests,
         (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM contests) AS events,
-        (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM contests WHERE event_type <> 'championship') AS open_events,
+        (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM open_contests) AS open_events,
         (SELECT min(period) FROM contests) AS first_period, (SELECT max(period) FROM contests) AS last_period,
         (SELECT CAST(count(*) AS BIGINT) FROM star) AS results, (SELECT CAST(count(*) AS BIGINT) FROM scoped) AS scoped_results,
         (SELECT CAST(count(DISTINCT entity_id) AS BIGINT) FROM scoped) AS scoped_entities,
@@ -68,18 +69,20 @@ def _(t):
 def _(t):
     from podium.operators.scope import showed_up
 
-    events = t.contests.groupBy("event_id", "event_type").agg(
+    skipped = t.open_contests.select(C("event_id").alias("open_id")).distinct()
+    contests = t.contests.join(skipped, C("event_id") == C("open_id"), "left").withColumn("open", C("open_id").isNotNull())
+    events = contests.groupBy("event_id", "open").agg(
         F.count("*").alias("n"), F.min("period").alias("lo"), F.max("period").alias("hi")
     )
     heads = events.agg(
         F.sum("n").alias("contests"),
         F.count("*").alias("events"),
-        count_if(C("event_type") != "championship").alias("open_events"),
+        count_if(C("open")).alias("open_events"),
         F.min("lo").alias("first_period"),
         F.max("hi").alias("last_period"),
     )
-    star = t.results.join(t.contests, "contest_id")
-    inside = showed_up("status") & (C("event_type") != "championship")
+    star = t.results.join(contests, "contest_id")
+    inside = showed_up("status") & C("open")
     by_entity = star.groupBy("entity_id").agg(F.count("*").alias("n"), count_if(inside).alias("s"))
     facts = by_entity.agg(
         F.sum("n").alias("results"), F.sum("s").alias("scoped_results"), count_if(C("s") > 0).alias("scoped_entities")
@@ -131,8 +134,8 @@ def _(t):
 
 
 FIELD_SQL = f"""WITH clean AS (SELECT contest_id, entity_id, min(rank) AS rank FROM star
-        WHERE event_type <> 'championship' AND (status IS NULL OR status = '') GROUP BY 1, 2),
-    field AS (SELECT contest_id, count(*) AS n FROM star WHERE event_type <> 'championship'
+        WHERE contest_id IN (SELECT contest_id FROM open_contests) AND (status IS NULL OR status = '') GROUP BY 1, 2),
+    field AS (SELECT contest_id, count(*) AS n FROM star WHERE contest_id IN (SELECT contest_id FROM open_contests)
         AND (status IS NULL OR status = '') GROUP BY 1),
     finish AS (SELECT entity_id, {N} AS contests,
         {q.pct('sum((2000000 * rank + n) // (2 * n))', 'count(*) * 10000')} AS avg_finish_pct
@@ -141,7 +144,7 @@ FIELD_SQL = f"""WITH clean AS (SELECT contest_id, entity_id, min(rank) AS rank F
 
 def _finish(t):
     """Mean finishing place as a percentage of the field of clean finishers."""
-    contests = t.contests.where("event_type <> 'championship'").select("contest_id")
+    contests = t.open_contests.select("contest_id")
     clean = t.ranked.where(clean_finish()).join(contests, "contest_id")
     per_entity = clean.groupBy("contest_id", "entity_id").agg(F.min("rank").alias("rank"))
     field = clean.groupBy("contest_id").agg(F.count("*").alias("n"))
@@ -199,10 +202,10 @@ def _(t):
 @query(
     "A09_fleet_by_period",
     f"""SELECT period, CAST(count(DISTINCT entity_id) AS BIGINT) AS entities, {N} AS results
-    FROM star WHERE event_type <> 'championship' GROUP BY 1""",
+    FROM results JOIN open_contests USING (contest_id) GROUP BY 1""",
 )
 def _(t):
-    open_contests = t.contests.where("event_type <> 'championship'").select("contest_id", "period")
+    open_contests = t.open_contests.select("contest_id", "period")
     per = t.results.join(open_contests, "contest_id").groupBy("period", "entity_id").agg(F.count("*").alias("n"))
     return per.groupBy("period").agg(F.count("*").alias("entities"), F.sum("n").alias("results"))
 
@@ -360,10 +363,10 @@ def _(t):
 @query(
     "A17_owner_periods",
     f"""WITH {OWNERS} SELECT owner_key, CAST(count(DISTINCT period) AS BIGINT) AS periods, min(period) AS first_period,
-        max(period) AS last_period FROM star JOIN own USING (entity_id) GROUP BY 1""",
+        max(period) AS last_period FROM results JOIN open_contests USING (contest_id) JOIN own USING (entity_id) GROUP BY 1""",
 )
 def _(t):
-    seen = t.results.join(t.contest_headers, "contest_id").select("entity_id", "period").distinct()
+    seen = t.results.join(t.open_contests, "contest_id").select("entity_id", "period").distinct()
     return boards.rollup_periods(seen, t.entities)
 
 

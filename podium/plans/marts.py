@@ -515,11 +515,11 @@ def _(t):
 
 @query(
     "L03_nulls_last_order",
-    """SELECT contest_id, contest_no, contest_key FROM contest_headers ORDER BY coalesce(contest_no, 999), contest_key NULLS LAST, contest_id""",
+    """SELECT contest_id, contest_no, contest_key FROM contest_headers ORDER BY contest_no NULLS LAST, contest_key NULLS LAST, contest_id""",
 )
 def _(t):
     return t.contest_headers.select("contest_id", "contest_no", "contest_key").orderBy(
-        F.coalesce("contest_no", F.lit(999)), C("contest_key").asc_nulls_last(), "contest_id"
+        C("contest_no").asc_nulls_last(), C("contest_key").asc_nulls_last(), "contest_id"
     )
 
 
@@ -562,8 +562,8 @@ def counters(t):
     )
     typed = types.join(t.entities, "entity_id", "left")
     helm, boat = C("participant_type") == "helm", C("participant_type") == "boat"
-    empty = t.contest_headers.join(t.results, "contest_id", "left_anti")
-    unused = t.series.join(t.contest_headers, "series_id", "left_anti")
+    empty = t.contest_headers.join(t.results.select("contest_id").distinct(), "contest_id", "left_anti")
+    unused = t.series.join(t.contest_headers.select("series_id").distinct(), "series_id", "left_anti")
     parts = [
         long(
             t.boats,

@@ -255,13 +255,20 @@ class Tables:
         """Ranked results with their contest and event."""
         return self.ranked.join(self.contests, "contest_id")
 
+    @cached_property
+    def open_contests(self) -> DataFrame:
+        """Contests of events that are neither special nor another view of an event."""
+        from podium.operators.scope import exclude
+        from podium.plans.events import skip_sets
+
+        return exclude(self.contests, *skip_sets(self), on="event_id")
+
     @property
     def scoped(self) -> DataFrame:
-        """Star without special events and without no-shows: the scope of most leaderboards."""
+        """Star of the open contests without no-shows: the scope of most leaderboards."""
         from podium.operators.scope import showed_up
 
-        contests = self.contests.where("event_type <> 'championship'")
-        return self.ranked.where(showed_up("status")).join(contests, "contest_id")
+        return self.ranked.where(showed_up("status")).join(self.open_contests, "contest_id")
 
     @property
     def best(self) -> DataFrame:
@@ -277,7 +284,8 @@ CTES: dict[str, str] = {
         ORDER BY metric DESC, boat_id, line_no, entity_id) AS BIGINT) AS rank FROM results""",
     "contests": "SELECT * FROM contest_headers JOIN series USING (series_id)",
     "star": "SELECT * FROM ranked JOIN contests USING (contest_id)",
-    "scoped": """SELECT * FROM star WHERE event_type <> 'championship'
+    "open_contests": "SELECT * FROM contests WHERE event_id NOT IN (SELECT event_id FROM skipped)",
+    "scoped": """SELECT * FROM star WHERE event_id NOT IN (SELECT event_id FROM skipped)
         AND (status IS NULL OR status NOT IN ('DNS', 'DNC'))""",
     "best": """SELECT contest_id, entity_id, period, event_id, event_type, min(rank) AS rank
         FROM scoped GROUP BY ALL""",
@@ -287,11 +295,18 @@ NEEDS: dict[str, list[str]] = {
     "ranked": ["results"],
     "contests": ["contest_headers", "series"],
     "star": ["ranked", "contests"],
-    "scoped": ["star"],
+    "open_contests": ["contests", "skipped"],
+    "scoped": ["star", "skipped"],
     "best": ["scoped"],
 }
 
 
+def define(name: str, needs: list[str], sql: str) -> None:
+    """Add a role that is put together elsewhere."""
+    CTES[name] = sql
+    NEEDS[name] = needs
+
+
 def with_roles(sql: str) -> str:
     """Prefix ``sql`` with the role CTEs it names (all lower in the chain included)."""
     import re

@@ -18,8 +18,11 @@ RUNTIME = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Set what the operators rely on; what the caller has set stays."""
+    own = spark.conf.getAll
     for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -49,14 +49,15 @@ def scan_pages(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{htm,html}")
+        .option("pathGlobFilter", "*.[hH][tT][mM]*")
         .load(list(roots))
     )
-    return raw.where(~skipped_name("path")).select(
+    pages = raw.where(F.col("path").rlike(r"(?i)\.html?$") & ~skipped_name("path"))
+    return pages.select(
         "path",
         file_name("path").alias("name"),
         year_of_path("path").alias("year"),
-        F.decode("content", "UTF-8").alias("html"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
         checksum("content").alias("checksum"),
     )
 
