@@ -59,8 +59,8 @@ def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     ahead, t = w, 1.0
     for _ in range(STEPS):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (-2 * x.T @ (weight * y * slack) + PENALTY * ahead)
+        slack = np.maximum(0, 1 - y * (x @ ahead.astype(x.dtype)))
+        new = ahead - rate * (-2 * ((weight * y * slack).astype(x.dtype) @ x) + PENALTY * ahead)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new

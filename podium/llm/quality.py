@@ -79,7 +79,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
     for step in range(1, steps + 1):
         steps_up = np.exp(gaps[1:])
         t = gaps[0] + np.concatenate([[0.0], np.cumsum(steps_up)])
-        tail = logistic((x @ w)[:, None] - t)
+        tail = logistic((x @ w.astype(x.dtype))[:, None] - t)
         upper = np.hstack([np.ones((len(y), 1)), tail])
         lower = np.hstack([tail, np.zeros((len(y), 1))])
         rows = np.arange(len(y))
@@ -89,7 +89,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int,
         da, db = a * (1 - a) / p * weight, b * (1 - b) / p * weight
         by_score = -(da - db)
         by_t = np.array([da[y == k + 1].sum() - db[y == k].sum() for k in range(classes - 1)])
-        grad_w = x.T @ by_score + PENALTY * w
+        grad_w = by_score.astype(x.dtype) @ x + PENALTY * w
         grad_gaps = np.concatenate([[by_t.sum()], steps_up * np.cumsum(by_t[::-1])[::-1][1:]])
         for value, grad, i in ((w, grad_w, 0), (gaps, grad_gaps, 2)):
             state[i] = 0.9 * state[i] + 0.1 * grad
