@@ -30,13 +30,13 @@ from podium.llm.common import prepare
 #: A vocabulary file above this is not sent along.
 MAX_VOCABULARY = 64 << 20
 #: Distinct words kept in a cache's younger half; when it is full, it becomes the older half, which is dropped.
-CACHE = 300_000
+CACHE = 150_000
 #: Ids of one text that are decoded as one stretch.
 STRETCH = 4_096
 #: Words solved by one recursive query, and the bytes from which a word is long.
 TOGETHER, LONG = 20_000, 32
 #: Characters of text encoded together.
-PART = 4 << 20
+PART = 1 << 20
 
 SHORT_WORDS = """
 WITH RECURSIVE step(w, toks) AS (
@@ -135,7 +135,7 @@ class Coder:
         self.split = regex.compile(vocabulary.pattern).findall
         self.ranks = read_ranks(vocabulary.blob)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.load_merges()
         self.long_words = LONG_WORDS.format(reach=max(map(len, self.ranks)))
         size = max(self.ranks.values()) + 1
