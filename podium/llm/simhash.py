@@ -9,10 +9,11 @@ fingerprint has, for every way to change at most one bit of P or Q, a key made o
 to P and of Q itself; two near fingerprints share the key of the word between them. Nearby words have the same codeword,
 so the 22 changes of P give about six distinct keys. Every candidate is verified.
 
-Groups. Equal fingerprints are one class. In a key's bucket, members link to the smallest one if near it (a star, not all
-pairs); components of these links are taken. Only buckets of three or more that still hold several components are looked
-at again: members outside the bucket's largest component are compared with the members of other components. So a group
-of near copies of any size costs links in proportion to its members, and no link between different groups is lost.
+Groups. Equal fingerprints are one class. A bucket of two is one candidate pair, known from the bucket's aggregate. In a
+larger one, members link to the smallest if near it (a star, not all pairs); components of these links are taken. Buckets
+that then still hold several components are looked at again: members outside the bucket's largest component are compared
+with the members of other components. So a group of near copies of any size costs links in proportion to its members, and
+no link between different groups is lost.
 
 A null text counts as empty; a text without words has fingerprint zero, linked like any other. Rows without doc_id take
 part; they have no doc_id to offer as component_id. Repeated rows stay, with equal results. An empty table gives no
@@ -114,19 +115,18 @@ def near(a: str, b: str):
 def class_labels(classes: DataFrame) -> DataFrame:
     """(node, label) of the fingerprints that link with another one."""
     keys = cut(keyed(classes), "keys")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("centre")).where("n > 1")
-    buckets = cut(buckets, "buckets")
-    members = cut(keys.join(buckets, "key").select("key", "fp", "n", "centre"), "members")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("centre"), F.max("fp").alias("other"))
+    buckets = cut(buckets.where("n > 2 or (n = 2 and bit_count(centre ^ other) <= %d)" % MAX_BITS), "buckets")
+    # two members are known from the aggregate; only larger buckets fetch theirs
+    pairs = buckets.where("n = 2").select(F.col("other").alias("a"), F.col("centre").alias("b"))
+    large = buckets.where("n > 2").select("key", "centre")
+    members = cut(keys.join(large, "key").select("key", "fp", "centre"), "members")
     stars = members.where((F.col("fp") != F.col("centre")) & near("fp", "centre")).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-    stars = cut(stars.distinct(), "stars")
+    stars = cut(stars.union(pairs).distinct(), "stars")
     labels = components(stars)
-    # buckets of two are done; in the others, components that may still touch
-    open_members = cut(
-        members.where("n > 2")
-        .join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-        .select("key", "fp", F.coalesce("label", "fp").alias("label")),
-        "open",
-    )
+    # in the larger buckets, components that may still touch
+    open_members = members.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+    open_members = cut(open_members.select("key", "fp", F.coalesce("label", "fp").alias("label")), "open")
     sizes = open_members.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("most"))
     largest = cut(largest.where("parts > 1").select("key", F.col("most.label").alias("main")), "largest")
