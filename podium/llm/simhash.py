@@ -9,8 +9,10 @@ fingerprint has, for every way to change at most one bit of P or Q, a key made o
 to P and of Q itself; two near fingerprints share the key of the word between them. Nearby words have the same codeword,
 so the 22 changes of P give about six distinct keys. Every candidate is verified.
 
-Groups. Equal fingerprints are one class. A bucket of two is one candidate pair, known from the bucket's aggregate. In a
-larger one, members link to the smallest if near it (a star, not all pairs); components of these links are taken. Buckets
+Groups. Equal fingerprints are one class. A bucket of two is one candidate pair, known from the bucket's aggregate. The
+members of larger ones are fetched by a join, to which a bit map of fixed size lets through all keys of such buckets and
+few others; where so many buckets are large that the map fills up, the join gets more rows and gives the same ones. In a
+larger bucket, members link to the smallest if near it (a star, not all pairs); components of these links are taken. Buckets
 that then still hold several components are looked at again: members outside the bucket's largest component are compared
 with the members of other components. So a group of near copies of any size costs links in proportion to its members, and
 no link between different groups is lost.
@@ -38,6 +40,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: Bits of the map of large buckets' keys: 8 MB at any size of the input.
+MAP_BITS = 26
 #: Shingles counted at once, so that a very long text takes no more memory.
 CHUNK = 1 << 16
 
@@ -108,6 +112,25 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key long, fp long")
 
 
+def on_map(keys: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of keys whose hash is on the bit map of few's keys: all that a join with few finds, and some more."""
+    bit = F.shiftrightunsigned(F.xxhash64("key"), 64 - MAP_BITS).alias("bit")
+    words = few.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits"))
+    words = words.toArrow()  # at most 2^(MAP_BITS - 6) rows of 16 bytes
+    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["key", "fp"]).filter(pa.array(hit.astype(bool)))
+
+    return keys.select(bit, "key", "fp").mapInArrow(run, "key long, fp long")
+
+
 def near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
@@ -120,7 +143,7 @@ def class_labels(classes: DataFrame) -> DataFrame:
     # two members are known from the aggregate; only larger buckets fetch theirs
     pairs = buckets.where("n = 2").select(F.col("other").alias("a"), F.col("centre").alias("b"))
     large = buckets.where("n > 2").select("key", "centre")
-    members = cut(keys.join(large, "key").select("key", "fp", "centre"), "members")
+    members = cut(on_map(keys, large).join(large, "key").select("key", "fp", "centre"), "members")
     stars = members.where((F.col("fp") != F.col("centre")) & near("fp", "centre")).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
     stars = cut(stars.union(pairs).distinct(), "stars")
     labels = components(stars)
