@@ -429,10 +429,9 @@ def _(t):
 
 @query(
     "S13_surrogate_keys",
-    f"""SELECT key, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS surrogate, {N} AS rows_seen FROM (SELECT {q.name_key('name')} AS key FROM boats) GROUP BY 1""",
+    f"""SELECT key, md5(key) AS surrogate, {N} AS rows_seen FROM (SELECT {q.name_key('name')} AS key FROM boats) GROUP BY 1""",
 )
 def _(t):
-    # a hash of the natural key needs no global numbering and is the same in every load
+    # the whole digest of the natural key needs no global numbering, is the same in every load and keeps keys apart
     key = text.name_key("name").alias("key")
-    surrogate = F.conv(F.substring(F.md5(C("key").cast("binary")), 1, 15), 16, 10).cast("long")
-    return t.boats.groupBy(key).agg(F.count("*").alias("rows_seen")).withColumn("surrogate", surrogate)
+    return t.boats.groupBy(key).agg(F.count("*").alias("rows_seen")).withColumn("surrogate", F.md5(C("key").cast("binary")))

@@ -89,13 +89,16 @@ def _(t):
 
 @query(
     "H05_internal_links",
-    """WITH l AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)
+    """WITH l AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host,
+        coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+(/(?:[^?#]*/)?[a-zA-Z]*(?:19|20)\\d{2}/)', 1), ''), '/') AS root, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)
     SELECT page_id, regexp_replace(href, '[?#].*$', '') AS target, CAST(count(*) AS BIGINT) AS links FROM l WHERE href <> '' AND href NOT LIKE 'mailto:%'
-        AND href NOT LIKE '#%' AND NOT (regexp_matches(href, '^[a-zA-Z]+://') AND NOT contains(href, host)) AND href NOT LIKE '../../%' GROUP BY 1, 2""",
+        AND href NOT LIKE '#%' AND NOT (regexp_matches(href, '^[a-zA-Z]+://') AND lower(regexp_extract(href, '^[a-zA-Z]+://([^/:?#]+)', 1)) <> host
+            AND NOT ends_with(lower(regexp_extract(href, '^[a-zA-Z]+://([^/:?#]+)', 1)), '.' || host)) AND href NOT LIKE '../../%'
+        AND NOT regexp_matches(href, '^\\.\\./racing\\d{4}/') AND NOT (href LIKE '/%' AND NOT starts_with(href, root)) GROUP BY 1, 2""",
 )
 def _(t):
-    found = t.pages.select("page_id", pages.host_of("url").alias("host"), F.explode(pages.links("html")).alias("href"))
-    kept = found.where(pages.internal_link(C("href"), "host"))
+    found = t.pages.select("page_id", pages.host_of("url").alias("host"), pages.section_of("url").alias("root"), F.explode(pages.links("html")).alias("href"))
+    kept = found.where(pages.internal_link(C("href"), "host", C("root")))
     return kept.groupBy("page_id", pages.link_target(C("href")).alias("target")).agg(F.count("*").alias("links"))
 
 
@@ -288,14 +291,14 @@ def _(t):
     return raw.select("p_partkey", pages.split_name_and_type("entry").alias("s")).select("p_partkey", "s.name", "s.type")
 
 
-CERT_TEXT = """p_partkey, 'Certificate Name ' || p_name || ' Sail Nr CAN-' || CAST(p_partkey AS STRING) || ' Class ' || p_type || ' Designer Ann Lee Builder B&B Series 3 Age date 01/1990 '
+CERT_TEXT = """p_partkey, 'Certificate Name ' || CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', chr(10)) ELSE p_name END || ' Sail Nr CAN-' || CAST(p_partkey AS STRING) || ' Class ' || p_type || ' Designer Ann Lee Builder B&B Series 3 Age date 01/1990 '
     || CASE WHEN p_size % 2 = 0 THEN 'Length Overall 10.5 m' ELSE 'LOA ' || CAST(p_size AS STRING) || '.25 m' END || ' Displacement 3,' || CAST(100 + p_size AS STRING) || ' kg '
     || CASE WHEN p_size % 3 = 0 THEN 'GPH: 600.5' ELSE '' END AS body"""
 
 
 @query(
     "H17_named_fields",
-    """SELECT p_partkey, p_name AS name, 'CAN-' || p_partkey AS sail_no, p_type AS boat_class, 'Ann Lee' AS designer, 'B&B' AS builder, '01/1990' AS age_date,
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 OR p_name NOT LIKE '% %' THEN p_name END AS name, 'CAN-' || p_partkey AS sail_no, p_type AS boat_class, 'Ann Lee' AS designer, 'B&B' AS builder, '01/1990' AS age_date,
         CAST(NULL AS VARCHAR) AS issued_on, CASE WHEN p_size % 2 = 0 THEN 10.5e0 ELSE p_size + 0.25e0 END AS loa_m, 3100e0 + p_size AS displacement_kg,
         CASE WHEN p_size % 3 = 0 THEN 600.5e0 END AS gph FROM part""",
 )

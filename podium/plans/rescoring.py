@@ -298,7 +298,7 @@ RESOLVE = """l AS (SELECT *, regexp_replace(upper(class), '[ /-]', '', 'g') AS c
     mt AS (SELECT boat_id, coalesce(r1, r2, r3) AS cert_ref, CASE WHEN r1 IS NOT NULL THEN 'name+sail' WHEN r2 IS NOT NULL THEN 'name'
         WHEN r3 IS NOT NULL THEN 'class' END AS tier FROM cert_wanted w LEFT JOIN x1 USING (name, sail) LEFT JOIN x2 USING (name)
         LEFT JOIN x3 ON x3.ck = regexp_replace(upper(w.class), '[ /-]', '', 'g')),
-    rv AS (SELECT mt.*, c.tot FROM mt LEFT JOIN certificates c USING (cert_ref))"""
+    rv AS (SELECT mt.*, c.tot, c.tot_low, c.tot_high FROM mt LEFT JOIN certificates c USING (cert_ref))"""
 
 
 def certs(t):
@@ -312,19 +312,26 @@ def _(t):
 
 @query(
     "C17_rescore_by_certificate",
-    f"""WITH {RESOLVE}, b AS (SELECT contest_id, entity_id, rank, boat_id, line_no, CAST(elapsed_s AS BIGINT) * tot AS corrected
-        FROM ranked JOIN rv USING (boat_id) WHERE tot IS NOT NULL),
+    f"""WITH {RESOLVE}, {WIND}, w AS (SELECT contest_id, {BAND} AS band FROM contest_headers LEFT JOIN cw USING (contest_id)),
+    b AS (SELECT contest_id, band, entity_id, rank, boat_id, line_no,
+        CAST(elapsed_s AS BIGINT) * CASE band WHEN 'low' THEN tot_low WHEN 'high' THEN tot_high ELSE tot END AS corrected
+        FROM ranked JOIN rv USING (boat_id) JOIN w USING (contest_id) WHERE tot IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY corrected, rank) AS new_rank,
         row_number() OVER (PARTITION BY contest_id ORDER BY rank) AS old_rank FROM b),
-    s AS (SELECT contest_id, count(*) AS covered, count(*) FILTER (new_rank <> old_rank) AS changes,
-        max(entity_id) FILTER (old_rank = 1) <> max(entity_id) FILTER (new_rank = 1) AS flip FROM r GROUP BY 1)
-    SELECT CAST(sum(covered) AS BIGINT) AS covered, {N} AS contests, {q.n(cond='changes > 0')} AS contests_changed, {q.n(cond='flip')} AS flips FROM s""",
+    s AS (SELECT contest_id, band, count(*) AS covered, count(*) FILTER (new_rank <> old_rank) AS changes,
+        max(entity_id) FILTER (old_rank = 1) <> max(entity_id) FILTER (new_rank = 1) AS flip FROM r GROUP BY 1, 2)
+    SELECT band, CAST(sum(covered) AS BIGINT) AS covered, {N} AS contests, {q.n(cond='changes > 0')} AS contests_changed, {q.n(cond='flip')} AS flips FROM s GROUP BY 1""",
 )
 def _(t):
-    rows = t.ranked.join(certs(t).where("tot IS NOT NULL").select("boat_id", "tot"), "boat_id")
-    covered = rows.withColumn("corrected", C("elapsed_s").cast("long") * C("tot")).withColumn("band", F.lit("all"))
+    # the contest's wind chooses the factor of the certificate; without wind it is the one for medium
+    wind = t.contest_headers.select("contest_id").join(contest_wind(t), "contest_id", "left")
+    wind = wind.select("contest_id", rs.band_of(C("wind_kc")).alias("band"))
+    rated_boats = certs(t).where("tot IS NOT NULL").select("boat_id", "tot", "tot_low", "tot_high")
+    rows = t.ranked.join(rated_boats, "boat_id").join(wind, "contest_id")
+    factor = scoring.by_band("band", C("tot_low"), C("tot"), C("tot_high"))
+    covered = rows.withColumn("corrected", scoring.time_on_time(C("elapsed_s").cast("long"), factor))
     summary = rs.rescore_summary(rs.both_ranks(covered, hot=t.hot_contests))
-    return summary.agg(
+    return summary.groupBy("band").agg(
         F.sum("covered").alias("covered"),
         F.count("*").alias("contests"),
         count_if(C("rank_changes") > 0).alias("contests_changed"),

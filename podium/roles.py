@@ -105,6 +105,8 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
         [
             "CASE WHEN p_size % 7 <> 0 THEN 'C' || CAST(p_partkey AS STRING) END AS cert_ref",
             "CAST(900 + p_size * 4 AS INT) AS tot",
+            "CAST(880 + p_size * 4 + p_partkey % 13 * 5 AS INT) AS tot_low",
+            "CAST(920 + p_size * 4 - p_partkey % 11 * 5 AS INT) AS tot_high",
         ],
     ),
     "cert_register": (

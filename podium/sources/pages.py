@@ -41,10 +41,15 @@ def links(html: Column | str) -> Column:
     return F.regexp_extract_all(as_col(html), F.lit(r"""(?i)href\s*=\s*["']([^"']*)["']"""), F.lit(1))
 
 
-def internal_link(href: Column, host: Column | str, root: str = "/") -> Column:
-    """A link that stays within the site section: no mail, fragment, foreign host, parent site or other year."""
-    other_host = href.rlike("^[a-zA-Z]+://") & ~F.contains(href, as_col(host))
-    outside = F.startswith(href, F.lit("/")) & ~F.startswith(href, F.lit(root))
+def internal_link(href: Column, host: Column | str, root: Column | str = "/") -> Column:
+    """A link that stays within the site section: no mail, fragment, foreign host, parent site or other year.
+
+    The host of a full link is the page's host or below it. ``root`` is the section's path, which a path from the top
+    must begin with; ``section_of`` gives it for a page.
+    """
+    own, there = F.lower(as_col(host)), F.lower(host_of(href))
+    other_host = href.rlike("^[a-zA-Z]+://") & (there != own) & ~F.endswith(there, F.concat(F.lit("."), own))
+    outside = F.startswith(href, F.lit("/")) & ~F.startswith(href, F.lit(root) if isinstance(root, str) else root)
     return ~(
         (href == "")
         | F.startswith(href, F.lit("mailto:"))
@@ -64,6 +69,12 @@ def host_of(url: Column | str) -> Column:
     return F.regexp_extract(as_col(url), r"^[a-zA-Z]+://([^/:?#]+)", 1)
 
 
+def section_of(url: Column | str) -> Column:
+    """Path of the page's year, such as /results/2014/; of a page without one, the top."""
+    year = F.regexp_extract(as_col(url), r"^[a-zA-Z]+://[^/?#]+(/(?:[^?#]*/)?[a-zA-Z]*(?:19|20)\d{2}/)", 1)
+    return F.when(year == "", "/").otherwise(year)
+
+
 def page_class(html: Column | str, path: Column | str) -> Column:
     """Class of a page by what it holds: template, result tables, entry list, empty result page, or none of these."""
     h = as_col(html)
@@ -350,7 +361,9 @@ def split_name_and_type(c: Column | str) -> Column:
     return F.struct(name.alias("name"), kind.alias("type"))
 
 
-# Labels of certificate fields; the first pattern that matches counts.
+# Labels of certificate fields; the first pattern that matches counts. IN_LINES are those that read the
+# text with its line ends, the others read it with single blanks.
+IN_LINES = (r"Name\s+([^\n]+?)\s+Sail Nr", r"Sail Nr\s+([A-Z0-9/-]+)", r"([\d.]+)\s+GPH\b")
 CERTIFICATE_FIELDS = {
     "name": (r"Name\s+([^\n]+?)\s+Sail Nr", r"Boat\s+([A-Z][A-Za-z0-9 .'-]*?)\s+[A-Z]{3}-?\d"),
     "sail_no": (r"Sail Nr\s+([A-Z0-9/-]+)", r"Boat\s+[A-Z][A-Za-z0-9 .'-]*?\s+([A-Z]{3}-?\d+)"),
@@ -378,10 +391,10 @@ def named_fields(
     numbers: Mapping[str, Sequence[str]] = CERTIFICATE_NUMBERS,
 ) -> list[Column]:
     """One column per labelled field of a free text, null when no pattern finds it."""
-    text = collapse(c)
+    lines, text = as_col(c), collapse(c)
 
     def find(patterns: Sequence[str]) -> Column:
-        return F.coalesce(*[blank_to_null(F.trim(F.regexp_extract(text, p, 1))) for p in patterns])
+        return F.coalesce(*[blank_to_null(F.trim(F.regexp_extract(lines if p in IN_LINES else text, p, 1))) for p in patterns])
 
     out = [find(p).alias(name) for name, p in texts.items()]
     out += [F.replace(find(p), F.lit(","), F.lit("")).try_cast("double").alias(name) for name, p in numbers.items()]

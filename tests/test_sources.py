@@ -60,10 +60,25 @@ def test_page_classes(spark):
 
 
 def test_links(spark):
-    hrefs = ["a.htm", "mailto:x@y", "#top", "http://other.org/x", "http://me.org/x", "../../up.htm", "../racing2001/x.htm", "/racing/a.pdf?q#f", "/else/b", ""]
+    hrefs = ["a.htm", "mailto:x@y", "#top", "http://other.org/x", "http://me.org/x", "../../up.htm", "http://else.org/?at=me.org", "http://www.ME.org/y", "../racing2001/x.htm", "/racing/a.pdf?q#f", "/else/b", ""]
     df = spark.createDataFrame([(h,) for h in hrefs], "href string")
     kept = df.where(pages.internal_link(F.col("href"), F.lit("me.org"), "/racing/")).select(pages.link_target(F.col("href")).alias("t"))
-    assert [r["t"] for r in kept.collect()] == ["a.htm", "http://me.org/x", "/racing/a.pdf"]
+    assert [r["t"] for r in kept.collect()] == ["a.htm", "http://me.org/x", "http://www.ME.org/y", "/racing/a.pdf"]
+
+
+def test_links_of_other_years(spark):
+    urls = ["http://me.org/racing/racing2014/a/x.htm?y", "http://me.org/b.htm"]
+    df = spark.createDataFrame([(u, h) for u in urls for h in ("/racing/racing2014/z.htm", "/racing/racing2015/z.htm")], "url string, href string")
+    rows = df.select(pages.section_of("url"), pages.internal_link(F.col("href"), pages.host_of("url"), pages.section_of("url"))).collect()
+    assert [tuple(r) for r in rows] == [("/racing/racing2014/", True), ("/racing/racing2014/", False), ("/", True), ("/", True)]
+
+
+def test_certificate_lines(spark):
+    texts = ["Name Blue Moon Sail Nr CAN-1 GPH: 600.5", "Name Blue\nMoon Sail Nr CAN-2\n601.5\nGPH", "Class J 24\nfleet  Designer A"]
+    df = spark.createDataFrame([(s,) for s in texts], "s string").select(*pages.named_fields("s"))
+    assert [(r["name"], r["sail_no"], r["boat_class"], r["gph"]) for r in df.collect()] == [
+        ("Blue Moon", "CAN-1", None, 600.5), (None, "CAN-2", None, 601.5), (None, None, "J 24 fleet", None)
+    ]
 
 
 def test_headings(spark):
