@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the map of a join's keys: 8 MB at any size of the input.
+MAP_BITS = 26
+
+
+def on_map(rows: DataFrame, few: DataFrame, key: str = "key") -> DataFrame:
+    """The rows whose key's hash is on the bit map of few's keys: all that a join with few finds, and some more."""
+    bit = F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS).alias("bit")
+    words = few.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits"))
+    words = words.toArrow()  # at most 2^(MAP_BITS - 6) rows of 16 bytes
+    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared, names = rows.sparkSession.sparkContext.broadcast(bits), rows.columns
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(hit.astype(bool)))
+
+    return rows.select(bit, *names).mapInArrow(run, rows.schema)
+
+
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of the key as text modulo the divisor; null keys have null."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor))
@@ -90,7 +114,7 @@ def map_texts(docs: DataFrame, make, fields: list[tuple[str, str]]) -> DataFrame
     prepare(docs.sparkSession)
     names = ["doc_id", *(name for name, _ in fields)]
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
-             "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+             "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     types = [kinds[kind] for _, kind in fields]
 
     def run(batches):

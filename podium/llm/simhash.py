@@ -24,13 +24,15 @@ rows. Extra columns are not read by ``near_duplicates`` and kept by ``one_of_eac
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm import golay
-from podium.llm.common import cut, map_texts
+from podium.llm import golay, shingles
+from podium.llm.common import cut, map_texts, on_map
 from podium.llm.components import components
 
 MAX_BITS = 4
@@ -40,8 +42,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Bits of the map of large buckets' keys: 8 MB at any size of the input.
-MAP_BITS = 26
+#: Least Jaccard similarity, as a fraction, of the sets of shingles of so many words; other widths link by MAX_BITS.
+SIMILARITY = {5: (4, 5)}
 #: Shingles counted at once, so that a very long text takes no more memory.
 CHUNK = 1 << 16
 
@@ -112,25 +114,6 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def on_map(keys: DataFrame, few: DataFrame) -> DataFrame:
-    """The rows of keys whose hash is on the bit map of few's keys: all that a join with few finds, and some more."""
-    bit = F.shiftrightunsigned(F.xxhash64("key"), 64 - MAP_BITS).alias("bit")
-    words = few.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits"))
-    words = words.toArrow()  # at most 2^(MAP_BITS - 6) rows of 16 bytes
-    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches):
-        bits = shared.value
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["key", "fp"]).filter(pa.array(hit.astype(bool)))
-
-    return keys.select(bit, "key", "fp").mapInArrow(run, "key long, fp long")
-
-
 def near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
@@ -170,15 +153,30 @@ def class_labels(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, fp, component_id) of every row; linked by fingerprints, or by sets where SIMILARITY has the width."""
+    if shingle in SIMILARITY:
+        return similar_sets(docs, shingle, with_fp=True)
     found = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = class_labels(classes)
-    grouped = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    grouped = cut(grouped.select("fp", "first", F.coalesce("label", "fp").alias("label")), "grouped")
+    return verdicts(found, classes, class_labels(classes), "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_sets(docs: DataFrame, shingle: int, with_fp: bool = False) -> DataFrame:
+    """(doc_id, component_id) of every row, with its fingerprint if wanted; linked by SIMILARITY."""
+    found = cut(shingles.sets(docs, shingle, partial(fingerprint, shingle=shingle) if with_fp else None), "sets")
+    classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "classes")
+    labels = shingles.class_labels(found, classes, SIMILARITY[shingle])
+    names = ["doc_id", *(["fp"] if with_fp else []), "component_id"]
+    return verdicts(found.drop("shingles", "keys"), classes, labels, "node").select(*names)
+
+
+def verdicts(found: DataFrame, classes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The rows of found with component_id, the smallest doc_id of all classes that links reach."""
+    grouped = classes.join(labels.select(F.col("node").alias(key), "label"), key, "left")
+    grouped = cut(grouped.select(key, "first", F.coalesce("label", key).alias("label")), "grouped")
     firsts = cut(grouped.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
-    grouped = cut(grouped.join(firsts, "label").select("fp", "component_id"), "grouped")
-    return found.join(grouped, "fp").select("doc_id", "fp", "component_id")
+    grouped = cut(grouped.join(firsts, "label").select(key, "component_id"), "grouped")
+    return found.join(grouped, key)
 
 
 def hexadecimal(fp: str):
@@ -191,7 +189,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Rows that share such a doc_id count as one document: the one with the smallest text stays. Rows without doc_id, which
     no verdict can name, stay.
     """
-    result = cut(near_duplicates(docs, shingle), "near")
+    result = cut(similar_sets(docs, shingle) if shingle in SIMILARITY else near_duplicates(docs, shingle), "near")
     stays = result.where(F.col("doc_id") == F.col("component_id"))
     stays = cut(stays.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")), "stays")
     single = stays.where("rows = 1")
