@@ -9,8 +9,11 @@ Matches of one document and item at one distance (alignment) are then checked fo
 must always stand for the same value of the document. An alignment leaks the item if it has NEEDED windows
 (or all windows of a shorter item) and its slots are consistent, or so many windows without any slot.
 
+Items without such a window, short or dense in numbers and names, are looked for word for word: by windows of WIDTH words
+as they stand, or by the whole of a shorter item, whatever words these are. They are not found with other values.
+
 The first pass keeps only windows whose hash hits a bit map of the benchmark's window hashes (2 MB at any size of either
-side); the join decides. A null text counts as empty. Items of fewer than WIDTH tokens have no window and are never found.
+side); the join decides. A null text counts as empty; an item without any word is never found.
 Rows that repeat a doc_id are told apart by a hash of the text; rows without doc_id are judged as others are. Repeated items
 and repeated rows change no verdict; ties for the best item go to the smaller item_id. Without documents or items there
 is nothing to find. Extra columns are not read by ``find_leaks`` and kept by ``without_leaks``.
@@ -63,8 +66,8 @@ def word_hash(words: list[str]) -> np.ndarray:
 UNIT_HASHES = np.sort(word_hash(UNITS))
 
 
-def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, value, slot): token hashes, hashes of the words they stand for, whether they are placeholders."""
+def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kinds, starts, ends, values): classes of the bytes, words, and hashes of the words in lower case."""
     kinds = CLASS[data]
     inside = kinds > 0
     if len(data) > 2:
@@ -72,7 +75,12 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside[1:-1] |= ((data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)) & digit[:-2] & digit[2:]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edges[0::2], edges[1::2]
-    values = span_hash(prefix_sums(LOWER[data]), starts, ends)
+    return kinds, starts, ends, span_hash(prefix_sums(LOWER[data]), starts, ends)
+
+
+def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, value, slot): token hashes, hashes of the words they stand for, whether they are placeholders."""
+    kinds, starts, ends, values = spans(data)
     first = kinds[starts]
     number = first == DIGIT
     name = (first == UPPER_LETTER) & (ends - starts > 1) & (starts > 1)
@@ -154,6 +162,49 @@ def windows(rows: DataFrame, key: str, chosen: bytes | None = None) -> DataFrame
     return rows.mapInArrow(run, f"{key} long, th long, hash long, place long, slots array<long>")
 
 
+def word_windows(rows: DataFrame, key: str, widths: list[int] | None = None, chosen: bytes | None = None) -> DataFrame:
+    """(key, th, hash, place) of windows of words as they stand, of all widths; only those on the bit map.
+
+    Without widths, those of an item: WIDTH words each, or one of all words of a shorter text; with width, its words.
+    """
+    fields = [key, "th", "hash", "place", "width"]
+
+    def run(batches):
+        bits = None if chosen is None else np.frombuffer(chosen, np.uint8)
+        for batch in batches:
+            for k, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tail, done = np.empty(0, np.uint64), 0
+                for data in pieces(text):
+                    # done words before the tail, which is in all windows that reach into this piece
+                    words = np.concatenate([tail, spans(data)[3]])
+                    for width in widths or [min(WIDTH, len(words))]:
+                        # shorter windows inside the tail were in the last piece
+                        first = max(0, len(tail) - width + 1)
+                        count = len(words) - width + 1 - first
+                        if count <= 0 or not width:
+                            continue
+                        hashes = np.full(count, width, np.uint64)
+                        for j in range(width):
+                            hashes *= np.uint64(0x9E3779B97F4A7C15)
+                            hashes += words[first + j : first + j + count]
+                        hashes = mix(hashes)
+                        at = np.arange(count)
+                        if bits is not None:
+                            bit = hashes >> np.uint64(64 - BITS)
+                            at = at[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                        for part in np.array_split(at, max(1, -(-len(at) // 20_000))):
+                            n = len(part)
+                            columns = [pa.repeat(pa.scalar(k, pa.int64()), n), pa.repeat(pa.scalar(th, pa.int64()), n)]
+                            columns += [pa.array(hashes[part].view(np.int64)), pa.array(done + first + part), pa.array(np.full(n, width))]
+                            yield pa.RecordBatch.from_arrays(columns, names=fields)
+                    keep = min(WIDTH - 1, len(words))
+                    done += len(words) - keep
+                    tail = words[len(words) - keep :]
+
+    prepare(rows.sparkSession)
+    return rows.mapInArrow(run, f"{key} long, th long, hash long, place long, width long")
+
+
 def window_batch(rows, names) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), kinds)), names=names)
@@ -200,8 +251,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = judged.join(totals, [judged[c].eqNullSafe(totals[c]) for c in item]).drop(*[totals[c] for c in item])
     needed = F.least(F.lit(NEEDED), F.col("total"))
     leaks = judged.where(((F.col("n") >= needed) & ~F.col("conflict")) | (F.col("plain") >= needed))
+    leaks = leaks.select("did", "th", *item, "n", "total", "changed", F.lit(True).alias("template"))
+    leaks = leaks.unionByName(verbatim_leaks(docs, benchmark, totals))
     best = F.max_by(
-        F.struct("item_id", "n", (F.col("n") / F.col("total")).alias("share"), "changed"), F.struct("n", -F.coalesce("item_id", F.lit(0)))
+        F.struct("item_id", "n", (F.col("n") / F.col("total")).alias("share"), "changed"),
+        F.struct("template", "n", -F.coalesce("item_id", F.lit(0))),
     )
     found = leaks.groupBy("did", "th").agg(F.count_distinct("item_id", "item_th").alias("n_items"), best.alias("best"))
     return found.select(
@@ -210,6 +264,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def verbatim_leaks(docs: DataFrame, benchmark: DataFrame, totals: DataFrame) -> DataFrame:
+    """(did, th, item_id, item_th, n, total, changed, template): word for word, the items that have no template window."""
+    rest = keyed(benchmark, "item_id").distinct()
+    on = rest["item_id"].eqNullSafe(totals["item_id"]) & (rest["th"] == totals["item_th"])
+    items = cut(word_windows(rest.join(totals, on, "left_anti"), "item_id"), "rest")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH rows
+    item = ["item_id", "item_th"]
+    items = items.withColumnRenamed("th", "item_th")
+    sizes = items.groupBy(F.col("item_id").alias("of_id"), F.col("item_th").alias("of_th")).agg(F.count("*").alias("total"))
+    if widths:
+        hits = word_windows(keyed(docs, "doc_id"), "doc_id", widths, bit_map(items)).select(F.col("doc_id").alias("did"), "th", "hash", F.col("place").alias("at"))
+    else:
+        hits = items.select(F.col("item_id").alias("did"), F.col("item_th").alias("th"), "hash", F.col("place").alias("at")).limit(0)
+    counts = hits.join(items.select(*item, "hash", "place"), "hash").groupBy("did", "th", *item, (F.col("at") - F.col("place")).alias("shift"))
+    counts = counts.agg(F.count("*").alias("n"))
+    found = counts.join(sizes, F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("item_th") == F.col("of_th")))
+    found = found.where(F.col("n") >= F.least(F.lit(NEEDED), F.col("total")))
+    return found.select("did", "th", *item, "n", "total", F.lit(False).alias("changed"), F.lit(False).alias("template"))
+
+
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every document: what it leaks, and whether it is contaminated."""
     found = cut(find_leaks(docs, benchmark), "leaks")

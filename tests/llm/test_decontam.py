@@ -59,3 +59,28 @@ def test_long_texts_work_in_pieces(prose, monkeypatch):
     parts = list(decontam.window_rows(text))
     assert len(parts) > 5 and [h for _, hashes, *_ in parts for h in hashes.tolist()] == whole
     assert [p[0] for p in parts[1:]] == np.cumsum([len(p[1]) for p in parts])[:-1].tolist()
+
+
+def test_items_without_template_windows(docs_of, items, prose, monkeypatch):
+    """Short items, sentences that are one token, and tables of numbers and names, word for word."""
+    short, one, table = "Who wrote Faust?", "水的化学式是什么", " ".join(f"{k * 37 % 91} + {k * 53 % 97} = {k}.5 km" for k in range(9))
+    names = "Paris 1990, Rome 1991, Oslo 1992, Kyiv 1993, Lima 1994, Bonn 1995"
+    texts = [f"{prose(300)} {x} {prose(20)}" for x in (short, one, table, names)]
+    texts += ["who wrote", prose(50), table.replace("37", "38")[:20], "Faust wrote who", f"{short} {prose(9)}", None]
+    benchmark = items(short, one, table, names, "", None, "?!")
+    for piece in (decontam.PIECE, 200):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        got = verdicts(docs_of(texts), benchmark)
+        assert [got[k]["contaminated"] for k in range(10)] == [True] * 4 + [False] * 4 + [True, False]
+        assert [got[k]["best_item"] for k in range(4)] == [0, 1, 2, 3] and got[0]["share"] == 1
+
+
+def test_word_windows_of_pieces_are_those_of_the_whole(spark, prose, monkeypatch):
+    text = " ".join(prose(30) for _ in range(20))
+    rows = spark.createDataFrame([(1, 2, text)], "doc_id long, th long, text string")
+
+    def found(piece):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        return sorted((r["width"], r["place"], r["hash"]) for r in decontam.word_windows(rows, "doc_id", [1, 3, 8]).collect())
+
+    assert found(300) == found(1 << 22)
