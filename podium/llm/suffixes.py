@@ -40,43 +40,43 @@ LENGTH = 200
 BATCHES = 2
 #: Different runs of one start that a task compares at once; more are dealt out by window offset.
 TOGETHER = 4_096
-#: A suffix's place: 24 bits of a hash of the text, 31 of the first window start, 8 of the further window starts.
-STARTS, MORE = 1 << 39, 1 << 8
+#: A suffix's place: the first window start, and 8 bits of the further window starts.
+MORE = 1 << 8
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(did, th, text): doc_id, a hash that tells repeated doc_ids apart, and the whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("did"), text.alias("text"))
-    return own.select("did", F.shiftrightunsigned(F.xxhash64("text"), 40).alias("th"), "text")
+    return own.select("did", F.xxhash64("text").alias("th"), "text")
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
-    """(first, run, did, place) of every anchor: hashes of its first bytes and of all bytes of its windows."""
+    """(first, run, did, th, place) of every anchor: hashes of its first bytes and of all bytes of its windows."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             size = 0
             for did, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 first, whole, lo, hi, _ = windows.anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), LENGTH)
-                for part, values in zip(out, (first.view(np.int64), whole.view(np.int64), th * STARTS + lo * MORE + (hi - lo)), strict=False):
+                for part, values in zip(out, (first.view(np.int64), whole.view(np.int64), np.full(len(lo), th, np.int64), lo * MORE + (hi - lo)), strict=False):
                     part.append(values)
-                out[3].append(pa.repeat(pa.scalar(did, pa.int64()), len(first)))
+                out[4].append(pa.repeat(pa.scalar(did, pa.int64()), len(first)))
                 size += len(first)
                 if size > 100_000:
                     yield suffix_batch(out)
-                    out, size = [[], [], [], []], 0
+                    out, size = [[], [], [], [], []], 0
             if size:
                 yield suffix_batch(out)
 
     prepare(rows.sparkSession)
-    return rows.mapInArrow(run, "first long, run long, did long, place long")
+    return rows.mapInArrow(run, "first long, run long, did long, th long, place long")
 
 
 def suffix_batch(parts) -> pa.RecordBatch:
-    first, whole, place = (pa.array(np.concatenate(p), pa.int64()) for p in parts[:3])
-    return pa.RecordBatch.from_arrays([first, whole, pa.concat_arrays(parts[3]), place], names=["first", "run", "did", "place"])
+    first, whole, th, place = (pa.array(np.concatenate(p), pa.int64()) for p in parts[:4])
+    return pa.RecordBatch.from_arrays([first, whole, pa.concat_arrays(parts[4]), th, place], names=["first", "run", "did", "th", "place"])
 
 
 @dataclass
@@ -118,8 +118,7 @@ def candidates(rows: DataFrame, batches: int) -> DataFrame:
 def place_parts() -> list[Column]:
     place = F.col("place")
     return [
-        F.shiftright(place, 39).alias("th"),
-        F.shiftright(place, 8).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("lo"),
+        F.shiftright(place, 8).cast("int").alias("lo"),
         F.pmod(place, F.lit(MORE)).cast("int").alias("more"),
     ]
 
@@ -216,16 +215,16 @@ def span_batch(rows) -> pa.RecordBatch:
 def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(did, th, start, end): byte spans that cover just the bytes of strings of LENGTH bytes that stand elsewhere."""
     found = candidates(rows, batches)
-    classes = found.groupBy("first", "run").agg(F.count("*").alias("n"), F.min(F.struct("did", "place")).alias("one"))
-    classes = cut(classes.select("first", "run", "n", "one.did", "one.place"), "runs")
+    classes = found.groupBy("first", "run").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "place")).alias("one"))
+    classes = cut(classes.select("first", "run", "n", "one.did", "one.th", "one.place"), "runs")
     starts = classes.groupBy("first").agg(F.count("*").alias("runs"), F.min("n").alias("fewest"))
     # starts with different runs of which one at least stands alone
     starts = cut(starts.where("runs > 1 and fewest = 1").select("first", "runs"), "starts")
     cells = F.least(F.ceil(F.col("runs") / F.lit(TOGETHER)), F.lit(LENGTH - windows.KMER + 1)).cast("int").alias("cells")
-    wanted = cut(classes.join(starts.select("first", cells), "first").select("first", "cells", "did", *place_parts()), "wanted")
+    wanted = cut(classes.join(starts.select("first", cells), "first").select("first", "cells", "did", "th", *place_parts()), "wanted")
     alone = cut(compared(run_bytes(rows, wanted)), "shared")
     repeated = cut(classes.where("n > 1").select("first", "run"), "repeated")
-    whole = found.join(repeated, ["first", "run"]).select("did", *place_parts())
+    whole = found.join(repeated, ["first", "run"]).select("did", "th", *place_parts())
     whole = whole.select("did", "th", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + LENGTH).alias("end"))
     return whole.unionByName(alone)
 
@@ -261,7 +260,7 @@ def with_spans(docs: DataFrame, batches: int) -> DataFrame:
     spans = joined_spans(repeated_spans(keyed(docs), batches)).select(
         F.col("did").alias("_own_did"), F.col("th").alias("_own_th"), F.col("spans").alias("_own_spans")
     )
-    th = F.shiftrightunsigned(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), 40)
+    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("_own_did")) & (th == F.col("_own_th"))
     return docs.join(spans, on, "left").drop("_own_did", "_own_th")
 

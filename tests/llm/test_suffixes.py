@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from podium.llm import suffixes, windows
 
@@ -100,3 +101,14 @@ def test_long_texts_work_in_pieces(monkeypatch):
     pieced = windows.window_hashes(data, starts, LENGTH)
     monkeypatch.undo()
     assert (pieced == windows.window_hashes(data, starts, LENGTH)).all()
+
+
+def test_texts_under_one_doc_id_whose_hashes_begin_alike(spark, docs_of):
+    many = spark.range(20_000).select(F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 256) for k in range(5)]).alias("text"))
+    pair = many.groupBy(F.shiftrightunsigned(F.xxhash64("text"), 40)).agg(F.sort_array(F.collect_list("text")).alias("texts")).where("size(texts) > 1")
+    one, two = pair.first()["texts"][:2]
+    for key in (None, 5):
+        got = {r["doc_id"]: r for r in suffixes.digests(docs_of([(key, one), (9, one)])).collect()}
+        assert {r["n_removed"] for r in got.values()} == {len(one)}
+        left = suffixes.without_repeats(docs_of([(key, one), (key, two), (9, one)])).collect()
+        assert sorted(r["text"] for r in left) == ["", "", two]
