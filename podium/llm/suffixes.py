@@ -14,8 +14,8 @@ the next, so a suffix is merged a logarithmic number of times (``Family``).
 
 Matches. Candidate suffixes are compared over the whole run of windows that share the anchor: where the bytes of the run
 are the same elsewhere, all its windows are. What is left is one representative for each different run, whose bytes are
-fetched, sorted by their first bytes and compared window by window. Starts that hold very many different runs are dealt
-out by window offset, so no task gets them whole.
+fetched, sorted by their first bytes and compared window by window. Of starts that hold very many different runs the
+windows are dealt out by offset, but every such task gets the bytes of all runs of the start.
 
 A null text counts as empty. Rows without doc_id take part as others do. Rows that repeat a doc_id are told apart by a
 hash of their texts; repeated rows with one text are occurrences of their own and have equal results. An empty table
