@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, decontam, embeddings, language, licenses, quality, simhash, suffixes, toxicity
+from podium.llm import bpe, chat, decontam, embeddings, language, licenses, quality, secrets, simhash, suffixes, toxicity
 from podium.llm.common import read, remainder
 
 #: The conversation that every run formats besides those of the table.
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, labels))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_decontam": op2_decontam,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_suffixes": op9_suffixes,
     "op10_quality": op10_quality,
+    "op13_secrets": op13_secrets,
 }
 
 # The template and its escapes, written out again.
