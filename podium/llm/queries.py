@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, decontam, embeddings, language, licenses, quality, secrets, simhash, suffixes, toxicity
+from podium.llm import bpe, chat, decontam, embeddings, language, licenses, quality, secrets, simhash, suffixes, toxicity, trie
 from podium.llm.common import read, remainder
 
 #: The conversation that every run formats besides those of the table.
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, labels))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_suffixes": op9_suffixes,
     "op10_quality": op10_quality,
+    "op12_trie": op12_trie,
     "op13_secrets": op13_secrets,
 }
 
@@ -135,5 +140,45 @@ SELECT e.vec_id,
 FROM embeddings e
 """
 
+# CRC-32 bit by bit for the 256 bytes, then byte by byte; subtrees by joining every node to the prefixes of its member.
+OP12_SQL = """
+WITH RECURSIVE bits(b, v, k) AS (
+    SELECT range, range::BIGINT, 0 FROM range(256)
+    UNION ALL SELECT b, CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc(c, rest, v) AS (
+    SELECT DISTINCT conv_id, conv_id::VARCHAR, 4294967295::BIGINT FROM conversations WHERE conv_id IS NOT NULL
+    UNION ALL
+    SELECT c, rest[2:], xor(crc.v >> 8, bits.v) FROM crc JOIN bits ON k = 8 AND b = xor(crc.v & 255, ascii(rest[1])) WHERE rest <> ''
+), said AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), plan AS (
+    SELECT c, c - c % 5 AS base, CASE WHEN c % 5 = 0 THEN 0 ELSE xor(v, 4294967295) % 9 END AS h FROM crc WHERE rest = ''
+), rebuilt AS (
+    SELECT c, pos AS depth, role, text FROM plan JOIN said ON conv_id = base WHERE pos <= h
+    UNION ALL
+    SELECT c, pos - h + least(h, (SELECT count(*) FROM said s WHERE s.conv_id = base)), role, text
+    FROM plan JOIN said ON conv_id = c WHERE pos > h
+), keyed AS (
+    SELECT c, depth, text, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY depth)) AS node FROM rebuilt
+    UNION ALL SELECT c, 0, '', '' FROM plan
+), linked AS (
+    SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent, lead(node) OVER (PARTITION BY c ORDER BY depth) IS NULL AS ends
+    FROM keyed
+), nodes AS (
+    SELECT node, min(depth) AS depth, min(parent) AS parent, min(c) AS c, count(*) AS n, (count(*) - 1) * max(strlen(text)) AS saved,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM linked GROUP BY node
+), kids AS (
+    SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+    SELECT k.node, count(*) FILTER (u.node NOT IN (SELECT node FROM kids)) AS n_leaves, sum(u.saved) AS saved_tokens
+    FROM nodes u JOIN keyed k ON k.c = u.c AND k.depth <= u.depth GROUP BY k.node
+)
+SELECT v.c::BIGINT AS conv_id, v.depth::BIGINT AS depth, p.c::BIGINT AS parent_conv_id, v.n::BIGINT AS n_convs,
+    coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN kids ON kids.node = v.node JOIN subtrees s ON s.node = v.node
+"""
+
 #: The others learn, hash or tokenize in ways that SQL can't express; tests/llm holds them against brute force.
-SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op8_embeddings": OP8_SQL}
+SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op8_embeddings": OP8_SQL, "op12_trie": OP12_SQL}
