@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import bpe, chat, decontam, embeddings, language, licenses, quality, secrets, simhash, suffixes, toxicity, trie
+from podium.llm import alignment, bpe, chat, decontam, embeddings, language, licenses, quality, secrets, simhash, suffixes, toxicity, trie
 from podium.llm.common import read, remainder
 
 #: The conversation that every run formats besides those of the table.
@@ -75,6 +75,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, labels))
 
 
+def tokenizers() -> alignment.Tokenizers:
+    import public_tokenizers as public
+
+    files = [public.path(name) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    return alignment.Tokenizers.load(files[0], files[1], public.PATTERN, files[2])
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(read(spark, sf_dir, "documents"), tokenizers())
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.rebuilt(read(spark, sf_dir, "conversations")))
 
@@ -94,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_suffixes": op9_suffixes,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op12_trie": op12_trie,
     "op13_secrets": op13_secrets,
 }
