@@ -1,9 +1,8 @@
 """Operator 11, cross-tokenizer alignment by galloping intersection of token ends.
 
 Tokenizer A encodes a space and the text, tokenizer B the text, before which it puts a space itself. Both lists of token
-ends are byte offsets of the same bytes. The shorter list drives: blocks of its ends look for the bracket of each in the
-longer list by doubling steps from where the block before ended, then by binary search inside the brackets, in lockstep.
-Common ends cut the tokens into groups; the ranks of two neighbouring driver ends in the other list bound the tokens that
+ends are byte offsets of the same bytes. The shorter list drives: doubling steps in the longer list, from where the block
+before ended, bound a block of its ends, and a binary search inside that bound places each of them. Common ends cut the tokens into groups; the ranks of two neighbouring driver ends in the other list bound the tokens that
 overlap the driver token between them. A link is a pair of tokens that end together.
 
 Statistics of the corpus. Texts are aligned in blocks of bounded size. A block keeps its different id pairs with their
@@ -35,8 +34,8 @@ from podium.llm.common import cut, prepare
 
 #: Characters of a block's texts; a longer text is a block of its own.
 PART = 2 << 20
-#: Driver ends that are looked for in lockstep.
-LOCKSTEP = 512
+#: Driver ends that share their doubling steps.
+TOGETHER = 256
 #: Bits of an id of B in the number of a pair.
 B_BITS = 16
 #: Code points on whose classes the libraries agree (tests compare each of them). Texts of these alone are encoded by the
@@ -75,25 +74,16 @@ def byte_of_character() -> dict[str, int]:
 def ranks_in(driver: np.ndarray, other: np.ndarray) -> np.ndarray:
     """How many of other are smaller than each of driver; both ascend."""
     found, base, size = np.empty(len(driver), np.int64), 0, len(other)
-    for k in range(0, len(driver), LOCKSTEP):
-        x = driver[k : k + LOCKSTEP]
-        # exponential: probes at 1, 2, 4, ... places on, as far as the block's last end
-        probes, step = [base - 1], 1
-        while (probe := base - 1 + step) < size and other[probe] < x[-1]:
-            probes.append(probe)
+    for k in range(0, len(driver), TOGETHER):
+        x = driver[k : k + TOGETHER]
+        # exponential: doubling steps until the block's last end is passed
+        bound, step = base, 1
+        while bound < size and other[bound] < x[-1]:
+            bound += step
             step *= 2
-        probes = np.array([*probes, min(probe, size)])
-        bracket = np.searchsorted(other[probes[1:-1]], x)
-        # binary: other[low - 1] < x <= other[high]
-        low, high = probes[bracket] + 1, probes[bracket + 1]
-        while (low < high).any():
-            middle = (low + high) >> 1
-            less = other[np.minimum(middle, size - 1)] < x
-            less &= low < high
-            high = np.where(less, high, np.minimum(middle, high))
-            low = np.where(less, middle + 1, low)
-        found[k : k + LOCKSTEP] = low
-        base = int(low[-1])
+        # binary: every end of the block between where the block before ended and there
+        found[k : k + TOGETHER] = base + np.searchsorted(other[base:bound], x)
+        base = int(found[k + len(x) - 1])
     return found
 
 
