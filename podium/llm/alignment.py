@@ -2,8 +2,9 @@
 
 Tokenizer A encodes a space and the text, tokenizer B the text, before which it puts a space itself. Both lists of token
 ends are byte offsets of the same bytes. The shorter list drives: doubling steps in the longer list, from where the block
-before ended, bound a block of its ends, and a binary search inside that bound places each of them. Common ends cut the tokens into groups; the ranks of two neighbouring driver ends in the other list bound the tokens that
-overlap the driver token between them. A link is a pair of tokens that end together.
+before ended, bound a block of its ends, and a binary search inside that bound places each of them. Common ends cut the
+tokens into groups; the ranks of two neighbouring driver ends in the other list bound the tokens that overlap the driver
+token between them. A link is a pair of tokens that end together.
 
 Statistics of the corpus. Texts are aligned in blocks of bounded size. A block keeps its different id pairs with their
 counts, and its links as numbers of those pairs. Counts are summed over all blocks; every block gets back the count of
