@@ -81,23 +81,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 MAP_BITS = 26
 
 
-def on_map(rows: DataFrame, few: DataFrame, key: str = "key") -> DataFrame:
-    """The rows whose key's hash is on the bit map of few's keys: all that a join with few finds, and some more."""
-    bit = F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS).alias("bit")
-    words = few.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits"))
-    words = words.toArrow()  # at most 2^(MAP_BITS - 6) rows of 16 bytes
+def bit_of(key: str) -> Column:
+    """A key's place on a bit map."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS).alias("bit")
+
+
+def bit_map(few: DataFrame, key: str = "key"):
+    """Bit map of few's keys, sent to all executors; its size does not depend on their number."""
+    words = few.select(bit_of(key)).groupBy(F.shiftright("bit", 6).alias("word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits")).toArrow()  # at most 2^(MAP_BITS - 6) rows of 16 bytes
     bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared, names = rows.sparkSession.sparkContext.broadcast(bits), rows.columns
+    return few.sparkSession.sparkContext.broadcast(bits)
+
+
+def on_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places are set."""
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def on_map(rows: DataFrame, few: DataFrame, key: str = "key") -> DataFrame:
+    """The rows whose key's hash is on the bit map of few's keys: all that a join with few finds, and some more."""
+    shared, names = bit_map(few, key), rows.columns
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(hit.astype(bool)))
+            hit = on_bits(shared.value, batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(pa.array(hit))
 
-    return rows.select(bit, *names).mapInArrow(run, rows.schema)
+    return rows.select(bit_of(key), *names).mapInArrow(run, rows.schema)
 
 
 def remainder(key: str, divisor: int) -> Column:

@@ -4,25 +4,30 @@ Words are those of operator 6 (simhash.py): cut at space and 09 to 0D, A-Z lower
 has is one shingle, a text without words has none. Texts with the same set are one class. Two classes link if their sets'
 similarity is at least the one asked for.
 
-Search. SimHash keys can't find these pairs: at a similarity of 0.8 two fingerprints of 64 bits differ by 10 bits on
-average and by 18 now and then, and keys for 18 bits would be met by chance everywhere. So candidates come from MinHash: a
-class has BANDS keys of ROWS minima each, and a pair at 0.8 shares none with a chance of (1 - 0.8^5)^60 = 5e-11. Every
-candidate is verified on the whole sets of 64-bit hashes.
+Search. Candidates come from operator 6 first: classes whose fingerprints its Golay keys put into one group meet the group's
+smallest class. They can't find all: at a similarity of 0.8 two fingerprints of 64 bits differ by 10 bits on average and by
+18 now and then, and keys for 18 bits would be met by chance everywhere. So all classes also have BANDS MinHash keys of ROWS
+minima each, and a pair at 0.8 shares none with a chance of (1 - 0.8^5)^60 = 5e-11. Every candidate is verified on the whole
+sets of 64-bit hashes, which are written for candidates only.
 
 Groups, as in operator 6: a bucket of two is one candidate pair; in a larger one members are compared with the smallest
 member, then, where several components are left, with another centre, at last the members outside the largest component
 with the members of all other components. So a large group costs comparisons in proportion to its members, and no link
-between different components is lost.
+between different components is lost. Classes that are in one component already are not compared again.
+
+A null text counts as empty. Rows without doc_id take part like others; a class's ``first`` is null if all its rows lack one.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import cut, map_texts, on_map
+from podium.llm.common import bit_map, bit_of, cut, map_texts, on_bits, on_map, prepare
 from podium.llm.components import components
 from podium.llm.windows import mix, prefix_sums, span_hash
 
@@ -65,64 +70,108 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sets(docs: DataFrame, shingle: int, fingerprint=None) -> DataFrame:
-    """(doc_id, node, size, shingles, keys): node is a hash of the set, shingles its hashes, keys those of its bands.
+def set_number(data: bytes) -> int:
+    """Hash of a set's bytes, as a signed number."""
+    from xxhash import xxh64_intdigest
+
+    n = xxh64_intdigest(data)
+    return n - (1 << 64 if n >> 63 else 0)
 
-    With ``fingerprint``, fp is what it says of the text, as a signed number.
-    """
 
-    def make():
-        from xxhash import xxh64_intdigest
+def sets(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
+    """(doc_id, node, size, keys, fp): node is a hash of the set, keys those of its bands, fp what ``fingerprint`` says of
+    the text, as a signed number."""
 
-        def of(text):
-            hashes = shingle_set(text, shingle)
-            data = hashes.tobytes()
-            numbers = [xxh64_intdigest(data), *([fingerprint(text)] if fingerprint else [])]
-            node, *fp = (n - (1 << 64 if n >> 63 else 0) for n in numbers)
-            return node, len(hashes), data, band_keys(hashes), *fp
+    def of(text):
+        hashes = shingle_set(text, shingle)
+        fp = fingerprint(text)
+        return set_number(hashes.tobytes()), len(hashes), band_keys(hashes), fp - (1 << 64 if fp >> 63 else 0)
 
-        return of
+    return map_texts(docs, lambda: of, [("node", "long"), ("size", "long"), ("keys", "array<long>"), ("fp", "long")])
 
-    fields = [("node", "long"), ("size", "long"), ("shingles", "binary"), ("keys", "array<long>")]
-    return map_texts(docs, make, fields + ([("fp", "long")] if fingerprint else []))
 
+def whole_sets(docs: DataFrame, shingle: int, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted classes, from one text each: the sets are made again for those alone."""
+    prepare(docs.sparkSession)
+    chosen = classes.join(wanted, "node", "left_semi").where("first IS NOT NULL").select(F.col("first").alias("doc_id"))
+    shared = bit_map(chosen, "doc_id")
 
-def similar(pairs: DataFrame, found: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    def run(batches):
+        sent = set()
+        for batch in batches:
+            at, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            hit = on_bits(shared.value, at) | batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            found = []
+            for text in batch.column(2).filter(pa.array(hit)):
+                data = shingle_set(text.as_py() or "", shingle).tobytes()
+                if (node := set_number(data)) not in sent:
+                    sent.add(node)
+                    found.append((node, data))
+            if found:
+                nodes, datas = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(datas, pa.binary())], names=["node", "shingles"])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(bit_of("doc_id"), "doc_id", "text")
+    made = own.mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi")
+    return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "whole")
+
+
+def similar(pairs: DataFrame, whole: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(a, b) of the candidate pairs whose similarity is at least least[0] / least[1], from their whole sets."""
     up, down = least
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}")), end)
     # the smaller set can't hold more than all of itself
-    pairs = cut(pairs.where(F.least("size_a", "size_b") * down >= F.greatest("size_a", "size_b") * up).select("a", "b"), "pairs")
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    whole = on_map(found.select("node", "shingles"), wanted, "node").join(wanted, "node", "left_semi")
-    whole = cut(whole.groupBy("node").agg(F.first("shingles").alias("shingles")), "whole")
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            total = (len(x) + len(y)) // 8
-            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(common * down >= (total - common) * up)
-        return pd.Series(out, dtype=bool)
-
+    pairs = pairs.where(F.least("size_a", "size_b") * down >= F.greatest("size_a", "size_b") * up).select("a", "b")
     for end in ("a", "b"):
         pairs = pairs.join(whole.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
-    return cut(pairs.where(near("set_a", "set_b")).select("a", "b"), "similar")
 
+    def near(x: bytes, y: bytes) -> bool:
+        total = (len(x) + len(y)) // 8
+        both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common * down >= (total - common) * up
 
-def class_labels(found: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(node, label) of the classes that link with another one."""
+    def run(batches):
+        for batch in batches:
+            keep = [near(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "similar")
+
+
+def class_labels(docs: DataFrame, shingle: int, found: DataFrame, classes: DataFrame, grouped: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(node, label) of the classes that link with another one.
+
+    ``grouped`` has (node, group): classes whose fingerprints are near each other.
+    """
     keys = cut(found.select(F.explode("keys").alias("key"), "node").distinct(), "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre"), F.max("node").alias("other"))
     buckets = cut(buckets.where("n > 1"), "buckets")
     large = buckets.where("n > 2").select("key", "centre")
     members = cut(on_map(keys, large).join(large, "key").select("key", "node", "centre"), "members")
-    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    links = similar(pairs.union(buckets.where("n = 2").select("centre", "other")), found, classes, least)
+    twos = buckets.where("n = 2").select(F.col("centre").alias("a"), F.col("other").alias("b"))
+    centres = grouped.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
+    near = cut(grouped.join(centres, "group").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), "near")
+    ends = [df.select(F.col(c).alias("node")) for df, c in ((members, "node"), (twos, "a"), (twos, "b"), (near, "a"), (near, "b"))]
+    wanted = ends[0]
+    for more in ends[1:]:
+        wanted = wanted.union(more)
+    whole = whole_sets(docs, shingle, classes, cut(wanted.distinct(), "wanted"))
+    links = similar(near, whole, classes, least)
+    labels = components(links)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs that are not in one component yet."""
+        for end in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+        return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+    stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    banded = similar(apart(stars.union(twos)), whole, classes, least)
+    logging.info("links from Golay keys: %d, from bands besides: %d", links.count(), banded.count())
+    links = links.union(banded)
     labels = components(links)
     for everyone in (False, True):
         # in the larger buckets, components that may still touch
@@ -141,7 +190,7 @@ def class_labels(found: DataFrame, classes: DataFrame, least: tuple[int, int]) -
             pairs = few.join(mixed, "key").where("of_a <> of_b").select("a", "b")
         else:
             pairs = few.select(F.col("node").alias("a"), F.col("centre").alias("b"))
-        more = similar(pairs, found, classes, least)
+        more = similar(pairs, whole, classes, least)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)

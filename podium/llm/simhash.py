@@ -42,8 +42,6 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Least Jaccard similarity, as a fraction, of the sets of shingles of so many words; other widths link by MAX_BITS.
-SIMILARITY = {5: (4, 5)}
 #: Shingles counted at once, so that a very long text takes no more memory.
 CHUNK = 1 << 16
 
@@ -120,7 +118,9 @@ def near(a: str, b: str):
 
 def class_labels(classes: DataFrame) -> DataFrame:
     """(node, label) of the fingerprints that link with another one."""
-    keys = cut(keyed(classes), "keys")
+    # a class has many keys: it is dealt out before they are made
+    spread = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = cut(keyed(classes.repartition(spread, "fp")), "keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("centre"), F.max("fp").alias("other"))
     buckets = cut(buckets.where("n > 2 or (n = 2 and bit_count(centre ^ other) <= %d)" % MAX_BITS), "buckets")
     # two members are known from the aggregate; only larger buckets fetch theirs
@@ -152,24 +152,25 @@ def class_labels(classes: DataFrame) -> DataFrame:
     return cut(labels.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; linked by fingerprints, or by sets where SIMILARITY has the width."""
-    if shingle in SIMILARITY:
-        return similar_sets(docs, shingle, with_fp=True)
+def near_duplicates(docs: DataFrame, shingle: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every row.
+
+    Documents link by their fingerprints or, where a similarity is given as a fraction, by the Jaccard similarity of their
+    sets of shingles; the fingerprints' Golay keys give the first candidates then (shingles.py).
+    """
+    if similarity:
+        found = cut(shingles.sets(docs, shingle, partial(fingerprint, shingle=shingle)), "sets")
+        classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "classes")
+        fps = cut(found.select("node", "fp").distinct(), "fps")
+        near_fps = class_labels(fps.select("fp").distinct()).select(F.col("node").alias("fp"), "label")
+        grouped = cut(fps.join(near_fps, "fp", "left").select("node", F.coalesce("label", "fp").alias("group")), "grouped")
+        labels = shingles.class_labels(docs, shingle, found, classes, grouped, similarity)
+        return verdicts(found.drop("keys"), classes, labels, "node").select("doc_id", "fp", "component_id")
     found = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     return verdicts(found, classes, class_labels(classes), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_sets(docs: DataFrame, shingle: int, with_fp: bool = False) -> DataFrame:
-    """(doc_id, component_id) of every row, with its fingerprint if wanted; linked by SIMILARITY."""
-    found = cut(shingles.sets(docs, shingle, partial(fingerprint, shingle=shingle) if with_fp else None), "sets")
-    classes = cut(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "classes")
-    labels = shingles.class_labels(found, classes, SIMILARITY[shingle])
-    names = ["doc_id", *(["fp"] if with_fp else []), "component_id"]
-    return verdicts(found.drop("shingles", "keys"), classes, labels, "node").select(*names)
-
-
 def verdicts(found: DataFrame, classes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """The rows of found with component_id, the smallest doc_id of all classes that links reach."""
     grouped = classes.join(labels.select(F.col("node").alias(key), "label"), key, "left")
@@ -183,13 +184,13 @@ def hexadecimal(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] | None = (4, 5)) -> DataFrame:
     """The rows of docs, all their columns, whose doc_id is their component's smallest.
 
     Rows that share such a doc_id count as one document: the one with the smallest text stays. Rows without doc_id, which
     no verdict can name, stay.
     """
-    result = cut(similar_sets(docs, shingle) if shingle in SIMILARITY else near_duplicates(docs, shingle), "near")
+    result = cut(near_duplicates(docs, shingle, similarity).select("doc_id", "component_id"), "near")
     stays = result.where(F.col("doc_id") == F.col("component_id"))
     stays = cut(stays.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")), "stays")
     single = stays.where("rows = 1")

@@ -33,7 +33,7 @@ def test_stages_follow_each_other(spark):
             scores = quality.score_quality(docs, quality.fit(docs, read(spark, SF_DIR, "labels")))
             assert set(got) == {r["doc_id"] for r in scores.where("selected").collect()}
         elif number == 1:
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5).collect()}
+            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, (4, 5)).collect()}
             assert set(got) == set(groups.values())
         elif number == 2:
             removed = {r["doc_id"]: r for r in suffixes.digests(docs).collect()}
@@ -52,3 +52,24 @@ def test_stages_follow_each_other(spark):
             whole = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF_DIR).collect()}
             assert whole == {key: row["ids_sha256"] for key, row in got.items()}
         docs = after
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_pass_all_stages(spark, empty):
+    """Nulls in any column, repeated rows and ids, empty and very long texts, and columns with the operators' own names."""
+    docs = read(spark, SF_DIR, "documents").limit(0 if empty else 40)
+    for name in ("fp", "node", "label", "score", "grade", "key", "spans", "kept_id", "bit", "ids"):
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    if not empty:
+        columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+        odd = [(None, None), (None, "a text without an id"), (900_001, None), (900_002, ""), (900_003, "word " * 30_000), (900_004, "same"), (900_004, "same")]
+        rows = [(*row, *[None] * len(columns)) for row in odd]
+        kinds = ", ".join(f"{c} {t}" for c, t in docs.select("doc_id", "text", *columns).dtypes)
+        docs = docs.unionByName(spark.createDataFrame(rows, kinds))
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        after = cut(stage(spark, docs, SF_DIR), "odd")
+        if number < 4:
+            assert after.columns == docs.columns, name
+        assert after.count() <= docs.count()
+        assert (after.count() == 0) == empty
+        docs = after

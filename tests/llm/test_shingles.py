@@ -41,7 +41,7 @@ def test_near_copies_against_brute_force(docs_of, prose):
     want = groups(texts)
     assert 0 < sum((simhash.fingerprint(a or "", 5) ^ simhash.fingerprint(b or "", 5)).bit_count() > simhash.MAX_BITS
                    for a, b, x, y in zip(texts, texts[1:], want, want[1:], strict=False) if x == y)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(texts), 5).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(texts), 5, (4, 5)).collect()}
     assert [got[k] for k in range(len(texts))] == want
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs_of(texts)).collect()) == sorted(set(want))
 
@@ -52,3 +52,23 @@ def test_long_texts_work_in_pieces(prose, monkeypatch):
     assert len(whole) == len(words_of(text))
     monkeypatch.setattr(shingles, "CHUNK", 100)
     assert (shingles.shingle_set(text, 5) == whole).all()
+
+
+def test_rows_without_id_and_repeated_ids(docs_of, prose):
+    text, other = prose(100), prose(100)
+    rows = [(None, text), (None, text + " end"), (4, text), (4, other), (9, other + " end"), (2, None), (3, "")]
+    got = simhash.near_duplicates(docs_of(rows), 5, (4, 5)).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == sorted(
+        [("None", 4), ("None", 4), ("4", 4), ("4", 4), ("9", 4), ("2", 2), ("3", 2)]
+    )
+    assert simhash.near_duplicates(docs_of([]), 5, (4, 5)).count() == 0
+    only = [(None, text), (None, text + " end")]
+    assert [r["component_id"] for r in simhash.near_duplicates(docs_of(only), 5, (4, 5)).collect()] == [None, None]
+
+
+def test_golay_keys_give_candidates(docs_of, prose, caplog):
+    caplog.set_level("INFO")
+    text = prose(900)
+    simhash.near_duplicates(docs_of([text, text + " end", edited(text, random.Random(3), 15)]), 5, (4, 5)).collect()
+    found = [r.getMessage() for r in caplog.records if "Golay" in r.getMessage()]
+    assert found == ["links from Golay keys: 1, from bands besides: 1"]
