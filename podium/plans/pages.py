@@ -1,4 +1,4 @@
-"""Page and table extraction."""
+"""Page and table extraction."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from podium.functions import identifiers as idn
 from podium.functions import text as tx
+from podium.functions import times
+from podium.operators import loads
 from podium.operators.measures import count_if
 from podium.plans import dialect as q
 from podium.plans.registry import query
 from podium.sources import files, pages
+from podium.sources import result_pages as result
 
 C = F.col
 N = q.n()
@@ -128,59 +131,133 @@ def _(t):
     )
 
 
-# --- result pages written from the results, then read back -------------------------------------------------------
+# --- the site: given pages, and result pages of four layouts --------------------------------------------------------
 
 ROWS_PER_PAGE = 400
 SCORE = "CASE WHEN status IN ('DNC', 'DNS') THEN '(' || CAST(points AS STRING) || '.0 ' || status || ')' WHEN status = 'DNF' THEN 'DNF' ELSE CAST(points AS STRING) || '.5' END"
+# how a layout writes a row, by contest_id % 4: marked by classes, striped, unmarked, of fixed columns
+CELLS = {
+    "rank": "CASE WHEN rank <> 2 THEN CAST(rank AS STRING) || 'th' ELSE '' END",
+    "name": "CASE WHEN entity_id % 5 > 0 THEN 'Boat ' || CAST(entity_id AS STRING) || '&nbsp;' ELSE ' ' END",
+    "sail": "'# ' || CAST(boat_id AS STRING)",
+    "class": "CASE boat_id % 3 WHEN 0 THEN 'J29' WHEN 1 THEN 'A1/2' ELSE '' END",
+    "elapsed": "CAST(CAST(floor(elapsed_s / 60) AS BIGINT) AS STRING) || ':' || lpad(CAST(elapsed_s % 60 AS STRING), 2, '0')",
+}
+LAYOUT = "contest_id % 4"
+SUMMARY_TR = f"""CASE {LAYOUT} WHEN 0 THEN '<tr class="odd summaryrow"><td>' WHEN 1 THEN '<tr class="even"><td>' ELSE '<tr class=odd><td>' END || {CELLS['rank']} || '</td><td>'
+    || {CELLS['name']} || '</td><td>' || {CELLS['sail']} || '</td><td>' || {SCORE} || '</td><td>' || CAST(points AS STRING) || '</td><td><b>' || CAST(points AS STRING) || '</b></td></tr>'"""
+RACE_TR = f"""CASE {LAYOUT} WHEN 0 THEN '<tr class="even racerow"><td>' WHEN 1 THEN '<TR class="odd"><td>' ELSE '<tr><td>' END || {CELLS['rank']} || '<td>' || {CELLS['name']} || '<td>'
+    || {CELLS['sail']} || '<td><i>' || {CELLS['class']} || '</i><td>' || CAST(rating AS STRING) || '</td><td>' || {CELLS['elapsed']} || '</td><td>' || {SCORE} || '</td></tr>'"""
+FIXED_TR = f"""'<tr><td bgcolor="#FFFFFF" height="24"><font>' || {CELLS['name']} || '</font></td><td>' || CAST(boat_id AS STRING) || '</td><td>' || {CELLS['class']} || '</td><td>' || CAST(rating AS STRING)
+    || '</td><td>05/06/99</td><td>' || CASE WHEN status <> '' THEN status ELSE '19:05:10' END || '</td><td></td><td>' || {CELLS['elapsed']} || '</td><td>0:50:00</td>' || CASE WHEN rank % 7 <> 0 THEN '<td>'
+    || CAST(rank AS STRING) || '</td><td>' || CAST(points AS STRING) || '.75</td><td>1</td><td>' || CAST(points * 2 AS STRING) || '</td><td>' || CAST(rank AS STRING) || '</td>' ELSE '' END || '</tr>'"""
+# what stands around the rows; NAME, DAY and RACE are filled in
+HEADS = {
+    0: (
+        """<html><head><title>Sailwave results for NAME</title></head><body><h1>Club</h1><h2>NAME</h2><h3 class="seriestitle">Results are final</h3>
+        <h3 class="summarytitle" id="summaryoverall">Overall</h3><div class="caption summarycaption">Sailed: 4, Discards: 1, Entries: 9, Rating system: PHRF</div><table class="summarytable">
+        <colgroup><col class="rank"/><col class="boat"></colgroup><tr class="titlerow"><th>Rank</th><th>Boat</th><th>SailNo</th><th><a class="racelink" href="#rRACE">DAY</a></th><th>Total</th><th>Nett</th></tr>""",
+        """</table><h3 class="racetitle" id="rRACE">DAY - 28</h3><div class="caption racecaption">Start: Start 1, Time: 18:36:00</div><table class="racetable"><tr class="titlerow"><th>Rank</th><th>Boat</th>
+        <th>SailNo</th><th>Class</th><th>PHRF</th><th>Elapsed</th><th>Points</th></tr>""",
+    ),
+    1: (
+        """<html><body><!-- <table class="racetable"> --><h2>NAME</h2><h3 id="summarya">A Fleet</h3><div class="caption">Sailed: 0, Discards: 1</div><TABLE border=1><colgroup><col class="rank"><col class="boat">
+        <col class="nett"></colgroup><tr><th>Rank<th>Boat Name<th>Sail Number<th><a class='racelink' href='#rRACE'>DAY</a><th>Total<th>Nett</tr>""",
+        """</TABLE><h3 id="rRACE">Race</h3><div class="caption">Time: 18:36:00</div><table><colgroup><col class="rank"><col class="raceelapsed"></colgroup><tr><th>Rank<th>Yacht<th>Sail #<th>Type<th>Rating<th>Elapsed<th>Pts</tr>""",
+    ),
+    2: (
+        """<html><head><title>NAME</title></head><body><table class="main"><tr><td>Results by <a href="x.htm">club</a></td></tr></table><div class="caption">Sailed: 4</div><table class="main"><tr><th>Pos</th><th>HelmName</th>
+        <th>Sail No</th><th><b><a class="racelink" href="">DAY</a></b></th><th>Total</th><th>Net</th></tr>""",
+        """</table><p class="race">Race RACE</p><p class="raceanno">held 5/Jun/1999, light wind</p><table class="main"><tr><th>Pos</th><th>Name</th><th>Sail No</th><th>Model</th><th>Handicap</th><th>Elapsed</th><th>Points</th></tr>""",
+    ),
+    3: (
+        """<html><head><meta name="GENERATOR" content="WinRegatta 3"><title>NAME</title></head><body><table><tr><td bgcolor="#0000FF" colspan="4"><b>NAME</b></td></tr><tr><td bgcolor="#008080"><strong>Class</strong></td><td>All</td>
+        <td bgcolor=#008080>Course</td><td>Bay&nbsp;One</td></tr><tr><td bgcolor="#008080">Race Date</td><td>DAY</td><td bgcolor="#008080">Wind Speed</td><td>12</td></tr><tr><td bgcolor="#008080">Race</td><td>3 of 9</td></tr></table>
+        <table><tr><td bgcolor="#FF0000">Name</td><td bgcolor="#FF0000">Sail</td></tr>""",
+        """<tr><td bgcolor="#C0C0C0" colspan="4">NAME</td><td bgcolor="#C0C0C0" colspan="5">Race 3</td><td bgcolor="#C0C0C0">Thursday, Jun 1 2000</td></tr></table>""",
+    ),
+}
 
 
 def result_pages(t):
     """One HTML page per contest and ROWS_PER_PAGE places, so a page never holds more rows than that."""
-    entry = F.concat(
-        F.lit('<tr class="racerow odd"><td>'), C("rank").cast("string"), F.lit("</td><td>Boat&nbsp;"), C("entity_id").cast("string"),
-        F.lit("</td><td>"), C("boat_id").cast("string"), F.lit("</td><td>"), C("rating").cast("string"), F.lit("</td><td><b>"),
-        C("elapsed_s").cast("string"), F.lit("</b></td><td>"), F.expr(SCORE), F.lit("</td></tr>"),
-    )
-    listed = t.ranked.select(
-        "contest_id", F.floor((C("rank") - 1) / ROWS_PER_PAGE).alias("part"), F.struct("rank", entry.alias("tr")).alias("e")
+    fixed = C("contest_id") % 4 == 3
+    entry = F.struct(
+        "rank", F.when(fixed, F.expr(FIXED_TR)).otherwise(F.expr(SUMMARY_TR)).alias("first"), F.when(~fixed, F.expr(RACE_TR)).alias("second")
+    )
+    part = F.floor((C("rank") - 1) / ROWS_PER_PAGE)
+    listed = t.ranked.select("contest_id", part.alias("part"), entry.alias("e")).groupBy("contest_id", "part")
+    rows = listed.agg(F.array_sort(F.collect_list("e")).alias("e"))
+    heads = t.contest_headers.select(
+        "contest_id", "period", F.concat(F.lit("Cup "), C("series_id").cast("string")).alias("name"), F.date_format("contest_date", "dd/MM/yy").alias("day")
     )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["tr"]), "")
-    head = (
-        '<html><head><title>Results</title></head><body><table><tr><td bgcolor="#008080">Course</td><td>Bay</td>'
-        '<td bgcolor="#008080">Distance</td><td>12</td></tr></table><table class="racetable"><caption>Sailed: 4, Discards: 1, '
-        "Rating system: PHRF</caption><tr class=\"titlerow\"><th>Rank</th><th>HelmName</th><th>Sail No</th><th>PHRF</th><th>Elapsed</th>"
-        "<th>Points</th></tr>"
+
+    def around(k: int):
+        text = F.lit(HEADS[3][k])
+        for layout in (0, 1, 2):
+            text = F.when(C("contest_id") % 4 == layout, HEADS[layout][k]).otherwise(text)
+        for mark, value in (("NAME", C("name")), ("DAY", C("day")), ("RACE", C("contest_id").cast("string"))):
+            text = F.replace(text, F.lit(mark), value)
+        return text
+
+    def of(name: str):
+        return F.array_join(F.transform("e", lambda e: e[name]), "")
+
+    closing = F.when(~fixed, "</table></body></html>").otherwise("</body></html>")
+    return rows.join(heads, "contest_id").select(
+        (C("contest_id") * 1000 + C("part")).alias("page_id"),
+        F.concat(F.lit("site/racing"), C("period").cast("string"), F.lit("/p"), (C("contest_id") * 1000 + C("part")).cast("string"), F.lit(".htm")).alias("source_path"),
+        C("period").alias("year"),
+        F.concat(around(0), of("first"), around(1), of("second"), closing).alias("html"),
     )
-    return listed.groupBy("contest_id", "part").agg(
-        F.concat(F.lit(head), body, F.lit("</table></body></html>")).alias("html")
-    ).select(C("contest_id").alias("page_id"), "html")
 
 
-def race_rows(t):
-    return pages.table_rows(result_pages(t)).where("kind = 'race'")
+def site_parts(t):
+    """Parts of all pages of the site: the given ones, under negative numbers, and the result pages."""
+    given = t.pages.select((-1 - C("page_id")).alias("page_id"), C("url").alias("source_path"), files.year_of_path("url").alias("year"), "html")
+    return result.parts(given.unionByName(result_pages(t)))
+
+
+def parsed_pages(t):
+    return result.parsed(site_parts(t))
+
+
+PAGED = """pg AS (SELECT *, contest_id * 1000 + CAST(floor((rank - 1) / 400) AS BIGINT) AS page_id, contest_id % 4 AS layout, row_number() OVER (PARTITION BY contest_id, floor((rank - 1) / 400)
+        ORDER BY rank) AS pos, CASE WHEN entity_id % 5 > 0 THEN 'Boat ' || entity_id ELSE 'Sail # ' || boat_id END AS who, CASE boat_id % 3 WHEN 0 THEN 'J/29' WHEN 1 THEN 'A1/2' END AS design,
+        CASE WHEN rank <> 2 THEN CAST(rank AS INTEGER) END AS shown_rank, strftime(contest_date, '%d/%m/%y') AS shown_day
+        FROM ranked JOIN contest_headers USING (contest_id))"""
 
 
 @query(
     "H06_table_rows",
-    f"""SELECT contest_id AS page_id, 'race' AS kind, {N} AS rows_read, CAST(count(*) * 6 AS BIGINT) AS cells FROM results GROUP BY 1
-    UNION ALL SELECT contest_id, 'other', CAST(ceil(count(*) / 400) AS BIGINT), CAST(ceil(count(*) / 400) * 4 AS BIGINT) FROM results GROUP BY 1""",
+    f"""WITH {PAGED} SELECT page_id, 'summary' AS kind, {N} AS rows_read, CAST(count(*) * 6 AS BIGINT) AS cells, CAST(1 AS BIGINT) AS race_links FROM pg WHERE layout < 3 GROUP BY 1
+    UNION ALL SELECT page_id, 'race', {N}, CAST(count(*) * 7 AS BIGINT), 0 FROM pg WHERE layout < 3 GROUP BY 1
+    UNION ALL SELECT page_id, 'fixed', {N}, CAST(sum(CASE WHEN rank % 7 <> 0 THEN 14 ELSE 9 END) AS BIGINT), 0 FROM pg WHERE layout = 3 GROUP BY 1""",
 )
 def _(t):
-    return pages.table_rows(result_pages(t)).groupBy("page_id", "kind").agg(
-        F.count("*").alias("rows_read"), F.sum(F.size("cells")).cast("long").alias("cells")
+    def size(rows):
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda n, cells: n + F.size(cells))
+
+    fixed = F.array(F.struct(F.lit("fixed").alias("kind"), C("fixed.rows").alias("rows"), F.lit(0).cast("long").alias("race_links")))
+    tables = F.transform(
+        "tables",
+        lambda x: F.struct(x["kind"].alias("kind"), x["rows"].alias("rows"), F.size(F.array_compact(x["links"])).cast("long").alias("race_links")),
     )
+    both = F.concat("tables", F.when(C("fixed").isNotNull(), fixed).otherwise(F.slice(fixed, 1, 0)))
+    found = site_parts(t).withColumn("tables", tables).select("page_id", F.inline(both))
+    return found.select("page_id", "kind", F.size("rows").cast("long").alias("rows_read"), size(C("rows")).alias("cells"), "race_links")
 
 
 @query(
     "H07_named_columns",
-    """SELECT contest_id AS page_id, rank, 'Boat ' || entity_id AS boat, CAST(boat_id AS VARCHAR) AS sail_number, CAST(rating AS VARCHAR) AS phrf,
-        elapsed_s AS elapsed, CAST(NULL AS VARCHAR) AS fleet FROM ranked""",
+    f"""WITH {PAGED} SELECT page_id, shown_rank AS rank, who AS boat, '# ' || boat_id AS sail_number, CAST(rating AS VARCHAR) AS phrf, elapsed_s AS elapsed, CAST(NULL AS VARCHAR) AS fleet
+    FROM pg WHERE layout < 3""",
 )
 def _(t):
-    named = pages.named_cells(race_rows(t), ["rank", "boat", "sail_number", "phrf", "elapsed", "fleet"])
-    return named.select(
-        "page_id", C("rank").try_cast("long").alias("rank"), "boat", "sail_number", "phrf",
-        C("elapsed").try_cast("int").alias("elapsed"), "fleet",
+    rows = parsed_pages(t).select("page_id", F.inline("races")).select("page_id", F.inline("rows"))
+    return rows.select(
+        "page_id", times.first_number("rank").alias("rank"), "boat", "sail_number", C("phrf_rating").alias("phrf"),
+        times.duration_s("elapsed_time").alias("elapsed"), "fleet",
     )
 
 
@@ -196,35 +273,97 @@ def _(t):
 
 @query(
     "H10_fixed_layout",
-    f"""SELECT contest_id AS page_id, {N} AS entries, CAST(sum(rating) AS BIGINT) AS ratings, {q.n(cond="status = 'DNF'")} AS unfinished FROM results GROUP BY 1""",
+    f"""WITH {PAGED}, x AS (SELECT *, rank % 7 <> 0 AS full_row FROM pg WHERE layout = 3 AND entity_id % 5 > 0)
+    SELECT page_id, 'Boat ' || entity_id AS boat_name, CAST(boat_id AS VARCHAR) AS sail_number, CASE boat_id % 3 WHEN 0 THEN 'J29' WHEN 1 THEN 'A1/2' ELSE '' END AS boat_class, CAST(rating AS VARCHAR) AS rating,
+        '05/06/99' AS race_date, CASE WHEN status <> '' THEN status ELSE '19:05:10' END AS finish_time, '' AS penalty, elapsed_s // 60 || ':' || lpad(CAST(elapsed_s % 60 AS VARCHAR), 2, '0') AS elapsed_time,
+        '0:50:00' AS corrected_time, CASE WHEN full_row THEN CAST(rank AS INTEGER) END AS position, CASE WHEN full_row THEN points + 0.75e0 END AS points, CASE WHEN full_row THEN '1' END AS espn,
+        CASE WHEN full_row THEN CAST(points * 2 AS DOUBLE) END AS series_points, CASE WHEN full_row THEN CAST(rank AS INTEGER) END AS series_position, nullif(status, '') AS status FROM x""",
 )
 def _(t):
-    # the page rows under the positions of the fixed layout: name, number, class, rating
-    rows = race_rows(t).withColumn("cells", F.array(F.get("cells", 1), F.get("cells", 2), F.lit(""), F.get("cells", 3), F.get("cells", 5)))
-    fixed = pages.positional_cells(rows)
-    return fixed.groupBy("page_id").agg(
-        F.count("*").alias("entries"),
-        F.sum(C("rating").try_cast("long")).alias("ratings"),
-        count_if(C("status") == "DNF").alias("unfinished"),
-    )
+    rows = result.fixed_parsed(site_parts(t)).select("page_id", F.inline("results"))
+    return rows.select("page_id", *[name for name, *_ in result.FIXED_COLUMNS], "status")
 
 
 @query(
     "H11_labelled_cells",
-    """SELECT contest_id AS page_id, label, value, CAST(ceil(count(*) / 400) AS BIGINT) AS found FROM results, (VALUES ('course', 'Bay'), ('distance', '12')) v(label, value)
-    GROUP BY 1, 2, 3""",
+    f"""WITH {PAGED} SELECT page_id, 'Cup ' || series_id AS event_name, 'All' AS race_class, 'Bay One' AS course, shown_day AS race_date, CAST(NULL AS VARCHAR) AS distance, '12' AS wind_speed,
+        CAST(3 AS INTEGER) AS race_number, CAST(9 AS INTEGER) AS race_total, 'Race 3' AS footer_race_info, 'Thursday, Jun 1 2000' AS footer_date FROM pg WHERE layout = 3
+        GROUP BY page_id, series_id, shown_day HAVING count(*) FILTER (entity_id % 5 > 0) > 0""",
 )
 def _(t):
-    rows = pages.table_rows(result_pages(t)).where("kind = 'other'")
-    return pages.labelled_values(rows).groupBy("page_id", "label", "value").agg(F.count("*").alias("found"))
+    fields = ("event_name", "race_class", "course", "race_date", "distance", "wind_speed", "race_number", "race_total")
+    return result.fixed_parsed(site_parts(t)).select("page_id", *[f"metadata.{f}" for f in fields], "footer_race_info", "footer_date")
 
 
 @query(
     "H13_participant_type",
-    f"SELECT 'helm' AS participant_type, {N} AS rows_read FROM results",
+    f"""WITH {PAGED} SELECT CASE WHEN layout = 2 THEN 'helm' ELSE 'boat' END AS participant_type, {q.n('DISTINCT page_id')} AS pages FROM pg WHERE layout < 3 GROUP BY 1""",
+)
+def _(t):
+    return parsed_pages(t).groupBy("participant_type").agg(F.count("*").alias("pages"))
+
+
+# --- pages to the nested tables ----------------------------------------------------------------------------------
+
+
+@query(
+    "S14_nested_events",
+    f"""WITH {PAGED} SELECT DISTINCT 'site/racing' || period || '/p' || page_id || '.htm' AS source_path, period, CASE layout WHEN 0 THEN 'Club - Cup ' || series_id ELSE 'Cup ' || series_id END AS event_name,
+        CASE layout WHEN 0 THEN 4 WHEN 1 THEN 0 ELSE 4 END AS races_sailed, CASE WHEN layout < 2 THEN 1 END AS discards, 'trophy' AS event_type, CAST(NULL AS VARCHAR) AS month, CAST(NULL AS INTEGER) AS to_count,
+        CASE layout WHEN 0 THEN 9 END AS entries, CASE layout WHEN 0 THEN 'PHRF' END AS rating_system, CASE layout WHEN 0 THEN 'final' ELSE 'as-of' END AS publication_status FROM pg WHERE layout < 3""",
+)
+def _(t):
+    return loads.page_events(parsed_pages(t))
+
+
+@query(
+    "S14_nested_races",
+    f"""WITH {PAGED} SELECT DISTINCT 'site/racing' || period || '/p' || page_id || '.htm' AS source_path, CASE layout WHEN 2 THEN 'race_' ELSE 'r' END || contest_id AS race_key,
+        CASE layout WHEN 2 THEN '5/Jun/1999' ELSE shown_day END AS race_date, CASE WHEN layout < 2 THEN '18:36:00' END AS start_time FROM pg WHERE layout < 3""",
+)
+def _(t):
+    return loads.page_races(parsed_pages(t))
+
+
+@query(
+    "S14_nested_results",
+    f"""WITH {PAGED} SELECT CASE layout WHEN 2 THEN 'race_' ELSE 'r' END || contest_id AS race_key, who AS participant, CAST(boat_id AS VARCHAR) AS sail, design AS class,
+        CASE WHEN design = 'A1/2' THEN 'A1/2' END AS fleet, shown_rank AS rank, elapsed_s, CASE WHEN status IS NULL OR status = '' THEN points + 0.5e0 END AS points, nullif(status, '') AS status
+    FROM pg WHERE layout < 3""",
+)
+def _(t):
+    return loads.page_results(parsed_pages(t)).drop("source_path")
+
+
+@query(
+    "S14_nested_standings",
+    f"""WITH {PAGED} SELECT CASE layout WHEN 1 THEN 'a_fleet' ELSE 'overall' END AS scope, who AS participant, {N} AS standings, CAST(sum(coalesce(shown_rank, pos)) AS BIGINT) AS ranks,
+        CAST(sum(points) AS DOUBLE) AS nett FROM pg WHERE layout < 3 GROUP BY ALL""",
+)
+def _(t):
+    rows = loads.page_standings(parsed_pages(t)).groupBy("scope", "participant")
+    return rows.agg(F.count("*").alias("standings"), F.sum("rank").cast("long").alias("ranks"), F.sum("nett_points").alias("nett"))
+
+
+@query(
+    "S14_nested_scores",
+    f"""WITH {PAGED} SELECT CASE WHEN layout = 2 THEN 'r1' ELSE 'r' || contest_id END AS race_key, shown_day AS race_date, {N} AS scores, CAST(sum(CASE WHEN status IN ('DNC', 'DNS') THEN points
+        WHEN status = 'DNF' THEN NULL ELSE points + 0.5 END) AS DOUBLE) AS points, {q.n(cond="status IN ('DNC', 'DNS')")} AS discarded, {q.n(cond="status <> ''")} AS coded FROM pg WHERE layout < 3 GROUP BY ALL""",
+)
+def _(t):
+    cells = loads.page_scores(parsed_pages(t)).groupBy("race_key", "race_date")
+    return cells.agg(
+        F.count("*").alias("scores"), F.sum("points").alias("points"), count_if(C("is_discarded")).alias("discarded"), F.count("status").alias("coded")
+    )
+
+
+@query(
+    "S14_fixed_results",
+    f"""WITH {PAGED} SELECT 'site/racing' || period || '/p' || page_id || '.htm' AS source_path, CAST(3 AS INTEGER) AS race_no, 'Boat ' || entity_id AS participant, CASE WHEN rank % 7 <> 0 THEN CAST(rank AS INTEGER) END AS rank,
+        elapsed_s, CASE WHEN rank % 7 <> 0 THEN points + 0.75e0 END AS points, nullif(status, '') AS status FROM pg WHERE layout = 3 AND entity_id % 5 > 0""",
 )
 def _(t):
-    return race_rows(t).groupBy(pages.participant_type("header").alias("participant_type")).agg(F.count("*").alias("rows_read"))
+    return loads.legacy_results(result.fixed_parsed(site_parts(t))).drop("race_date")
 
 
 CAPTION = "series_id, 'Sailed: ' || CAST(series_id % 9 AS STRING) || ', Discards: 1, Rating system: PHRF, none' AS caption"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Skewed join partitions are split at run time even if that costs a later shuffle, and small sides are
@@ -41,11 +45,22 @@ def local_session(app: str = "podium", cpus: int | str = "*", partitions: int =
     return tune(spark)
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names; ``fallback`` is used only where none is set."""
+@functools.cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='podium-')}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which every executor sees; where it is unset, on a local master, one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    return fallback
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    return _own_folder()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the shared one that nothing has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -62,16 +62,32 @@ def scan_pages(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     )
 
 
-def read_json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.schema(ddl).json(path)
+#: Column that takes a line, or a whole document, which does not read as declared; null for all others.
+CORRUPT = "corrupt_record"
+
+
+def read_json_lines(spark: SparkSession, path: str, ddl: str, corrupt: bool = False) -> DataFrame:
+    """JSON lines under a declared schema; with ``corrupt``, malformed lines are kept in CORRUPT."""
+    reader = spark.read.schema(f"{ddl}, {CORRUPT} string" if corrupt else ddl)
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=ddl, enforceSchema=False)
+def append_lines(lines: DataFrame, path: str) -> None:
+    """Add lines of text, as they are, to a folder of such files."""
+    lines.write.mode("append").text(path)
+
+
+def read_csv(spark: SparkSession, path: str, ddl: str, corrupt: bool = False) -> DataFrame:
+    """Headed CSV; without ``corrupt`` the header must be as declared, with it lines that don't fit are kept in CORRUPT."""
+    if not corrupt:
+        return spark.read.csv(path, header=True, schema=ddl, enforceSchema=False)
+    # lines with too few or too many fields are told by all columns; a value is judged when its column is read
+    reader = spark.read.option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.csv(path, header=True, schema=f"{ddl}, {CORRUPT} string")
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
@@ -79,6 +95,17 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     df.select(*fields).write.mode("overwrite").csv(path, header=True)
 
 
+def write_json_documents(documents: DataFrame, path: str) -> None:
+    """One file for each row's text, a JSON document of several lines."""
+    documents.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_json_documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Records of files that hold one JSON document or an array of them; files that don't read are kept in CORRUPT."""
+    reader = spark.read.schema(f"{ddl}, {CORRUPT} string").option("multiLine", True)
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -125,6 +152,11 @@ def write_documents(docs: DataFrame, path: str, key: str, files: int | None = No
     )
 
 
+def read_documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Documents of a folder of keys under a declared schema, which names the key too."""
+    return spark.read.schema(ddl).json(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Idempotent full reload."""
     df.write.mode("overwrite").parquet(path)

@@ -113,7 +113,7 @@ def parsed_page():
 def test_one_page_end_to_end(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text(json.dumps(parsed_page()) + "\n")
     df = files.read_json_lines(spark, str(tmp_path / "p.jsonl"), schema.PARSED_PAGE)
-    assert [tuple(r) for r in loads.page_events(df).collect()] == [("racing2001/june_tns.htm", 2001, "Club - June TNS", 2, 1)]
+    assert [tuple(r)[:7] for r in loads.page_events(df).collect()] == [("racing2001/june_tns.htm", 2001, "Club - June TNS", 2, 1, "tns", "june")]
     assert [tuple(r)[1:] for r in loads.page_races(df).collect()] == [("r1", "2001-06-05", "18:36:00")]
     result = loads.page_results(df).first()
     assert (result["participant"], result["class"], result["rank"], result["elapsed_s"], result["status"]) == ("Sail 34142", "J/29", 1, 3600, None)
