@@ -101,29 +101,41 @@ def _(t):
     return hi.owner_at(wanted, t.tenures)
 
 
-DAILY = """dw AS (SELECT day, sum(speed_c) // count(*) AS mean_c, max(speed_c) AS gust_c, count(*) AS n_obs FROM observations GROUP BY 1)"""
+DAILY = f"""dw AS (SELECT day, sum(speed_c) // count(*) AS mean_c, max(speed_c) AS gust_c, count(*) AS n_obs, {q.pct('sum(temp_d)', 'count(temp_d) * 10')} AS temp_c, CAST(sum(rain_mm) AS BIGINT) AS rain_mm,
+        CAST(sum(direction) // count(*) AS BIGINT) AS direction, min(sky) AS sky FROM observations GROUP BY 1)"""
+
+
+def daily(t):
+    """Weather of every date that has observations."""
+    return t.observations.groupBy("day").agg(
+        F.call_function("div", F.sum("speed_c"), F.count("*")).alias("mean_c"),
+        F.max("speed_c").alias("gust_c"),
+        F.count("*").alias("n_obs"),
+        half_up(F.sum("temp_d"), F.count("temp_d") * 10, 1).alias("temp_c"),
+        F.sum("rain_mm").alias("rain_mm"),
+        F.call_function("div", F.sum("direction"), F.count("*")).alias("direction"),
+        F.min("sky").alias("sky"),
+    )
+
+
+def levels(t):
+    """Readings of every date in the order of hours, 24 at most."""
+    return hourly(t).groupBy("day").agg(F.array_sort(F.collect_list(F.struct("hour", "wind_kc"))).alias("levels"))
 
 
 @query(
     "J11_weather_by_date",
     f"""WITH {WIND}, {DAILY}, ls AS (SELECT day, string_agg(hour || ':' || wind_kc, ' ' ORDER BY hour) AS levels FROM hw GROUP BY 1)
-    SELECT contest_id, strftime(contest_date, '%Y-%m-%d') AS contest_date, CAST(mean_c AS BIGINT) AS mean_c, gust_c,
-        CAST(n_obs AS BIGINT) AS n_obs, levels FROM contest_headers LEFT JOIN dw USING (day) LEFT JOIN ls USING (day)""",
+    SELECT contest_id, day AS contest_date, CAST(mean_c AS BIGINT) AS mean_c, gust_c, CAST(n_obs AS BIGINT) AS n_obs, temp_c, rain_mm, direction, levels
+    FROM contest_headers LEFT JOIN dw USING (day) LEFT JOIN ls USING (day)""",
 )
 def _(t):
-    daily = t.observations.groupBy("day").agg(
-        F.call_function("div", F.sum("speed_c"), F.count("*")).alias("mean_c"),
-        F.max("speed_c").alias("gust_c"),
-        F.count("*").alias("n_obs"),
-    )
-    # at most 24 readings a day are listed
-    levels = hourly(t).groupBy("day").agg(F.array_sort(F.collect_list(F.struct("hour", "wind_kc"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["hour"], x["wind_kc"])), " ")
+    text = F.array_join(F.transform("levels", lambda x: F.concat_ws(":", x["hour"], x["wind_kc"])), " ")
     return (
-        t.contest_headers.select("contest_id", F.date_format("contest_date", "yyyy-MM-dd").alias("contest_date"), "day")
-        .join(daily, "day", "left")
-        .join(levels.select("day", text.alias("levels")), "day", "left")
-        .drop("day")
+        t.contest_headers.select("contest_id", "day")
+        .join(daily(t).drop("sky"), "day", "left")
+        .join(levels(t).select("day", text.alias("levels")), "day", "left")
+        .withColumnRenamed("day", "contest_date")
     )
 
 
@@ -140,23 +152,22 @@ def _(t):
 
 @query(
     "A26_monthly_means",
-    f"""WITH {DAILY}, d AS (SELECT DISTINCT contest_date, month, day FROM contest_headers WHERE month BETWEEN 5 AND 10)
-    SELECT month, {N} AS days, {q.pct('sum(gust_c)', 'count(gust_c) * 100')} AS mean_gust,
+    f"""WITH {DAILY} SELECT CAST(substr(day, 6, 2) AS INTEGER) AS month, {N} AS days, {q.pct('CAST(sum(round(temp_c * 10)) AS BIGINT)', 'count(*) * 10')} AS mean_temp,
         {q.pct('sum(CASE WHEN mean_c <> 0 THEN mean_c END)', 'count(CASE WHEN mean_c <> 0 THEN mean_c END) * 100')} AS mean_wind
-    FROM d JOIN dw USING (day) GROUP BY 1""",
+    FROM dw WHERE temp_c IS NOT NULL AND CAST(substr(day, 6, 2) AS INTEGER) BETWEEN 5 AND 10 GROUP BY 1""",
 )
 def _(t):
-    daily = t.observations.groupBy("day").agg(
-        F.call_function("div", F.sum("speed_c"), F.count("*")).alias("mean_c"), F.max("speed_c").alias("gust_c")
-    )
-    days = t.contest_headers.where("month BETWEEN 5 AND 10").select("contest_date", "month", "day").distinct()
+    month = F.substring("day", 6, 2).cast("int")
     blowing = F.when(C("mean_c") != 0, C("mean_c"))
+    tenths = F.round(C("temp_c") * 10).cast("long")
     return (
-        days.join(daily, "day")
+        daily(t)
+        .withColumn("month", month)
+        .where("temp_c IS NOT NULL AND month BETWEEN 5 AND 10")
         .groupBy("month")
         .agg(
             F.count("*").alias("days"),
-            half_up(F.sum("gust_c"), F.count("gust_c") * 100, 1).alias("mean_gust"),
+            half_up(F.sum(tenths), F.count("*") * 10, 1).alias("mean_temp"),
             half_up(F.sum(blowing), F.count(blowing) * 100, 1).alias("mean_wind"),
         )
     )

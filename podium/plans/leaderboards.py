@@ -211,11 +211,11 @@ def _(t):
 
 
 # Presence of stations on days: sparse enough for cohorts, returns and streaks to vary.
-SEEN = "SELECT DISTINCT station_id AS entity_id, day AS period FROM observations WHERE speed_c >= 9000"
+SEEN = "SELECT DISTINCT station_id AS entity_id, day_no AS period FROM observations WHERE speed_c >= 9000"
 
 
 def _seen(t):
-    return t.observations.where("speed_c >= 9000").selectExpr("station_id AS entity_id", "day AS period").distinct()
+    return t.observations.where("speed_c >= 9000").selectExpr("station_id AS entity_id", "day_no AS period").distinct()
 
 
 @query(
@@ -295,10 +295,10 @@ def _(t):
 
 @query(
     "A14_mean_with_min_sample",
-    f"""WITH x AS (SELECT period, event_type, day, elapsed_s, CASE WHEN rating < 200 THEN elapsed_s * 650 // (550 + rating) END AS corrected_s FROM star),
-    y AS (SELECT period, event_type, day, CASE WHEN elapsed_s > 600 AND elapsed_s < 18000 THEN elapsed_s END AS e,
+    f"""WITH x AS (SELECT period, event_type, day_no, elapsed_s, CASE WHEN rating < 200 THEN elapsed_s * 650 // (550 + rating) END AS corrected_s FROM star),
+    y AS (SELECT period, event_type, day_no, CASE WHEN elapsed_s > 600 AND elapsed_s < 18000 THEN elapsed_s END AS e,
         CASE WHEN corrected_s > 600 AND corrected_s < 18000 THEN corrected_s END AS c FROM x)
-    SELECT period, event_type, day, CASE WHEN count(e) >= 5 THEN {q.pct('sum(e)', 'count(e)')} END AS mean_elapsed,
+    SELECT period, event_type, day_no AS day, CASE WHEN count(e) >= 5 THEN {q.pct('sum(e)', 'count(e)')} END AS mean_elapsed,
         CASE WHEN count(c) >= 5 THEN {q.pct('sum(c)', 'count(c)')} END AS mean_corrected FROM y GROUP BY 1, 2, 3""",
 )
 def _(t):
@@ -313,7 +313,7 @@ def _(t):
 
     return (
         timed.join(t.contests, "contest_id")
-        .groupBy("period", "event_type", "day")
+        .groupBy("period", "event_type", C("day_no").alias("day"))
         .agg(mean("e").alias("mean_elapsed"), mean("c").alias("mean_corrected"))
     )
 

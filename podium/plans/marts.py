@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium import schema
 from podium.functions import identifiers as idn
 from podium.functions import text as tx
+from podium.functions import times
 from podium.operators import boards, loads
+from podium.operators import events as ev
 from podium.operators import search as se
 from podium.operators.measures import count_if, half_up, wins
-from podium.operators.ranking import hot_groups, rank_within, top_k, top_n_per_group
+from podium.operators.ranking import hot_groups, keep_first, rank_within, top_k, top_n_per_group
 from podium.plans import dialect as q
+from podium.plans.enrichment import DAILY, daily, levels
+from podium.plans.events import EVENT_ROWS, GROUPS, SPECIAL, TOKEN, groups, specials
 from podium.plans.registry import query
+from podium.plans.rescoring import WIND
 from podium.plans.pages import PAGED, parsed_pages
 from podium.session import fresh_folder
 from podium.sources import files
@@ -252,55 +257,177 @@ def _(t):
     return docs.agg(F.count(files.CORRUPT).alias("malformed"), F.count("orc_ref").alias("certificates"))
 
 
-ENTRIES_PER_DOC = 500
+# --- event documents ---------------------------------------------------------------------------------------------
+
+ENTRIES_PER_DOC, RACES_PER_DOC = 500, 50
 #: Tasks that write the documents of one period.
 DOCUMENT_FILES = 4
-DOCUMENT = "event_id long, part int, version int, period int, standings array<struct<place long, entity_id long, best long, points long>>"
-STANDING = """st AS (SELECT event_id, entity_id, min(rank) AS best, CAST(sum(points) AS BIGINT) AS points FROM star GROUP BY 1, 2),
-    sp AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY points, entity_id) AS BIGINT) AS place FROM st)"""
+#: Contests from which an event is split when its races and standings are numbered.
+HOT_CONTESTS = 100_000
+JSON = {"ignoreNullFields": "false"}
 
 
-def event_documents(t):
-    """Standings documents: one per event and ENTRIES_PER_DOC places."""
-    standing = (
+def hot_events(t, column: str = "event_id"):
+    """Hashes of events with very many contests, or with a contest of very many entries."""
+    heads = t.contest_headers
+    found = set(hot_groups(heads, ["event_id"], HOT_CONTESTS))
+    if t.hot_contests:
+        large = heads.where(F.xxhash64("contest_id").isin(t.hot_contests)).select(F.xxhash64("event_id").alias("h")).distinct()
+        found |= {r["h"] for r in large.collect()}  # no more than there are hot contests
+    return sorted(found)
+
+
+def standings(t):
+    """(event_id, scope, entity_id, rank, points, best): standings of every event by points, ranked within their scope."""
+    scope = F.when(C("entity_id") % 3 == 0, "overall").otherwise("a_fleet").alias("scope")
+    summed = (
         t.ranked.join(t.contest_headers.select("contest_id", "event_id"), "contest_id")
-        .groupBy("event_id", "entity_id")
-        .agg(F.min("rank").alias("best"), F.sum("points").alias("points"))
+        .groupBy("event_id", scope, "entity_id")
+        .agg(F.sum("points").alias("points"), F.min("rank").alias("best"))
     )
-    # hot events show in the small contest table already, so the standings need not be worked out to find them
-    hot = hot_groups(t.contest_headers, ["event_id"], 100_000)
-    placed = rank_within(standing, ["event_id"], "points", [C("entity_id")], out="place", hot=hot)
-    return loads.in_documents(placed.select("event_id", "place", "entity_id", "best", "points"), ["event_id"], "place", ENTRIES_PER_DOC, "standings")
+    return rank_within(summed, ["event_id", "scope"], "points", [C("entity_id")], hot=hot_events(t), hot_on=["event_id"])
 
 
-@query(
-    "A46_event_documents",
-    f"""WITH {STANDING} SELECT event_id, CAST((place - 1) // {ENTRIES_PER_DOC} AS INTEGER) AS part, CAST(to_json(list(struct_pack(place := place, entity_id := entity_id, best := best, points := points)
-        ORDER BY place)) AS VARCHAR) AS standings FROM sp GROUP BY 1, 2""",
-)
+STANDINGS = """st AS (SELECT event_id, CASE WHEN entity_id % 3 = 0 THEN 'overall' ELSE 'a_fleet' END AS scope, entity_id, CAST(sum(points) AS BIGINT) AS points, min(rank) AS best FROM star GROUP BY ALL),
+    ss AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id, scope ORDER BY points, entity_id) AS BIGINT) AS rank FROM st)"""
+
+
+def people(t):
+    return t.entities.select("entity_id", C("entity_name").alias("display_name"), "participant_type")
+
+
+def standing_documents(t, members):
+    """The first standing of each participant and scope over an event's views, in parts by rank."""
+    own = standings(t).join(members, "event_id")
+    first = keep_first(own.select("doc_id", "scope", "entity_id", "rank", "event_id", "points", "best"), ["doc_id", "scope", "entity_id"], [C("rank"), C("event_id")])
+    entry = F.struct("scope", "rank", "entity_id", "points", "best", "display_name", "participant_type")
+    part = F.floor((C("rank") - 1) / ENTRIES_PER_DOC).cast("int")
+    rows = first.join(people(t), "entity_id").select("doc_id", part.alias("part"), entry.alias("e")).groupBy("doc_id", "part")
+    return rows.agg(F.to_json(F.array_sort(F.collect_list("e")), JSON).alias("body")).select(
+        C("doc_id").alias("event_id"), F.lit("standings").alias("section"), "part", F.lit(0).alias("subpart"), "body"
+    )
+
+
+def logical_races(t, members):
+    """Contests with the race they belong to over an event's views: same number, key and date."""
+    race = Window.partitionBy("doc_id", "contest_no", "contest_key", "contest_date")
+    named = t.contest_headers.join(members, "event_id")
+    return named.withColumn("race_id", F.min("contest_id").over(race))
+
+
+def race_documents(t, members):
+    """Races with their results, weather and readings: RACES_PER_DOC races and as many places of each as an entry holds."""
+    contests = logical_races(t, members)
+    rows = t.ranked.join(contests.select("contest_id", "race_id"), "contest_id")
+    rows = rows.select("race_id", "entity_id", "contest_id", "rank", "boat_id", "line_no", "rating", "elapsed_s", "points", "status")
+    first = keep_first(rows, ["race_id", "entity_id"], [C("contest_id"), C("rank"), C("boat_id"), C("line_no")])
+    boats = t.boats.select("boat_id", C("name").alias("boat_name"), "raw_class")
+    entry = F.struct("rank", "entity_id", "display_name", "participant_type", "boat_id", "boat_name", "raw_class", C("rating").alias("phrf_rating"),
+                     times.clock("elapsed_s").alias("elapsed_time"), "points", "status")
+    subpart = F.floor((C("rank") - 1) / ENTRIES_PER_DOC).cast("int").alias("subpart")
+    listed = first.join(people(t), "entity_id").join(boats, "boat_id").select("race_id", subpart, entry.alias("e"))
+    results = listed.groupBy("race_id", "subpart").agg(F.array_sort(F.collect_list("e")).alias("results"))
+    races = contests.where("contest_id = race_id")
+    races = races.withColumn("number", F.coalesce("contest_no", F.lit(999))).withColumn("key", F.coalesce("contest_key", F.lit("")))
+    races = rank_within(races, ["doc_id"], "number", [C("key"), C("race_id")], out="place", hot=hot_events(t), hot_on=["event_id"])
+    weather = F.when(
+        C("n_obs").isNotNull(),
+        F.struct("temp_c", C("mean_c").alias("wind_speed"), "direction", C("gust_c").alias("gust"), "rain_mm", C("sky").alias("conditions")),
+    ).alias("weather")
+    full = races.join(daily(t), "day", "left").join(levels(t), "day", "left").join(results, "race_id", "left")
+    one = F.struct("place", C("race_id").alias("id"), "contest_no", "contest_key", C("day").alias("date"), "start_hour", "distance_nm",
+                   F.coalesce("results", F.array().cast("array<struct<rank:bigint,entity_id:bigint,display_name:string,participant_type:string,boat_id:bigint,"
+                   "boat_name:string,raw_class:string,phrf_rating:int,elapsed_time:string,points:int,status:string>>")).alias("results"), weather, C("levels").alias("readings"))
+    part = F.floor((C("place") - 1) / RACES_PER_DOC).cast("int").alias("part")
+    rows = full.select("doc_id", part, F.coalesce("subpart", F.lit(0)).alias("subpart"), one.alias("e")).groupBy("doc_id", "part", "subpart")
+    # places are unique within a document
+    whole = F.array_sort(F.collect_list("e"), lambda x, y: (x["place"] - y["place"]).cast("int"))
+    return rows.agg(F.to_json(whole, JSON).alias("body")).select(C("doc_id").alias("event_id"), F.lit("races").alias("section"), "part", "subpart", "body")
+
+
+def header_documents(t, grouped, members):
+    """One row per event that stands for itself and its views: names, counts over all views, and why it is special."""
+    heads = grouped.where("event_id = canonical_event_id").select(C("event_id").alias("doc_id"), "period", "canonical_name", "event_type")
+    contests = t.contest_headers.join(members, "event_id").join(heads.select("doc_id", "event_type"), "doc_id")
+    races = ev.race_counts(contests.drop("event_id").withColumnRenamed("doc_id", "event_id")).select(C("event_id").alias("doc_id"), "shown_races")
+    entered = t.results.join(contests.select("contest_id", "doc_id"), "contest_id").groupBy("doc_id", "entity_id").agg(F.count("*").alias("n"))
+    entries = entered.groupBy("doc_id").agg(F.count("*").alias("entries"), F.sum("n").alias("results"))
+    special = specials(t).select(C("event_id").alias("doc_id"), "kind", "reasons")
+    views = members.groupBy("doc_id").agg(F.count("*").alias("views"))
+    event = F.struct(
+        C("doc_id").alias("id"), "period", C("canonical_name").alias("name"), "event_type", "views", C("shown_races").alias("races_sailed"),
+        F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("results", F.lit(0)).alias("results"),
+        C("kind").isNotNull().alias("exclude_from_handicap_stats"), C("kind").alias("special_event_kind"),
+        F.coalesce("reasons", F.lit("")).alias("special_event_reasons"),
+    )
+    for more in (views, races, entries, special):
+        heads = heads.join(more, "doc_id", "left")
+    return heads.select(
+        C("doc_id").alias("event_id"), F.lit("event").alias("section"), F.lit(0).alias("part"), F.lit(0).alias("subpart"), F.to_json(event, JSON).alias("body")
+    )
+
+
+def event_documents(t):
+    """Documents of all events, the views of one event together: (event_id, section, part, subpart, body).
+
+    The header is one document; standings, and races with their results, weather and readings, come in parts of fixed size.
+    """
+    grouped = groups(t)
+    members = grouped.select("event_id", C("canonical_event_id").alias("doc_id"))
+    return header_documents(t, grouped, members).unionByName(standing_documents(t, members)).unionByName(race_documents(t, members))
+
+
+DOCUMENTS = f"""{GROUPS}, {SPECIAL.removeprefix(EVENT_ROWS + ', ')}, {STANDINGS}, {DAILY}, {WIND}, ls AS (SELECT day, list(struct_pack(hour := hour, wind_kc := CAST(wind_kc AS BIGINT)) ORDER BY hour) AS levels FROM hw GROUP BY 1),
+    mb AS (SELECT event_id, canonical_event_id AS doc_id FROM cg),
+    hd AS (SELECT canonical_event_id AS doc_id, any_value(period) AS period, max(CASE WHEN event_id = canonical_event_id THEN canonical_name END) AS name, max(CASE WHEN event_id = canonical_event_id THEN event_type END) AS event_type,
+        count(*) AS views FROM cg GROUP BY 1),
+    rc AS (SELECT doc_id, count(DISTINCT {TOKEN}) AS logical, count(DISTINCT contest_date) AS dates FROM contests JOIN mb USING (event_id) GROUP BY 1),
+    en AS (SELECT doc_id, count(DISTINCT entity_id) AS entries, count(*) AS results FROM star JOIN mb USING (event_id) GROUP BY 1),
+    d1 AS (SELECT doc_id AS event_id, 'event' AS section, 0 AS part, 0 AS subpart, CAST(to_json(struct_pack(id := doc_id, period := hd.period, name := hd.name, event_type := hd.event_type, views := views,
+        races_sailed := CASE WHEN hd.event_type = 'tns' AND dates > 0 THEN dates ELSE logical END, entries := coalesce(entries, 0), results := coalesce(en.results, 0), exclude_from_handicap_stats := sp.kind IS NOT NULL,
+        special_event_kind := sp.kind, special_event_reasons := coalesce(sp.reasons, ''))) AS VARCHAR) AS body FROM hd LEFT JOIN rc USING (doc_id) LEFT JOIN en USING (doc_id) LEFT JOIN sp ON sp.event_id = doc_id),
+    sf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, scope, entity_id ORDER BY rank, event_id) AS rn FROM ss JOIN mb USING (event_id)) JOIN entities USING (entity_id) WHERE rn = 1),
+    d2 AS (SELECT doc_id, 'standings', CAST((rank - 1) // {ENTRIES_PER_DOC} AS INTEGER), 0, CAST(to_json(list(struct_pack(scope := scope, rank := rank, entity_id := entity_id, points := points, best := best,
+        display_name := entity_name, participant_type := participant_type) ORDER BY scope, rank, entity_id)) AS VARCHAR) FROM sf GROUP BY 1, 3),
+    lr AS (SELECT *, min(contest_id) OVER (PARTITION BY doc_id, contest_no, contest_key, contest_date) AS race_id FROM contest_headers JOIN mb USING (event_id)),
+    rr AS (SELECT * FROM (SELECT lr.race_id, r.*, row_number() OVER (PARTITION BY race_id, entity_id ORDER BY r.contest_id, rank, boat_id, line_no) AS rn FROM ranked r JOIN lr USING (contest_id)) WHERE rn = 1),
+    rs2 AS (SELECT race_id, CAST((rank - 1) // {ENTRIES_PER_DOC} AS INTEGER) AS subpart, list(struct_pack(rank := rank, entity_id := entity_id, display_name := entity_name, participant_type := e.participant_type, boat_id := boat_id,
+        boat_name := b.name, raw_class := raw_class, phrf_rating := rating, elapsed_time := format('{{}}:{{:02d}}:{{:02d}}', elapsed_s // 3600, elapsed_s // 60 % 60, elapsed_s % 60), points := points, status := status)
+        ORDER BY rank, entity_id, entity_name, e.participant_type, boat_id) AS results FROM rr JOIN entities e USING (entity_id) JOIN boats b USING (boat_id) GROUP BY 1, 2),
+    ra AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(contest_no, 999), coalesce(contest_key, ''), race_id) AS BIGINT) AS place FROM lr WHERE contest_id = race_id),
+    d3 AS (SELECT doc_id, 'races', CAST((place - 1) // {RACES_PER_DOC} AS INTEGER), coalesce(subpart, 0), CAST(to_json(list(struct_pack(place := place, id := race_id, contest_no := contest_no, contest_key := contest_key, date := day,
+        start_hour := start_hour, distance_nm := distance_nm, results := coalesce(results, []), weather := CASE WHEN n_obs IS NOT NULL THEN struct_pack(temp_c := temp_c, wind_speed := CAST(mean_c AS BIGINT), direction := direction,
+        gust := gust_c, rain_mm := rain_mm, conditions := sky) END, readings := levels) ORDER BY place)) AS VARCHAR) FROM ra LEFT JOIN dw USING (day) LEFT JOIN ls USING (day) LEFT JOIN rs2 USING (race_id) GROUP BY 1, 3, 4),
+    docs AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)"""
+
+
+@query("A46_event_documents", f"WITH {DOCUMENTS} SELECT * FROM docs")
 def _(t):
-    return event_documents(t).withColumn("standings", F.to_json("standings"))
+    return event_documents(t)
+
+
+DOCUMENT = "event_id long, section string, part int, subpart int, body string, version int, period int"
 
 
 @query(
     "S07_keyed_documents",
-    f"""WITH {STANDING}, p AS (SELECT DISTINCT event_id, period FROM contest_headers)
-    SELECT period, CASE WHEN period >= 1996 THEN 2 ELSE 1 END AS version, {q.n('DISTINCT event_id')} AS documents, {N} AS entries, CAST(sum(points) AS BIGINT) AS points
-    FROM sp JOIN p USING (event_id) WHERE period < 1996 OR event_id // 10000 % 2 = 0 GROUP BY 1, 2""",
+    f"""WITH {STANDINGS}, p AS (SELECT DISTINCT event_id, period FROM contest_headers)
+    SELECT period, CASE WHEN period >= 1996 THEN 2 ELSE 1 END AS version, {q.n('DISTINCT event_id')} AS documents, {N} AS entries
+    FROM ss JOIN p USING (event_id) WHERE period < 1996 OR event_id // 10000 % 2 = 0 GROUP BY 1, 2""",
 )
 def _(t):
     folder = fresh_folder(t.spark, "documents")
-    docs = event_documents(t).join(t.contest_headers.select("event_id", "period").distinct(), "event_id")
+    own = t.contest_headers.select("event_id", C("event_id").alias("doc_id")).distinct()
+    periods = t.contest_headers.select("event_id", "period").distinct()
+    docs = standing_documents(t, own).join(periods, "event_id")
     files.write_documents(docs.withColumn("version", F.lit(1)), folder, "period", files=DOCUMENT_FILES)
     # a later run with fewer keys, and fewer documents under them, replaces what it writes and keeps the other keys
     later = files.read_documents(t.spark, folder, DOCUMENT).where("period >= 1996 AND floor(event_id / 10000) % 2 = 0")
     files.write_documents(later.withColumn("version", F.lit(2)), f"{folder}-later", "period", files=DOCUMENT_FILES)
     files.write_documents(files.read_documents(t.spark, f"{folder}-later", DOCUMENT), folder, "period", files=DOCUMENT_FILES)
     back = files.read_documents(t.spark, folder, DOCUMENT)
-    points = F.aggregate("standings", F.lit(0).cast("long"), lambda n, x: n + x["points"])
-    return back.groupBy("period", "version").agg(
-        count_if(C("part") == 0).alias("documents"), F.sum(F.size("standings")).cast("long").alias("entries"), F.sum(points).alias("points")
-    )
+    entries = F.size(F.from_json("body", "array<struct<rank:bigint>>"))
+    return back.groupBy("period", "version").agg(F.count_distinct("event_id").alias("documents"), F.sum(entries).cast("long").alias("entries"))
 
 
 # --- search ------------------------------------------------------------------------------------------------------

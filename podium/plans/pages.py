@@ -34,36 +34,6 @@ def _(t):
     return t.pages.select("page_id", *[pages.element_text("html", tag).alias(tag) for tag in ("title", "h1", "h2")])
 
 
-BODY = _plain("regexp_extract(html, '(?is)<body\\b[^>]*>(.*)', 1)")
-CLASS_SQL = f"""CASE WHEN lower(regexp_extract(url, '[^/]*$')) LIKE 'xxxxxxx%' OR length({BODY}) < 50 THEN 'template'
-        WHEN contains(lower({_plain('html')}), 'entry') AND contains(lower({_plain('html')}), 'list') THEN 'entry-list'
-        WHEN contains(lower(coalesce({_element('title')}, '')), 'sailwave') THEN 'sailwave-summary' ELSE 'non-result-html' END"""
-
-
-@query("H01_page_class", f"SELECT page_id, {CLASS_SQL} AS page_class FROM pages")
-def _(t):
-    return t.pages.select("page_id", pages.page_class("html", "url").alias("page_class"))
-
-
-@query(
-    "C09_provenance_status",
-    f"""WITH p AS (SELECT page_id, {CLASS_SQL} AS page_class, doc_id IS NOT NULL AS loaded FROM pages LEFT JOIN labels ON doc_id = page_id)
-    SELECT CASE WHEN loaded THEN 'loaded' WHEN page_class LIKE 'sailwave%' THEN 'result-not-loaded' WHEN page_class IN ('template', 'entry-list')
-        THEN 'skipped' ELSE 'non-result' END AS status, {N} AS pages FROM p GROUP BY 1""",
-)
-def _(t):
-    loaded = t.labels.select(C("doc_id").alias("page_id"), F.lit(True).alias("loaded"))
-    kinds = t.pages.select("page_id", pages.page_class("html", "url").alias("page_class")).join(loaded, "page_id", "left")
-    status = (
-        F.when(C("loaded"), "loaded")
-        .when(C("page_class").startswith("sailwave"), "result-not-loaded")
-        .when(C("page_class").isin("template", "entry-list"), "skipped")
-        .when(C("page_class") == "unknown", "unclassified")
-        .otherwise("non-result")
-    )
-    return kinds.groupBy(status.alias("status")).agg(F.count("*").alias("pages"))
-
-
 @query(
     "H02_page_role",
     f"""SELECT CASE WHEN regexp_matches(source_file, '_overall\\.htm|_ab\\.htm|_all\\.htm|-overall\\.htm') THEN 'variant' ELSE 'canonical' END AS role, {N} AS series
@@ -303,6 +273,73 @@ def _(t):
     return parsed_pages(t).groupBy("participant_type").agg(F.count("*").alias("pages"))
 
 
+# --- classes and provenance of all pages of the site -------------------------------------------------------------
+
+# given pages under dated folders and telling names; a few say little, or announce a race
+GIVEN_NAME = "CASE page_id % 11 WHEN 0 THEN 'racing.htm' WHEN 1 THEN 'Photo1.htm' WHEN 2 THEN 'handicap.htm' WHEN 3 THEN 'xxxxxxx1.htm' ELSE 'p' || CAST(page_id AS STRING) || '.htm' END"
+GIVEN_PATH = f"'site/' || CASE WHEN page_id % 29 = 0 THEN 'undated' ELSE 'racing' || CAST(1999 + page_id % 27 AS STRING) END || '/' || {GIVEN_NAME}"
+GIVEN_HTML = "CASE page_id % 13 WHEN 5 THEN html || '<p>Notice of Race</p>' WHEN 6 THEN '<body><b>back soon</b></body>' ELSE html END"
+# every other group of twenty contests is dated fifteen years later; of the marked layout, some lack marks
+LATER = "contest_id % 40 >= 20"
+LACKING = "floor(contest_id / 4) % 5"
+
+
+def classified(t):
+    """(page_id, path, year, era, page_class, page_role, loaded) of all pages of the site."""
+    given = t.pages.selectExpr("-1 - page_id AS page_id", "page_id AS known_as", f"{GIVEN_PATH} AS path", f"{GIVEN_HTML} AS html")
+    contest = F.floor(C("page_id") / 1000).alias("contest_id")
+    own = result_pages(t).select("page_id", contest, "year", "html").where("page_id % 1000 = 0")
+    dated = F.when(F.expr(LATER), C("year") + 15).otherwise(C("year")).cast("string")
+    lacking = F.when(C("contest_id") % 4 == 0, F.expr(LACKING)).otherwise(0)
+    html = F.when(lacking.isin(1, 3, 4), F.replace(C("html"), F.lit('"racetable"'), F.lit('"plain"'))).otherwise(C("html"))
+    html = F.when(lacking >= 2, F.replace(html, F.lit('"summarytable"'), F.lit('"plain"'))).otherwise(html)
+    html = F.when(lacking == 4, F.concat(html, F.lit("Entry List"))).otherwise(html)
+    path = F.concat(F.lit("site/racing"), dated, F.lit("/p"), C("contest_id").cast("string"), F.lit(".htm"))
+    both = given.unionByName(own.select("page_id", C("contest_id").alias("known_as"), path.alias("path"), html.alias("html")))
+    found = both.withColumn("year", files.year_of_path("path"))
+    found = found.withColumn("page_class", pages.page_class("html", "path", "year"))
+    loaded = t.labels.select(C("doc_id").alias("known_as")).distinct().withColumn("loaded", F.lit(True))
+    return found.join(loaded, "known_as", "left").select(
+        "page_id", "path", "year", F.when(C("year").isNotNull(), pages.era("year")).alias("era"), "page_class",
+        F.when(C("page_class").isNotNull(), pages.page_role("path", "page_class", "year")).alias("page_role"),
+        F.coalesce("loaded", F.lit(False)).alias("loaded"),
+    )
+
+
+BODY = _plain("regexp_extract(html, '(?is)<body\\b[^>]*>(.*)', 1)")
+CLASSES = f"""gv AS (SELECT -1 - page_id AS page_id, page_id AS known_as, CASE WHEN page_id % 29 <> 0 THEN CAST(1999 + page_id % 27 AS INTEGER) END AS year, lower({GIVEN_NAME}) AS name, {GIVEN_HTML} AS html FROM pages),
+    gw AS (SELECT *, {BODY} AS body, lower({_plain('html')}) AS words, lower(coalesce({_element('title')}, '')) AS title FROM gv),
+    gc AS (SELECT *, CASE WHEN year IS NULL THEN NULL WHEN year >= 2014 THEN CASE WHEN starts_with(name, 'xxxxxxx') OR length(body) < 50 THEN 'template'
+        WHEN contains(words, 'entry') AND contains(words, 'list') THEN 'entry-list' WHEN contains(title, 'sailwave') THEN 'sailwave-summary' ELSE 'non-result-html' END
+        WHEN name = 'racing.htm' THEN 'legacy-index' WHEN contains(name, 'photo') THEN 'gallery' WHEN contains(name, 'handicap') OR contains(name, 'si') THEN 'non-result-html'
+        WHEN contains(words, 'schedule') OR contains(words, 'notice of race') THEN 'non-result-html' WHEN starts_with(name, 'xxxxxxx') OR length(body) < 50 THEN 'template' ELSE 'unknown' END AS page_class FROM gw),
+    oc AS (SELECT DISTINCT contest_id * 1000 AS page_id, contest_id AS known_as, CAST(CASE WHEN {LATER} THEN period + 15 ELSE period END AS INTEGER) AS year, 'p' AS name,
+        CASE WHEN contest_id % 4 = 0 AND contest_id // 4 % 5 < 3 THEN CASE contest_id // 4 % 5 WHEN 0 THEN 'sailwave-mixed' WHEN 1 THEN 'sailwave-summary' ELSE 'sailwave-race' END
+        WHEN period + CASE WHEN {LATER} THEN 15 ELSE 0 END >= 2014 THEN CASE WHEN contest_id % 4 = 0 AND contest_id // 4 % 5 = 4 THEN 'entry-list'
+            WHEN contest_id % 4 = 0 THEN 'sailwave-summary' ELSE 'non-result-html' END
+        WHEN contest_id % 4 = 3 THEN 'unknown' ELSE 'legacy-result' END AS page_class FROM results JOIN contest_headers USING (contest_id)),
+    pc AS (SELECT page_id, known_as, year, name, page_class, CASE WHEN year >= 2014 THEN 'sailwave' WHEN year IS NOT NULL THEN 'legacy' END AS era, CASE WHEN year IS NULL THEN NULL
+        WHEN year < 2014 THEN CASE page_class WHEN 'legacy-index' THEN 'index' WHEN 'gallery' THEN 'gallery' WHEN 'template' THEN 'template' WHEN 'unknown' THEN 'unknown' WHEN 'non-result-html' THEN 'unknown'
+            ELSE 'canonical' END WHEN page_class = 'template' OR starts_with(name, 'xxxxxxx') THEN 'template' ELSE 'canonical' END AS page_role
+        FROM (SELECT page_id, known_as, year, name, page_class FROM gc UNION ALL SELECT * FROM oc))"""
+
+
+@query("H01_page_class", f"WITH {CLASSES} SELECT page_id, year, era, page_class, page_role FROM pc")
+def _(t):
+    return classified(t).select("page_id", "year", "era", "page_class", "page_role")
+
+
+@query(
+    "C09_provenance_status",
+    f"""WITH {CLASSES} SELECT CASE WHEN known_as IN (SELECT doc_id FROM labels) THEN 'loaded' WHEN page_class IS NULL OR page_class = 'unknown' THEN 'unclassified'
+        WHEN page_class IN ('legacy-result', 'sailwave-summary', 'sailwave-race', 'sailwave-mixed') THEN 'result-not-loaded'
+        WHEN page_class IN ('template', 'gallery', 'legacy-index', 'entry-list') THEN 'skipped' ELSE 'non-result' END AS status, era, {N} AS pages FROM pc GROUP BY 1, 2""",
+)
+def _(t):
+    status = pages.provenance("page_class", "loaded")
+    return classified(t).groupBy(status.alias("status"), "era").agg(F.count("*").alias("pages"))
+
+
 # --- pages to the nested tables ----------------------------------------------------------------------------------
 
 

@@ -216,7 +216,7 @@ def _(t):
 
 
 Y4, Y2 = "CAST(period AS STRING)", "substr(CAST(period AS STRING), 3, 2)"
-M1, D1 = "CAST(month AS STRING)", "CAST(day AS STRING)"
+M1, D1 = "CAST(month AS STRING)", "CAST(day_no AS STRING)"
 RAW_DATE = f"""CASE contest_id % 8 WHEN 0 THEN {D1} || '/' || {M1} || '/' || {Y2} WHEN 1 THEN {D1} || '/' || {M1} || '/' || {Y4}
     WHEN 2 THEN {D1} || '-' || {M1} || '-' || {Y2} WHEN 3 THEN {D1} || '-' || {M1} || '-' || {Y4}
     WHEN 4 THEN {M1} || '/' || {D1} || '/' || {Y4} WHEN 5 THEN {D1} || '/' || {M1} || '/2020'

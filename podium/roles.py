@@ -41,7 +41,8 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "CAST(o_orderdate AS DATE) AS contest_date",
             "CAST(year(o_orderdate) AS INT) AS period",
             "CAST(month(o_orderdate) AS INT) AS month",
-            "CAST(day(o_orderdate) AS INT) AS day",
+            "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day",
+            "CAST(day(o_orderdate) AS INT) AS day_no",
             "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS INT) END AS contest_no",
             "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Race ' || CAST(o_orderkey % 9 AS STRING) END AS contest_key",
             "CAST(5 + o_custkey % 20 AS INT) AS distance_nm",
@@ -182,17 +183,20 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN p_size % 2 = 0 THEN 'ann lee ' || CAST(p_size AS STRING) END AS owner",
         ],
     ),
-    # hourly observations
+    # hourly observations; their thirty days are laid out over the calendar of the contests
     "observations": (
         "events",
         [
             "event_id AS obs_id",
             "user_id AS station_id",
-            "CAST(ts AS DATE) AS obs_date",
-            "CAST(day(ts) AS INT) AS day",
+            "CAST(DATE '1995-01-01' + CAST((day(ts) - 1) * 80 + event_id % 80 AS INT) AS STRING) AS day",
+            "CAST(day(ts) AS INT) AS day_no",
             "CAST(hour(ts) AS INT) AS hour",
             "CAST(round(value * 100) AS BIGINT) AS speed_c",
             "CAST(event_id * 37 % 360 AS INT) AS direction",
+            "CASE WHEN event_id % 4 > 0 THEN CAST(event_id * 53 % 300 AS INT) END AS temp_d",
+            "CAST(event_id * 7 % 5 AS INT) AS rain_mm",
+            "CAST(event_id % 9 AS INT) AS sky",
             "event_type AS kind",
         ],
     ),

@@ -75,35 +75,106 @@ def section_of(url: Column | str) -> Column:
     return F.when(year == "", "/").otherwise(year)
 
 
-def page_class(html: Column | str, path: Column | str) -> Column:
-    """Class of a page by what it holds: template, result tables, entry list, empty result page, or none of these."""
-    h = as_col(html)
-    name = F.lower(file_name(path))
-    body = plain_text(F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)", 1))
-    template = F.lit(False)
+#: First year of the pages of the present scoring program.
+PRESENT_ERA = 2014
+# Words of file names and of tables by which pages of the earlier years are told apart.
+INDEX_NAME = "racing.htm"
+GALLERY_NAMES = ("photo", "gallery", "index1")
+RESULT_WORDS = ("elapsed", "corrected", "finish time", "pos.", "points")
+NOTICE_NAMES = ("handicap", "instruction", "si")
+NOTICE_WORDS = ("schedule", "notice of race")
+
+
+def era(year: Column | str) -> Column:
+    return F.when(as_col(year) >= PRESENT_ERA, "sailwave").otherwise("legacy")
+
+
+def _any_of(text: Column, words: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | F.contains(text, F.lit(word))
+    return out
+
+
+def _is_template(html: Column, name: Column) -> Column:
+    """A placeholder by its name, or a page whose body says next to nothing."""
+    body = plain_text(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1))
+    template = html.rlike(r"(?i)<body\b") & (F.length(body) < SHORT_BODY)
     for prefix in TEMPLATE_PREFIXES:
         template = template | F.startswith(name, F.lit(prefix))
-    template = template | (h.rlike(r"(?i)<body\b") & (F.length(body) < SHORT_BODY))
-    summary = h.rlike(r"""(?i)<table[^>]*class\s*=\s*["']?summarytable""")
-    race = h.rlike(r"""(?i)<table[^>]*class\s*=\s*["']?racetable""")
-    words = F.lower(plain_text(h))
+    return template
+
+
+def _has_table(html: Column, css: str) -> Column:
+    return html.rlike(rf"""(?i)<table[^>]*class\s*=\s*["']?{css}""")
+
+
+def page_rules(html: Column, path: Column | str) -> dict[str, list[tuple[str, Column]]]:
+    """For either era, classes with the conditions under which they hold; the first that does counts."""
+    name = F.lower(file_name(path))
+    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    summary, race = _has_table(html, "summarytable"), _has_table(html, "racetable")
+    marked = [("sailwave-mixed", summary & race), ("sailwave-summary", summary), ("sailwave-race", race)]
+    words = F.lower(plain_text(html))
+    titled = F.contains(F.lower(F.coalesce(element_text(html, "title"), F.lit(""))), F.lit("sailwave"))
+    tables = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)(<table\b.*?</table>)"), F.lit(1)), " ")
     entry_list = let(words, lambda w: F.contains(w, F.lit("entry")) & F.contains(w, F.lit("list")))
-    titled = F.contains(F.lower(F.coalesce(element_text(h, "title"), F.lit(""))), F.lit("sailwave"))
-    return (
-        F.when(template, "template")
-        .when(summary & race, "sailwave-mixed")
-        .when(summary, "sailwave-summary")
-        .when(race, "sailwave-race")
-        .when(entry_list, "entry-list")
-        .when(titled, "sailwave-summary")
-        .otherwise("non-result-html")
-    )
+    return {
+        "sailwave": [("template", _is_template(html, name)), *marked, ("entry-list", entry_list), ("sailwave-summary", titled),
+                     ("non-result-html", F.lit(True))],
+        "legacy": [("legacy-index", name == INDEX_NAME), ("gallery", _any_of(name, GALLERY_NAMES)), *marked,
+                   ("legacy-result", _any_of(F.lower(plain_text(tables)), RESULT_WORDS)),
+                   ("non-result-html", _any_of(name, NOTICE_NAMES)), ("non-result-html", _any_of(words, NOTICE_WORDS)),
+                   ("template", _is_template(html, name)), ("unknown", F.lit(True))],
+    }
+
+
+def _first_rule(rules: Sequence[tuple[str, Column]]) -> Column:
+    return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in rules])
+
+
+def page_class(html: Column | str, path: Column | str, year: Column | str | None = None) -> Column:
+    """Class of a page by what it holds. With ``year`` the rules are those of its era, and a page without a year has no
+    class; else they are those of the present era."""
+    rules = page_rules(as_col(html), path)
+    present = _first_rule(rules["sailwave"])
+    if year is None:
+        return present
+    dated = F.when(era(year) == "sailwave", present).otherwise(_first_rule(rules["legacy"]))
+    return F.when(as_col(year).isNotNull(), dated)
+
+
+# Roles of the classes of the earlier years; pages of the others are canonical or unknown.
+LEGACY_ROLES = {"legacy-index": "index", "gallery": "gallery", "template": "template", "unknown": "unknown", "non-result-html": "unknown"}
 
 
-def page_role(path: Column | str) -> Column:
+def page_role(path: Column | str, found: Column | str | None = None, year: Column | str | None = None) -> Column:
+    """Role of a page by its file name and, for the earlier years, by its class."""
     name = F.lower(file_name(path))
     template = name.rlike("^(" + "|".join(TEMPLATE_PREFIXES) + ")")
-    return F.when(name.rlike(VARIANT_NAME), "variant").when(template, "template").otherwise("canonical")
+    if found is None:
+        return F.when(name.rlike(VARIANT_NAME), "variant").when(template, "template").otherwise("canonical")
+    kind = as_col(found)
+    roles = F.create_map(*[F.lit(x) for pair in LEGACY_ROLES.items() for x in pair])
+    old = F.coalesce(F.try_element_at(roles, kind), F.lit("canonical"))
+    return F.when(era(year) == "legacy", old).when(kind == "template", "template").otherwise(page_role(path))
+
+
+# Classes of pages that hold results, and of those that are skipped.
+RESULT_CLASSES = ("sailwave-mixed", "sailwave-summary", "sailwave-race", "legacy-result")
+SKIPPED_CLASSES = ("template", "gallery", "legacy-index", "entry-list", "external-link", "document", "binary-asset")
+
+
+def provenance(found: Column | str, loaded: Column | str) -> Column:
+    """What became of a page: loaded, not loaded though it holds results, skipped, without results, or unclassified."""
+    kind = as_col(found)
+    return (
+        F.when(as_col(loaded), "loaded")
+        .when(kind.isNull() | (kind == "unknown"), "unclassified")
+        .when(kind.isin(*RESULT_CLASSES), "result-not-loaded")
+        .when(kind.isin(*SKIPPED_CLASSES), "skipped")
+        .otherwise("non-result")
+    )
 
 
 # every tag that shapes a table; text between two of them belongs to the cell or caption that is open
