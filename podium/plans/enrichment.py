@@ -11,6 +11,7 @@ from podium.operators import events as ev
 from podium.operators import history as hi
 from podium.operators.measures import count_if, half_up
 from podium.operators.ranking import keep_first, top_k
+from podium.operators.scope import clean_finish
 from podium.plans import dialect as q
 from podium.plans.registry import query
 from podium.plans.rescoring import WIND, contest_wind, hourly
@@ -77,15 +78,30 @@ TOP_PAIRS = """act AS (SELECT entity_id, row_number() OVER (ORDER BY n DESC, ent
     FROM pr JOIN best x ON x.entity_id = a_id JOIN best y ON y.entity_id = b_id AND y.contest_id = x.contest_id GROUP BY ALL""",
 )
 def _(t):
-    best = t.best
-    active = top_k(best.groupBy("entity_id").agg(F.count("*").alias("n")), [F.desc("n"), C("entity_id")], 10)
+    return hi.head_to_head(t.best, active_pairs(t))
+
+
+def active_pairs(t):
+    """The ten entities with most contests, each with the next."""
+    active = top_k(t.best.groupBy("entity_id").agg(F.count("*").alias("n")), [F.desc("n"), C("entity_id")], 10)
     in_order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "entity_id")  # ten rows
-    pairs = active.select(
+    return active.select(
         F.row_number().over(in_order).alias("pair_id"),
         C("entity_id").alias("a_id"),
         F.lead("entity_id").over(in_order).alias("b_id"),
     ).where("b_id IS NOT NULL")
-    return hi.head_to_head(best, pairs)
+
+
+@query(
+    "J07_finishers_only",
+    f"""WITH {TOP_PAIRS}, fin AS (SELECT contest_id, entity_id, period, min(rank) AS rank FROM scoped WHERE status IS NULL OR status = '' GROUP BY ALL)
+    SELECT CAST(pair_id AS INTEGER) AS pair_id, a_id, b_id, x.period, {N} AS shared, {q.n(cond='x.rank < y.rank')} AS a_wins,
+        {q.n(cond='x.rank > y.rank')} AS b_wins, {q.n(cond='x.rank = y.rank')} AS ties
+    FROM pr JOIN fin x ON x.entity_id = a_id JOIN fin y ON y.entity_id = b_id AND y.contest_id = x.contest_id GROUP BY ALL""",
+)
+def _(t):
+    finished = t.scoped.where(clean_finish()).groupBy("contest_id", "entity_id", "period").agg(F.min("rank").alias("rank"))
+    return hi.head_to_head(finished, active_pairs(t))
 
 
 @query(
@@ -157,6 +173,10 @@ def _(t):
     FROM dw WHERE temp_c IS NOT NULL AND CAST(substr(day, 6, 2) AS INTEGER) BETWEEN 5 AND 10 GROUP BY 1""",
 )
 def _(t):
+    return monthly_means(t)
+
+
+def monthly_means(t):
     month = F.substring("day", 6, 2).cast("int")
     blowing = F.when(C("mean_c") != 0, C("mean_c"))
     tenths = F.round(C("temp_c") * 10).cast("long")

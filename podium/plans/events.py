@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from podium.functions import text, times
 from podium.operators import events as ev
 from podium.operators.measures import count_if, half_up
+from podium.operators.scope import exclude
 from podium.plans import dialect as q
 from podium.plans.registry import query
 from podium.roles import define
@@ -149,14 +150,23 @@ define(
 )
 
 
-def skip_sets(t):
-    return specials(t).select("event_id"), groups(t).where("is_variant").select("event_id")
+define(
+    "special_events",
+    ["contests", "results", "contest_headers", "boats"],
+    f"WITH {SPECIAL} SELECT event_id FROM sp",
+)
+
+
+def skip_flags(t):
+    """(event_id, special, variant) of special events and of other views of an event."""
+    special = specials(t).select("event_id", F.lit(True).alias("special"), F.lit(False).alias("variant"))
+    variant = groups(t).where("is_variant").select("event_id", F.lit(False).alias("special"), F.lit(True).alias("variant"))
+    return special.union(variant).groupBy("event_id").agg(F.max("special").alias("special"), F.max("variant").alias("variant"))
 
 
 @query("U01_skip_set", "SELECT event_id FROM skipped")
 def _(t):
-    special, variant = skip_sets(t)
-    return special.union(variant).distinct()
+    return skip_flags(t).select("event_id")
 
 
 @query(
@@ -223,11 +233,12 @@ def _(t):
 
 
 NIGHTS = f"""nt AS (SELECT period, series_month AS month, {q.n('DISTINCT contest_date')} AS nights, {q.n('DISTINCT entity_id')} AS entities,
-        {N} AS results FROM star WHERE event_type = 'tns' AND series_month IS NOT NULL GROUP BY 1, 2)"""
+        {N} AS results FROM star WHERE event_type = 'tns' AND series_month IS NOT NULL AND event_id NOT IN (SELECT event_id FROM special_events) GROUP BY 1, 2)"""
 
 
 def nights(t):
-    weekly = t.contests.where("event_type = 'tns' AND series_month IS NOT NULL")
+    # other views count too: the days of one series may stand on several pages
+    weekly = exclude(t.contests.where("event_type = 'tns' AND series_month IS NOT NULL"), t.skipped.where("special"), on="event_id")
     keys = ["period", "series_month"]
     dates = weekly.select("contest_date", *keys, "contest_id")
     entries = t.results.select("contest_id", "entity_id").join(dates, "contest_id")

@@ -16,13 +16,14 @@ from podium.operators import events as ev
 from podium.operators import search as se
 from podium.operators.measures import count_if, half_up, wins
 from podium.operators.ranking import hot_groups, keep_first, rank_within, top_k, top_n_per_group
+from podium.operators.scope import showed_up
 from podium.plans import dialect as q
-from podium.plans.enrichment import DAILY, daily, levels
+from podium.plans.enrichment import DAILY, daily, levels, monthly_means
 from podium.plans.events import EVENT_ROWS, GROUPS, SPECIAL, TOKEN, groups, specials
 from podium.plans.registry import query
 from podium.plans.rescoring import WIND
 from podium.plans.pages import PAGED, parsed_pages
-from podium.session import fresh_folder
+from podium.session import fresh_folder, shared_table
 from podium.sources import files
 
 C = F.col
@@ -722,26 +723,127 @@ def _(t):
     return checked.select(C("counter").alias("check_name"), (C("n") >= C("least")).alias("ok"), C("n").alias("observed"))
 
 
+# every result of events that are not special, other views marked; and the open ones among them
+BASE = f"""{GROUPS}, {SPECIAL.removeprefix(EVENT_ROWS + ', ')}, bs AS (SELECT * FROM star WHERE event_id NOT IN (SELECT event_id FROM sp)),
+    op AS (SELECT *, status IS NULL OR status NOT IN ('DNS', 'DNC') AS shown, CASE WHEN elapsed_s > 600 AND elapsed_s < 18000 THEN elapsed_s END AS e FROM bs WHERE event_id NOT IN (SELECT event_id FROM cg WHERE is_variant)),
+    ow AS (SELECT entity_id, coalesce(owner, 'boat:' || CAST(entity_id AS VARCHAR)) AS owner_key FROM entities)"""
+BRACKETS = (("calm", 4), ("light", 10), ("moderate", 16), ("fresh", 22))
+
+
+def season_facts(t):
+    """(kind, period, label, id, day, n, shown, wins, elapsed, timed): all counts that the analysis mart is made of.
+
+    The results are scanned and ranked once and reduced to (contest, entity); each of these rows then counts for its entity,
+    contest, event type, boats, and in a weekly series for its month's entities and nights, in one mergeable aggregate.
+    """
+    open_event = ~F.coalesce("variant", F.lit(False))
+    flags = t.skipped.withColumnRenamed("event_id", "flagged")
+    contests = t.contests.join(flags, C("event_id") == C("flagged"), "left").where("special IS NULL OR NOT special")
+    contests = contests.select("contest_id", "period", "event_type", "series_month", "day", open_event.alias("open"))
+    timed = F.when((C("elapsed_s") > 600) & (C("elapsed_s") < 18000), C("elapsed_s").cast("long"))
+    once = (
+        t.ranked.join(contests, "contest_id")
+        .groupBy("contest_id", "entity_id", "period", "event_type", "series_month", "day", "open")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.when(showed_up("status"), C("rank"))).alias("best"),
+            F.collect_set("boat_id").alias("boats"),
+            F.sum(timed).alias("elapsed"),
+            F.count(timed).alias("timed"),
+        )
+    )
+    none = F.lit(None).cast("string")
+
+    def fact(kind, label, number, day=none):
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), number.cast("long").alias("id"), day.alias("day"))
+
+    weekly = (C("event_type") == ev.WEEKLY) & C("series_month").isNotNull()
+    nothing = F.lit(0).cast("long")
+    of_open = F.concat(
+        F.array(
+            fact("entity", C("event_type"), C("entity_id")), fact("contest", C("event_type"), C("contest_id")), fact("type", C("event_type"), nothing)
+        ),
+        F.transform("boats", lambda b: fact("boat", none, b)),
+    )
+    of_week = F.array(fact("sailor", C("series_month"), C("entity_id")), fact("night", C("series_month"), nothing, C("day")))
+    empty = F.slice(of_week, 1, 0)
+    facts = F.concat(F.when(C("open"), of_open).otherwise(empty), F.when(weekly, of_week).otherwise(empty))
+    return (
+        once.select("period", "n", "best", "elapsed", "timed", F.inline(facts))
+        .groupBy("kind", "period", "label", "id", "day")
+        .agg(
+            F.sum("n").alias("n"), F.count("best").alias("shown"), count_if(C("best") == 1).alias("wins"), F.sum("elapsed").alias("elapsed"),
+            F.sum("timed").alias("timed"),
+        )
+    )
+
+
 @query(
     "C16_analysis_mart",
-    f"""WITH {YEARS}, fs AS (SELECT period, contest_id, count(*) AS n FROM best GROUP BY 1, 2), nx AS (SELECT period, lead(period) OVER (ORDER BY period) AS np FROM py),
-    bk AS (SELECT n.np AS period, {q.pct('100 * count(b.entity_id)', 'count(*)')} AS v FROM (SELECT DISTINCT entity_id, period FROM best) a JOIN nx n USING (period)
-        LEFT JOIN (SELECT DISTINCT entity_id, period FROM best) b ON b.entity_id = a.entity_id AND b.period = n.np WHERE n.np IS NOT NULL GROUP BY 1)
-    SELECT 'fleet' AS section, period, CAST(entities AS DOUBLE) AS value FROM py UNION ALL SELECT 'newcomers', f, CAST(count(*) AS DOUBLE) FROM fy GROUP BY 2
-    UNION ALL SELECT 'mean_field', period, {q.pct('sum(n)', 'count(*)')} FROM fs GROUP BY 2 UNION ALL SELECT 'return_rate', period, v FROM bk""",
+    f"""WITH {BASE}, {DAILY}, sv AS (SELECT DISTINCT entity_id, period FROM op), pz AS (SELECT DISTINCT period FROM op), nx AS (SELECT period, lead(period) OVER (ORDER BY period) AS np FROM pz),
+    de AS (SELECT entity_id, contest_id, period, min(rank) AS best FROM op WHERE shown GROUP BY 1, 2, 3),
+    mz AS (SELECT owner_key, count(*) AS races, count(*) FILTER (best = 1) AS wins FROM de JOIN ow USING (entity_id) GROUP BY 1),
+    oy AS (SELECT DISTINCT owner_key, period FROM sv JOIN ow USING (entity_id)),
+    oi AS (SELECT *, period - row_number() OVER (PARTITION BY owner_key ORDER BY period) AS i FROM oy), ru AS (SELECT owner_key, i, count(*) AS len, min(period) AS s FROM oi GROUP BY 1, 2),
+    lo AS (SELECT owner_key, len, s FROM (SELECT *, row_number() OVER (PARTITION BY owner_key ORDER BY len DESC, s) AS rn FROM ru) WHERE rn = 1 AND len >= 3 ORDER BY len DESC, owner_key LIMIT 25),
+    x(section, period, label, value, value2, value3) AS (
+    SELECT 'fleet', period, NULL, count(DISTINCT entity_id), count(DISTINCT entity_id) FILTER (event_type = 'tns'), count(DISTINCT entity_id) FILTER (event_type = 'trophy') FROM op GROUP BY period
+    UNION ALL SELECT 'newcomers', period, NULL, count(f.entity_id), NULL, NULL FROM pz LEFT JOIN (SELECT entity_id, min(period) AS period FROM sv GROUP BY 1) f USING (period) GROUP BY period
+    UNION ALL SELECT 'return_rate', a.period, NULL, count(*), count(b.entity_id), {q.pct('100 * count(b.entity_id)', 'count(*)')} FROM sv a JOIN nx ON nx.period = a.period AND np IS NOT NULL
+        LEFT JOIN sv b ON b.entity_id = a.entity_id AND b.period = np GROUP BY a.period
+    UNION ALL SELECT 'class', period, class, count(DISTINCT boat_id), NULL, NULL FROM (SELECT period, boat_id, {q.design_class('raw_class')} AS class FROM op JOIN boats USING (boat_id)) WHERE class IS NOT NULL GROUP BY period, class
+    UNION ALL SELECT 'field_size', period, event_type, {q.pct('count(*)', 'count(DISTINCT contest_id)')}, NULL, NULL FROM op GROUP BY period, event_type
+    UNION ALL SELECT 'race_length', period, event_type, {q.pct('sum(e)', 'count(e)', 0)}, count(e), NULL FROM op WHERE event_type IN ('tns', 'trophy') GROUP BY period, event_type HAVING count(e) >= 5
+    UNION ALL (SELECT 'most_races', NULL, owner_key, races, wins, (SELECT count(*) FROM oy WHERE oy.owner_key = mz.owner_key) FROM mz ORDER BY races DESC, owner_key LIMIT 30)
+    UNION ALL SELECT 'streak', s, owner_key, len, s + len - 1, NULL FROM lo
+    UNION ALL SELECT 'weekly', period, series_month, count(DISTINCT day), count(DISTINCT entity_id), count(*) FROM bs WHERE event_type = 'tns' AND series_month IS NOT NULL GROUP BY period, series_month
+    UNION ALL SELECT 'wind', NULL, CASE WHEN mean_c < 400 THEN 'calm' WHEN mean_c < 1000 THEN 'light' WHEN mean_c < 1600 THEN 'moderate' WHEN mean_c < 2200 THEN 'fresh' ELSE 'strong' END, count(*), NULL, NULL FROM dw GROUP BY 3
+    UNION ALL SELECT 'month', CAST(substr(day, 6, 2) AS INTEGER), NULL, {q.pct('CAST(sum(round(temp_c * 10)) AS BIGINT)', 'count(*) * 10')},
+        {q.pct('sum(CASE WHEN mean_c <> 0 THEN mean_c END)', 'count(CASE WHEN mean_c <> 0 THEN mean_c END) * 100')}, count(*) FROM dw WHERE temp_c IS NOT NULL AND CAST(substr(day, 6, 2) AS INTEGER) BETWEEN 5 AND 10 GROUP BY 2
+    UNION ALL SELECT 'dates', NULL, NULL, count(*), NULL, NULL FROM dw)
+    SELECT section, CAST(period AS INTEGER) AS period, CAST(label AS VARCHAR) AS label, CAST(value AS DOUBLE) AS value, CAST(value2 AS DOUBLE) AS value2, CAST(value3 AS DOUBLE) AS value3 FROM x""",
 )
 def _(t):
-    best = t.best
-    seen = best.select("entity_id", "period").distinct()
-    sizes = best.groupBy("period", "contest_id").agg(F.count("*").alias("n"))
+    facts = shared_table(season_facts(t), "facts")
+    entity, contest = facts.where("kind = 'entity'"), facts.where("kind = 'contest'")
+    seen = entity.select(C("id").alias("entity_id"), "period").distinct()
+    types = entity.groupBy("period", "id").agg(*[F.max((C("label") == x).cast("int")).alias(x) for x in ("tns", "trophy")])
     back = boards.returning(seen)
-    sections = {
-        "fleet": seen.groupBy("period").agg(F.count("*").cast("double").alias("value")),
-        "newcomers": boards.first_seen(seen).select("period", C("newcomers").cast("double").alias("value")),
-        "mean_field": sizes.groupBy("period").agg(half_up(F.sum("n"), F.count("*"), 1).alias("value")),
-        "return_rate": back.select(
-            C("next_period").alias("period"), half_up(C("returning") * 100, "entities", 1).alias("value")
-        ),
-    }
-    parts = [df.select(F.lit(name).alias("section"), "period", "value") for name, df in sections.items()]
+    classes = t.boats.select(C("boat_id").alias("id"), idn.design_class("raw_class").alias("class")).where("class IS NOT NULL")
+    board = entity.select(C("id").alias("entity_id"), "shown", "wins").where("shown > 0")
+    owned = boards.rollup_sum(board, t.entities, ["shown", "wins"]).join(boards.rollup_periods(seen, t.entities), "owner_key")
+    runs = boards.longest_run(boards.with_owner(seen, t.entities).select("owner_key", "period").distinct(), "owner_key")
+    weekly = facts.where("kind IN ('sailor', 'night')").groupBy("period", "label").agg(
+        count_if(C("kind") == "night").alias("a"), count_if(C("kind") == "sailor").alias("b"), F.sum(F.when(C("kind") == "sailor", C("n"))).alias("c")
+    )
+    days = daily(t)
+    bracket = F.lit("strong")
+    for name, below in reversed(BRACKETS):
+        bracket = F.when(C("mean_c") < below * 100, name).otherwise(bracket)
+    months = monthly_means(t).select(C("month").alias("period"), "mean_temp", "mean_wind", "days")
+    none = F.lit(None)
+
+    def section(name, df, period=none, label=none, *values):
+        values = [*values, none, none][:3]
+        return df.select(F.lit(name).alias("section"), period.cast("int").alias("period"), label.cast("string").alias("label"),
+                         *[v.cast("double").alias(k) for v, k in zip(values, ("value", "value2", "value3"), strict=True)])
+
+    p, lab = C("period"), C("label")
+    new = seen.select("period").distinct().join(boards.first_seen(seen), "period", "left")
+    field = contest.groupBy("period", "label").agg(half_up(F.sum("n"), F.count("*"), 1).alias("v"))
+    lengths = facts.where("kind = 'type' AND label IN ('tns', 'trophy') AND timed >= 5")
+    parts = [
+        section("fleet", types.groupBy("period").agg(F.count("*").alias("a"), F.sum("tns").alias("b"), F.sum("trophy").alias("c")), p, none, C("a"), C("b"), C("c")),
+        section("newcomers", new, p, none, F.coalesce("newcomers", F.lit(0))),
+        section("return_rate", back, p, none, C("entities"), C("returning"), half_up(C("returning") * 100, "entities", 1)),
+        section("class", facts.where("kind = 'boat'").join(classes, "id").groupBy("period", "class").agg(F.count("*").alias("n")), p, C("class"), C("n")),
+        section("field_size", field, p, lab, C("v")),
+        section("race_length", lengths, p, lab, half_up("elapsed", "timed", 0), C("timed")),
+        section("most_races", top_k(owned, [F.desc("shown"), C("owner_key")], 30), none, C("owner_key"), C("shown"), C("wins"), C("periods")),
+        section("streak", top_k(runs, [F.desc("length"), C("owner_key")], 25), C("start"), C("owner_key"), C("length"), C("end")),
+        section("weekly", weekly, p, lab, C("a"), C("b"), C("c")),
+        section("wind", days.groupBy(bracket.alias("label")).agg(F.count("*").alias("n")), none, lab, C("n")),
+        section("month", months, p, none, C("mean_temp"), C("mean_wind"), C("days")),
+        section("dates", days.agg(F.count("*").alias("n")), none, none, C("n")),
+    ]
     return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.operators.ranking import hot_groups, rank_within
-from podium.session import tune
+from podium.session import fresh_folder, tune
+
+#: Where the scope of a folder of tables has been written, by application and folder.
+_SCOPES: dict[tuple[str, str], str] = {}
 
 BINDINGS: dict[str, tuple[str, list[str]]] = {
     # one row per (contest, participant) entry
@@ -261,13 +264,28 @@ class Tables:
         """Ranked results with their contest and event."""
         return self.ranked.join(self.contests, "contest_id")
 
+    @cached_property
+    def skipped(self) -> DataFrame:
+        """(event_id, special, variant) of the events that leaderboards leave out, one row each.
+
+        Worked out once in an application for a folder of tables, which are taken not to change, and written to the shared
+        folder; every board then reads this small table instead of working out the scope again.
+        """
+        from podium.plans.events import skip_flags
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _SCOPES:
+            path = fresh_folder(self.spark, "scope")
+            skip_flags(self).write.parquet(path)
+            _SCOPES[key] = path
+        return self.spark.read.schema("event_id long, special boolean, variant boolean").parquet(_SCOPES[key])
+
     @cached_property
     def open_contests(self) -> DataFrame:
         """Contests of events that are neither special nor another view of an event."""
         from podium.operators.scope import exclude
-        from podium.plans.events import skip_sets
 
-        return exclude(self.contests, *skip_sets(self), on="event_id")
+        return exclude(self.contests, self.skipped, on="event_id")
 
     @property
     def scoped(self) -> DataFrame:
