@@ -429,25 +429,6 @@ def _(t):
     return trophy_winners(t)
 
 
-@query(
-    "C15_trophy_mart",
-    f"""WITH {TROPHY}, g AS (SELECT series_id, count(*) AS winners, count(*) FILTER (source = 'historical') AS past, min(period) AS first_awarded,
-        max(period) AS last_awarded FROM tw GROUP BY 1)
-    SELECT event_name, event_type, CAST(winners AS BIGINT) AS winners, CAST(past AS BIGINT) AS historical, first_awarded, last_awarded
-    FROM g JOIN series USING (series_id) WHERE winners >= 3""",
-)
-def _(t):
-    mart = trophy_winners(t).groupBy("series_id").agg(
-        F.count("*").alias("winners"),
-        count_if(C("source") == "historical").alias("historical"),
-        F.min("period").alias("first_awarded"),
-        F.max("period").alias("last_awarded"),
-    )
-    return mart.where("winners >= 3").join(t.series, "series_id").select(
-        "event_name", "event_type", "winners", "historical", "first_awarded", "last_awarded"
-    )
-
-
 @query(
     "A48_mart_totals",
     f"""WITH {TROPHY} SELECT {q.n('DISTINCT series_id')} AS trophies, {N} AS winners, {q.n(cond="source = 'historical'")} AS historical,
