@@ -178,16 +178,19 @@ def wind_shift_scenarios(winners: DataFrame, shifts_kt: Sequence[int]) -> DataFr
     return winners.select("contest_id", "covered", "published", F.inline(F.array(*rows)))
 
 
-def factor_pairs(factors: DataFrame, base: str) -> DataFrame:
-    """Ratio of each class to the base class per band, and how far it drifts. ``factors``: one row per class."""
-    one = factors.where(C("class") == base).select(F.struct(*[C(f"tot_{b}") for b in BANDS])).scalar()
-    ratios = [C(f"tot_{b}").cast("double") / C(f"_base.tot_{b}") for b in BANDS]
-    return (
-        factors.where(C("class") != base)
-        .withColumn("_base", one)
-        .select(
-            "class",
-            *[r.alias(f"ratio_{b}") for r, b in zip(ratios, BANDS)],
-            (F.greatest(*ratios) - F.least(*ratios)).alias("drift"),
-        )
+def factor_pairs(factors: DataFrame) -> DataFrame:
+    """Ratio of every two classes per band, the first in order over the second, and how far it drifts.
+
+    ``factors`` has one row per class with a certificate of each band: a list of designs, not of boats.
+    """
+    entry = F.struct("class", *[C(f"tot_{b}") for b in BANDS])
+    listed = factors.agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    first = listed.select("all", F.posexplode("all").alias("k", "a"))
+    pairs = first.select("a", F.explode(F.slice("all", C("k") + 2, F.size("all"))).alias("b"))
+    ratios = [C(f"a.tot_{b}").cast("double") / C(f"b.tot_{b}") for b in BANDS]
+    return pairs.select(
+        C("a.class").alias("class"),
+        C("b.class").alias("other"),
+        *[r.alias(f"ratio_{b}") for r, b in zip(ratios, BANDS)],
+        (F.greatest(*ratios) - F.least(*ratios)).alias("drift"),
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("events", "leaderboards", "scalars", "rescoring", "enrichment", "identity", "pages", "marts", "trophies")
+MODULES = ("events", "leaderboards", "scalars", "rescoring", "enrichment", "identity", "pages", "marts", "trophies", "audits")
 
 
 def load() -> None:

@@ -320,28 +320,6 @@ def _(t):
     return missing.unionByName(have.distinct().exceptAll(want).withColumn("problem", F.lit("unexpected")))
 
 
-@query(
-    "U02_event_issues",
-    f"""WITH {STATS}, i AS (SELECT event_id, 'suspicious_punctuation' AS issue FROM es WHERE contains(event_name, '??')
-        OR contains(event_name, '##') UNION SELECT event_id, 'double_spaces' FROM es WHERE contains(event_name, '  ')
-        UNION SELECT event_id, 'few_results' FROM es WHERE results < 4
-        UNION SELECT event_id, 'view_name' FROM es WHERE {q.view_name('event_name')})
-    SELECT event_id, issue, event_name, period FROM i JOIN es USING (event_id)""",
-)
-def _(t):
-    name = C("event_name")
-    checks = F.array_compact(
-        F.array(
-            F.when(F.contains(name, F.lit("??")) | F.contains(name, F.lit("##")), "suspicious_punctuation"),
-            F.when(F.contains(name, F.lit("  ")), "double_spaces"),
-            F.when(C("results") < 4, "few_results"),
-            F.when(text.is_view_name("event_name"), "view_name"),
-        )
-    )
-    # one pass over the events instead of one scan per check
-    return stats(t).select("event_id", F.explode(F.array_distinct(checks)).alias("issue"), "event_name", "period")
-
-
 @query(
     "C14_season_mart",
     f"""WITH {GROUPS}, s AS (SELECT c.*, nm FROM cg c JOIN (SELECT event_id, nm FROM mk) k USING (event_id))

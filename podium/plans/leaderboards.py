@@ -370,28 +370,6 @@ def _(t):
     return boards.rollup_periods(seen, t.entities)
 
 
-EVENT_WINS = "ew AS (SELECT entity_id, count(DISTINCT event_id) AS wins FROM best WHERE rank = 1 GROUP BY 1)"
-
-
-def _event_wins(t):
-    first = t.best.where("rank = 1").select("entity_id", "event_id").distinct()
-    return first.groupBy("entity_id").agg(F.count("*").alias("wins"))
-
-
-@query(
-    "A18_owner_trophies",
-    f"""WITH {EVENT_WINS}, {OWNERS} SELECT owner_key, {N} AS members, CAST(sum(wins) AS BIGINT) AS wins
-    FROM ew JOIN own USING (entity_id) GROUP BY 1 ORDER BY wins DESC, owner_key LIMIT 25""",
-)
-def _(t):
-    return top_k(boards.rollup_sum(_event_wins(t), t.entities, ["wins"]), [F.desc("wins"), C("owner_key")], 25)
-
-
-@query("A20_distinct_event_wins", f"WITH {EVENT_WINS} SELECT entity_id, CAST(wins AS BIGINT) AS wins FROM ew")
-def _(t):
-    return _event_wins(t)
-
-
 @query(
     "A19_owner_members",
     f"""WITH {OWNERS}, u AS (SELECT entity_id, count(*) AS used, min(period) AS first_period FROM star GROUP BY 1),

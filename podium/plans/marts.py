@@ -652,77 +652,6 @@ def _(t):
     return sorted_by(board, "wins", True, "entity_id")
 
 
-COUNTERS = f"""SELECT 'boats' AS counter, {N} AS n FROM boats UNION ALL SELECT 'boats_without_class', {q.n(cond='raw_class IS NULL')} FROM boats
-    UNION ALL SELECT 'boats_without_sail', {q.n(cond='sail IS NULL')} FROM boats
-    UNION ALL SELECT 'placeholder_sails', {q.n(cond=f"sail IS NOT NULL AND {q.placeholder('sail')}")} FROM boats
-    UNION ALL SELECT 'contests', {N} FROM contest_headers UNION ALL SELECT 'contests_without_results', {N} FROM contest_headers WHERE contest_id NOT IN (SELECT contest_id FROM results)
-    UNION ALL SELECT 'results', {N} FROM results UNION ALL SELECT 'helm_results', {N} FROM results JOIN entities USING (entity_id) WHERE participant_type = 'helm'
-    UNION ALL SELECT 'boat_results', {N} FROM results JOIN entities USING (entity_id) WHERE participant_type = 'boat'
-    UNION ALL SELECT 'coded_results', {N} FROM results WHERE status IS NOT NULL AND status <> '' UNION ALL SELECT 'tenures', {N} FROM tenures
-    UNION ALL SELECT 'participants', {N} FROM entities UNION ALL SELECT 'pages', {N} FROM pages
-    UNION ALL SELECT 'empty_series', {N} FROM series WHERE series_id NOT IN (SELECT series_id FROM contest_headers)"""
-
-
-def counters(t):
-    """Audit counters as (counter, n) rows; each table is scanned once."""
-
-    def long(df: DataFrame, **cols) -> DataFrame:
-        one = df.agg(*[c.alias(k) for k, c in cols.items()])
-        pairs = ", ".join(f"'{k}', {k}" for k in cols)
-        return one.select(F.expr(f"stack({len(cols)}, {pairs}) AS (counter, n)"))
-
-    types = t.results.groupBy("entity_id").agg(
-        F.count("*").alias("n"), count_if(C("status").isNotNull() & (C("status") != "")).alias("coded")
-    )
-    typed = types.join(t.entities, "entity_id", "left")
-    helm, boat = C("participant_type") == "helm", C("participant_type") == "boat"
-    empty = t.contest_headers.join(t.results.select("contest_id").distinct(), "contest_id", "left_anti")
-    unused = t.series.join(t.contest_headers.select("series_id").distinct(), "series_id", "left_anti")
-    parts = [
-        long(
-            t.boats,
-            boats=F.count("*"),
-            boats_without_class=count_if(C("raw_class").isNull()),
-            boats_without_sail=count_if(C("sail").isNull()),
-            placeholder_sails=count_if(C("sail").isNotNull() & idn.is_placeholder("sail")),
-        ),
-        long(t.contest_headers, contests=F.count("*")),
-        long(empty, contests_without_results=F.count("*")),
-        long(
-            typed,
-            results=F.sum("n"),
-            helm_results=F.sum(F.when(helm, C("n")).otherwise(0)),
-            boat_results=F.sum(F.when(boat, C("n")).otherwise(0)),
-            coded_results=F.sum("coded"),
-        ),
-        long(t.tenures, tenures=F.count("*")),
-        long(t.entities, participants=F.count("*")),
-        long(t.pages, pages=F.count("*")),
-        long(unused, empty_series=F.count("*")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-@query("C07_quality_summary", COUNTERS)
-def _(t):
-    return counters(t)
-
-
-# Fixed values of this binding: the least each counter must reach.
-EXPECTED = {"boats": 100, "contests": 1000, "results": 5000, "participants": 5, "pages": 30, "tenures": 100, "empty_series": 1}
-
-
-@query(
-    "C10_expectation_checks",
-    f"""WITH k AS ({COUNTERS}), e AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in EXPECTED.items())}) x(counter, least))
-    SELECT counter AS check_name, n >= least AS ok, n AS observed FROM k JOIN e USING (counter)""",
-)
-def _(t):
-    least = F.create_map(*[F.lit(x) for pair in EXPECTED.items() for x in pair])
-    checked = counters(t).withColumn("least", F.try_element_at(least, C("counter"))).where("least IS NOT NULL")
-    return checked.select(C("counter").alias("check_name"), (C("n") >= C("least")).alias("ok"), C("n").alias("observed"))
-
-
 # every result of events that are not special, other views marked; and the open ones among them
 BASE = f"""{GROUPS}, {SPECIAL.removeprefix(EVENT_ROWS + ', ')}, bs AS (SELECT * FROM star WHERE event_id NOT IN (SELECT event_id FROM sp)),
     op AS (SELECT *, status IS NULL OR status NOT IN ('DNS', 'DNC') AS shown, CASE WHEN elapsed_s > 600 AND elapsed_s < 18000 THEN elapsed_s END AS e FROM bs WHERE event_id NOT IN (SELECT event_id FROM cg WHERE is_variant)),

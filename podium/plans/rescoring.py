@@ -282,13 +282,13 @@ FACTORS = "fc AS (SELECT class, min(tot_low) AS tot_low, min(tot_medium) AS tot_
 
 @query(
     "A47_factor_drift",
-    f"""WITH {FACTORS}, r AS (SELECT f.class, {', '.join(f"CAST(f.tot_{b} AS DOUBLE) / g.tot_{b} AS ratio_{b}" for b in rs.BANDS)}
-        FROM fc f, fc g WHERE g.class = 'Brand#1' AND f.class <> 'Brand#1')
+    f"""WITH {FACTORS}, r AS (SELECT f.class, g.class AS other, {', '.join(f"CAST(f.tot_{b} AS DOUBLE) / g.tot_{b} AS ratio_{b}" for b in rs.BANDS)}
+        FROM fc f JOIN fc g ON f.class < g.class)
     SELECT *, greatest(ratio_low, ratio_medium, ratio_high) - least(ratio_low, ratio_medium, ratio_high) AS drift FROM r""",
 )
 def _(t):
     factors = t.ratings.groupBy("class").agg(*[F.min(f"tot_{b}").alias(f"tot_{b}") for b in rs.BANDS])
-    return rs.factor_pairs(factors, "Brand#1")
+    return rs.factor_pairs(factors)
 
 
 RESOLVE = """l AS (SELECT *, regexp_replace(upper(class), '[ /-]', '', 'g') AS ck FROM cert_register WHERE cert_ref IS NOT NULL),

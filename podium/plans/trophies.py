@@ -1,4 +1,4 @@
-"""The trophy mart: winners over all years and views, historical ones, owners at the time, and course data."""
+"""The trophy mart: winners over all years and views, historical ones, owners at the time, course data, and event wins."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from podium.functions import text
 from podium.operators import boards
 from podium.operators import history as hi
 from podium.operators.measures import count_if, half_up
-from podium.operators.ranking import keep_first
+from podium.operators.ranking import keep_first, top_k
+from podium.operators.scope import exclude
 from podium.plans import dialect as q
 from podium.plans.enrichment import DAILY, daily
 from podium.plans.events import GROUPS, groups
@@ -196,3 +197,29 @@ def _(t):
     best = hi.records(history.withColumn("series_id", F.lit(0)), ["course"]).select("course", "fastest_s", "fastest_period", "fastest_id", "slowest_s", "slowest_period")
     middle = boards.upper_median(history, ["course"], "winner_s").select("course", C("median").alias("median_s"))
     return courses.join(best, "course", "left").join(middle, "course", "left")
+
+
+EVENT_WINS = f"""{GROUPS}, {STANDINGS}, ew AS (SELECT entity_id, count(DISTINCT canonical_event_id) AS wins FROM ss JOIN cg USING (event_id)
+        WHERE rank = 1 AND event_id NOT IN (SELECT event_id FROM special_events) GROUP BY 1),
+    own AS (SELECT entity_id, coalesce(owner, 'boat:' || CAST(entity_id AS VARCHAR)) AS owner_key FROM entities)"""
+
+
+def event_wins(t):
+    """Events each entity won the standings of, special ones left out; the views of an event count once."""
+    won = exclude(standings(t).where("rank = 1").select("event_id", "entity_id"), t.skipped.where("special"), on="event_id")
+    once = won.join(groups(t).select("event_id", "canonical_event_id"), "event_id").select("entity_id", "canonical_event_id").distinct()
+    return once.groupBy("entity_id").agg(F.count("*").alias("wins"))
+
+
+@query("A20_distinct_event_wins", f"WITH {EVENT_WINS} SELECT entity_id, CAST(wins AS BIGINT) AS wins FROM ew")
+def _(t):
+    return event_wins(t)
+
+
+@query(
+    "A18_owner_trophies",
+    f"""WITH {EVENT_WINS} SELECT owner_key, {N} AS members, CAST(sum(wins) AS BIGINT) AS wins
+    FROM ew JOIN own USING (entity_id) GROUP BY 1 ORDER BY wins DESC, owner_key LIMIT 25""",
+)
+def _(t):
+    return top_k(boards.rollup_sum(event_wins(t), t.entities, ["wins"]), [F.desc("wins"), C("owner_key")], 25)
