@@ -15,7 +15,6 @@ an error. The vocabulary file is read on the driver and travels with the code (i
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from dataclasses import dataclass
 from itertools import chain
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import prepare
+from podium.llm.common import Held, prepare
 
 #: A vocabulary file above this is not sent along.
 MAX_VOCABULARY = 64 << 20
@@ -228,10 +227,16 @@ class Coder:
         return ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
 
-@functools.lru_cache(maxsize=2)
+#: One for each vocabulary in a Python worker.
+CODERS = Held(Coder)
+
+
 def coder(vocabulary: Vocabulary) -> Coder:
-    """One for each vocabulary in a Python worker."""
-    return Coder(vocabulary)
+    return CODERS.take(vocabulary)
+
+
+def let_go(vocabulary: Vocabulary) -> None:
+    CODERS.give_back(vocabulary)
 
 
 def in_parts(texts: list[str | None], most: int = PART):
@@ -259,6 +264,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 ids = pa.array(of.encode(part), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], names=["doc_id", "ids"])
                 at += len(part)
+        let_go(vocabulary)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return own.mapInArrow(run, "doc_id long, ids array<int>")
@@ -273,6 +279,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             found = of.decode([np.array(ids or [], np.int32) for ids in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "bytes"])
+        let_go(vocabulary)
 
     own = encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
     return own.mapInArrow(run, "doc_id long, bytes binary")
@@ -301,6 +308,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) ->
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(part)
+        let_go(vocabulary)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

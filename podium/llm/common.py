@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -112,6 +113,33 @@ def on_map(rows: DataFrame, few: DataFrame, key: str = "key") -> DataFrame:
     return rows.select(bit_of(key), *names).mapInArrow(run, rows.schema)
 
 
+#: Seconds for which a Python worker keeps what it made after a task's end, for the next task of the same stage.
+KEEP_S = 5
+
+
+class Held:
+    """What a Python worker makes once and keeps between tasks.
+
+    Workers outlive their stage, and what one stage leaves in them is memory that the next ones lack; so it goes KEEP_S
+    seconds after its last use.
+    """
+
+    def __init__(self, make):
+        self.make, self.kept, self.timers = make, {}, {}
+
+    def take(self, key):
+        if timer := self.timers.pop(key, None):
+            timer.cancel()
+        if key not in self.kept:
+            self.kept[key] = self.make(key)
+        return self.kept[key]
+
+    def give_back(self, key) -> None:
+        timer = self.timers[key] = threading.Timer(KEEP_S, self.kept.pop, (key, None))
+        timer.daemon = True
+        timer.start()
+
+
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of the key as text modulo the divisor; null keys have null."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor))

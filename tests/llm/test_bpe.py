@@ -57,3 +57,21 @@ def test_encode_then_decode(docs_of):
     texts = ["one two", None, "né"]
     back = bpe.decode(bpe.encode(docs_of(texts), vocabulary()), vocabulary()).orderBy("doc_id").collect()
     assert [bytes(r["bytes"]) for r in back] == [(t or "").encode() for t in texts]
+
+
+def test_what_a_worker_holds_goes_after_its_last_use(monkeypatch):
+    import time
+
+    from podium.llm import common
+
+    monkeypatch.setattr(common, "KEEP_S", 0.2)
+    made = []
+    held = common.Held(lambda key: made.append(key) or [key])
+    first = held.take("a")
+    held.give_back("a")
+    assert held.take("a") is first  # in time: kept on
+    time.sleep(0.4)
+    assert held.take("a") is first  # in use: stays
+    held.give_back("a")
+    time.sleep(0.4)
+    assert held.take("a") is not first and made == ["a", "a"]
