@@ -215,16 +215,20 @@ def race_counts(contests: DataFrame) -> DataFrame:
     )
 
 
-def series_completeness(weekly: DataFrame) -> DataFrame:
+def series_completeness(weekly: DataFrame, announced: DataFrame) -> DataFrame:
     """Per period: months of the weekly series present, missing and unexpected, race nights, and a verdict.
 
-    ``weekly`` holds the contest headers of the weekly series with their resolved month.
+    ``weekly`` holds the contest headers of the weekly series with their resolved month, ``announced`` its events without
+    contests; in a period without any contest the largest number of races an event claims counts.
     """
     nights = weekly.select("period", night_token("series_month").alias("n")).distinct().groupBy("period").agg(
         F.count("*").alias("nights")
     )
     # a set of month names holds at most the months of a year
-    months = weekly.groupBy("period").agg(F.array_sort(F.collect_set("series_month")).alias("m"))
+    claims = weekly.select("period", "series_month", F.lit(0).alias("races_sailed")).unionByName(
+        announced.select("period", "series_month", F.coalesce("races_sailed", F.lit(0)).alias("races_sailed"))
+    )
+    months = claims.groupBy("period").agg(F.array_sort(F.collect_set("series_month")).alias("m"), F.max("races_sailed").alias("claimed"))
     wanted = F.array(*[F.lit(m) for m in EXPECTED_MONTHS])
     present = F.filter(wanted, lambda x: F.array_contains(C("m"), x))
     missing = F.array_except(wanted, C("m"))
@@ -246,7 +250,8 @@ def series_completeness(weekly: DataFrame) -> DataFrame:
             F.concat(F.lit("race nights = "), C("nights").cast("string"), F.lit(" (expected 12-16)")),
         ),
     )
-    return months.join(nights, "period").select(
+    counted = months.join(nights, "period", "left").withColumn("nights", F.coalesce("nights", C("claimed").cast("long")))
+    return counted.select(
         "period",
         F.size(present).alias("months_found"),
         listed(present).alias("months_present"),

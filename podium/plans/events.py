@@ -288,8 +288,9 @@ def _list(cond: str) -> str:
 
 @query(
     "C08_series_completeness",
-    f"""WITH w AS (SELECT period, series_month, contest_date FROM contests WHERE event_type = 'tns'),
-    a AS (SELECT period, list(DISTINCT series_month) AS m, count(DISTINCT contest_date) AS nights FROM w GROUP BY 1),
+    f"""WITH w AS (SELECT period, series_month, contest_date, NULL AS races_sailed FROM contests WHERE event_type = 'tns'
+        UNION ALL SELECT period, series_month, NULL, races_sailed FROM announced WHERE event_type = 'tns' AND list_no % 5 = 0),
+    a AS (SELECT period, coalesce(list(DISTINCT series_month) FILTER (series_month IS NOT NULL), []) AS m, CASE WHEN count(contest_date) > 0 THEN count(DISTINCT contest_date) ELSE coalesce(max(races_sailed), 0) END AS nights FROM w GROUP BY 1),
     b AS (SELECT *, {_list('list_contains(m, x)')} AS months_present, {_list('NOT list_contains(m, x)')} AS months_missing,
         CASE WHEN list_contains(m, 'may') THEN 'unexpected months: may' END AS extra FROM a),
     c AS (SELECT *, CASE WHEN months_present = '' THEN 0 ELSE len(string_split(months_present, ',')) END AS found FROM b),
@@ -300,7 +301,8 @@ def _list(cond: str) -> str:
         CASE WHEN notes = '' THEN 'ok' ELSE 'review' END AS status, notes FROM d""",
 )
 def _(t):
-    return ev.series_completeness(t.contests.where("event_type = 'tns'"))
+    announced = t.announced.where("event_type = 'tns' AND list_no % 5 = 0")
+    return ev.series_completeness(t.contests.where("event_type = 'tns'"), announced)
 
 
 @query(
@@ -322,21 +324,26 @@ def _(t):
 
 @query(
     "C14_season_mart",
-    f"""WITH {GROUPS}, s AS (SELECT c.*, nm FROM cg c JOIN (SELECT event_id, nm FROM mk) k USING (event_id))
-    SELECT period, {q.n(cond="event_type = 'tns'")} AS tns_events, {q.n(cond="event_type = 'trophy'")} AS trophy_events,
-        {q.n(cond="event_type = 'championship'")} AS championship_events, {q.n(cond='NOT is_variant')} AS canonical_events,
+    f"""WITH {GROUPS}, s AS (SELECT c.*, nm, event_id IN (SELECT event_id FROM special_events) AS special FROM cg c JOIN (SELECT event_id, nm FROM mk) k USING (event_id))
+    SELECT period, {q.n(cond='NOT is_variant')} AS canonical_events, {q.n(cond="NOT is_variant AND event_type = 'tns'")} AS tns_events, {q.n("DISTINCT nm", "NOT is_variant AND event_type = 'trophy'")} AS trophy_series,
+        {q.n(cond="NOT is_variant AND event_type = 'championship'")} AS championship_events, {q.n(cond='special')} AS special_events, {q.n(cond='NOT is_variant AND NOT special')} AS open_events,
         {q.n('DISTINCT nm')} AS unique_series, CAST(sum(contests) AS BIGINT) AS contests, CAST(sum(results) AS BIGINT) AS results
     FROM s GROUP BY 1""",
 )
 def _(t):
     root = text.name_key(text.canonical_name("event_name"), drop="'\"`|")
-    marked = groups(t).withColumn("root", root)
-    types = ["tns", "trophy", "championship"]
+    special = t.skipped.where("special").select("event_id", "special")
+    marked = groups(t).withColumn("root", root).join(special, "event_id", "left").fillna(False, ["special"])
+    own = ~C("is_variant")
     by_root = marked.groupBy("period", "root").agg(
-        *[count_if(C("event_type") == x).alias(f"{x}_events") for x in types],
-        count_if(~C("is_variant")).alias("canonical_events"),
+        count_if(own).alias("canonical_events"),
+        count_if(own & (C("event_type") == "tns")).alias("tns_events"),
+        F.max((own & (C("event_type") == "trophy")).cast("long")).alias("trophy_series"),
+        count_if(own & (C("event_type") == "championship")).alias("championship_events"),
+        count_if(C("special")).alias("special_events"),
+        count_if(own & ~C("special")).alias("open_events"),
         F.sum("contests").alias("contests"),
         F.sum("results").alias("results"),
     )
-    sums = [f"{x}_events" for x in types] + ["canonical_events", "contests", "results"]
+    sums = [c for c in by_root.columns if c not in ("period", "root")]
     return by_root.groupBy("period").agg(F.count("*").alias("unique_series"), *[F.sum(c).alias(c) for c in sums])

@@ -8,9 +8,9 @@ from podium.functions import identifiers as idn
 from podium.operators import boards
 from podium.operators.measures import count_if, half_up, wins
 from podium.operators.ranking import hot_groups, rank_within, top_k
-from podium.operators.scope import clean_finish
+from podium.operators.scope import clean_finish, showed_up
 from podium.plans import dialect as q
-from podium.plans import events  # noqa: F401  defines the scope that the oracles name
+from podium.plans import events
 from podium.plans.registry import query
 
 C = F.col
@@ -58,34 +58,39 @@ def _(t):
 
 @query(
     "A02_kpi_snapshot",
-    """SELECT (SELECT CAST(count(*) AS BIGINT) FROM contests) AS contests,
+    f"""WITH {events.GROUPS}, va AS (SELECT event_id FROM cg WHERE is_variant) SELECT (SELECT CAST(count(*) AS BIGINT) FROM contests) AS contests,
         (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM contests) AS events,
+        (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM contests WHERE event_id NOT IN (SELECT event_id FROM va)) AS canonical_events,
+        (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM contests WHERE event_id NOT IN (SELECT event_id FROM special_events)) AS regular_events,
         (SELECT CAST(count(DISTINCT event_id) AS BIGINT) FROM open_contests) AS open_events,
+        (SELECT CAST(count(DISTINCT period) AS BIGINT) FROM contests) AS seasons,
         (SELECT min(period) FROM contests) AS first_period, (SELECT max(period) FROM contests) AS last_period,
-        (SELECT CAST(count(*) AS BIGINT) FROM star) AS results, (SELECT CAST(count(*) AS BIGINT) FROM scoped) AS scoped_results,
-        (SELECT CAST(count(DISTINCT entity_id) AS BIGINT) FROM scoped) AS scoped_entities,
+        (SELECT CAST(count(*) AS BIGINT) FROM star) AS results, (SELECT CAST(count(*) AS BIGINT) FROM star WHERE event_id NOT IN (SELECT event_id FROM va)) AS canonical_results,
+        (SELECT CAST(count(*) AS BIGINT) FROM scoped) AS scoped_results, (SELECT CAST(count(DISTINCT entity_id) AS BIGINT) FROM scoped) AS scoped_entities,
         (SELECT CAST(count(*) AS BIGINT) FROM entities) AS entities""",
 )
 def _(t):
-    from podium.operators.scope import showed_up
-
-    skipped = t.open_contests.select(C("event_id").alias("open_id")).distinct()
-    contests = t.contests.join(skipped, C("event_id") == C("open_id"), "left").withColumn("open", C("open_id").isNotNull())
-    events = contests.groupBy("event_id", "open").agg(
-        F.count("*").alias("n"), F.min("period").alias("lo"), F.max("period").alias("hi")
-    )
-    heads = events.agg(
+    flags = t.skipped.select(C("event_id").alias("flagged"), "special", "variant")
+    contests = t.contests.join(flags, C("event_id") == C("flagged"), "left").fillna(False, ["special", "variant"])
+    contests = contests.withColumn("open", ~C("special") & ~C("variant"))
+    per_event = contests.groupBy("event_id", "period", "special", "variant", "open").agg(F.count("*").alias("n"))
+    heads = per_event.groupBy("period").agg(
+        F.sum("n").alias("n"), F.count("*").alias("e"), count_if(~C("variant")).alias("c"), count_if(~C("special")).alias("r"), count_if(C("open")).alias("o")
+    ).agg(
         F.sum("n").alias("contests"),
-        F.count("*").alias("events"),
-        count_if(C("open")).alias("open_events"),
-        F.min("lo").alias("first_period"),
-        F.max("hi").alias("last_period"),
+        F.sum("e").alias("events"),
+        F.sum("c").alias("canonical_events"),
+        F.sum("r").alias("regular_events"),
+        F.sum("o").alias("open_events"),
+        F.count("*").alias("seasons"),
+        F.min("period").alias("first_period"),
+        F.max("period").alias("last_period"),
     )
     star = t.results.join(contests, "contest_id")
     inside = showed_up("status") & C("open")
-    by_entity = star.groupBy("entity_id").agg(F.count("*").alias("n"), count_if(inside).alias("s"))
+    by_entity = star.groupBy("entity_id").agg(F.count("*").alias("n"), count_if(~C("variant")).alias("c"), count_if(inside).alias("s"))
     facts = by_entity.agg(
-        F.sum("n").alias("results"), F.sum("s").alias("scoped_results"), count_if(C("s") > 0).alias("scoped_entities")
+        F.sum("n").alias("results"), F.sum("c").alias("canonical_results"), F.sum("s").alias("scoped_results"), count_if(C("s") > 0).alias("scoped_entities")
     )
     dims = t.entities.agg(F.count("*").alias("entities"))
     rows = heads.unionByName(facts, True).unionByName(dims, True)

@@ -16,10 +16,10 @@ from podium.operators import events as ev
 from podium.operators import search as se
 from podium.operators.measures import count_if, half_up, wins
 from podium.operators.ranking import hot_groups, keep_first, rank_within, top_k, top_n_per_group
-from podium.operators.scope import showed_up
+from podium.operators.scope import exclude, showed_up
 from podium.plans import dialect as q
 from podium.plans.enrichment import DAILY, daily, levels, monthly_means
-from podium.plans.events import EVENT_ROWS, GROUPS, SPECIAL, TOKEN, groups, specials
+from podium.plans.events import EVENT_ROWS, GROUPS, SPECIAL, TOKEN, event_rows, groups, specials
 from podium.plans.registry import query
 from podium.plans.rescoring import WIND
 from podium.plans.pages import PAGED, parsed_pages
@@ -433,8 +433,8 @@ def _(t):
 
 # --- search ------------------------------------------------------------------------------------------------------
 
-INDEX = f"""ix AS (SELECT 'boat' AS kind, p_partkey AS id, p_name AS label, p_type AS hint, lower(concat_ws(' ', p_name, p_type, p_brand)) AS keywords FROM part
-    UNION ALL SELECT 'event', series_id, event_name, event_type, lower(concat_ws(' ', event_name, event_type, series_month)) FROM series WHERE NOT {q.view_name('event_name')}
+INDEX = f"""{GROUPS}, ix AS (SELECT 'boat' AS kind, p_partkey AS id, p_name AS label, p_type AS hint, lower(concat_ws(' ', p_name, p_type, p_brand)) AS keywords FROM part
+    UNION ALL SELECT 'event', event_id, event_name, CAST(period AS VARCHAR), lower(concat_ws(' ', event_name, CAST(period AS VARCHAR), event_type, series_month)) FROM er WHERE event_id NOT IN (SELECT event_id FROM cg WHERE is_variant)
     UNION ALL SELECT 'entity', entity_id, entity_name, coalesce(owner, ''), lower(concat_ws(' ', entity_name, owner)) FROM entities
     UNION ALL SELECT DISTINCT 'season', CAST(period AS BIGINT), period || ' Season', '', CAST(period AS VARCHAR) FROM contest_headers)"""
 
@@ -443,11 +443,11 @@ def index(t):
     seasons = t.contest_headers.select("period").distinct().select(
         "period", F.concat(C("period").cast("string"), F.lit(" Season")).alias("label"), F.lit("").alias("hint")
     )
+    listed = exclude(event_rows(t), t.skipped.where("variant"), on="event_id")
     return se.union_all(
         [
             se.index_rows(t.part, "boat", "p_partkey", "p_name", "p_type", "p_name", "p_type", "p_brand"),
-            se.index_rows(t.series.where(~tx.is_view_name("event_name")), "event", "series_id", "event_name", "event_type",
-                          "event_name", "event_type", "series_month"),
+            se.index_rows(listed, "event", "event_id", "event_name", "period", "event_name", "period", "event_type", "series_month"),
             se.index_rows(t.entities, "entity", "entity_id", "entity_name", "owner", "entity_name", "owner"),
             se.index_rows(seasons, "season", "period", "label", "hint", "period"),
         ]
@@ -776,3 +776,34 @@ def _(t):
         section("dates", days.agg(F.count("*").alias("n")), none, none, C("n")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "A49_overall_indicators",
+    f"""WITH {BASE}, {DAILY}, sv AS (SELECT DISTINCT entity_id, period FROM op), pz AS (SELECT DISTINCT period FROM op), nx AS (SELECT period, lead(period) OVER (ORDER BY period) AS np FROM pz),
+    rr AS (SELECT a.period, CAST(round(({q.pct('100 * count(b.entity_id)', 'count(*)')}) * 10) AS BIGINT) AS r FROM sv a JOIN nx ON nx.period = a.period AND np IS NOT NULL LEFT JOIN sv b ON b.entity_id = a.entity_id AND b.period = np GROUP BY 1),
+    fz AS (SELECT period, event_type, CAST(round(({q.pct('count(*)', 'count(DISTINCT contest_id)')}) * 10) AS BIGINT) AS f FROM op GROUP BY 1, 2),
+    nt AS (SELECT period, series_month, count(DISTINCT day) AS n FROM bs WHERE event_type = 'tns' AND series_month IS NOT NULL GROUP BY 1, 2)
+    SELECT (SELECT {q.pct('sum(r)', 'count(*) * 10')} FROM rr) AS mean_return_rate, (SELECT {q.pct('sum(f)', 'count(*) * 10')} FROM fz WHERE event_type = 'tns') AS mean_weekly_field,
+        (SELECT {q.pct('sum(f)', 'count(*) * 10')} FROM fz WHERE event_type = 'trophy') AS mean_trophy_field, (SELECT {q.pct('100 * count(*) FILTER (mean_c >= 400 AND mean_c < 1600)', 'count(*)')} FROM dw) AS light_moderate_share,
+        (SELECT CAST(sum(n) AS BIGINT) FROM nt) AS nights""",
+)
+def _(t):
+    facts = shared_table(season_facts(t), "facts")
+    seen = facts.where("kind = 'entity'").select(C("id").alias("entity_id"), "period").distinct()
+    rate = boards.returning(seen).select(F.round(half_up(C("returning") * 100, "entities", 1) * 10).cast("long").alias("v"))
+    fields = facts.where("kind = 'contest'").groupBy("period", "label").agg(F.round(half_up(F.sum("n"), F.count("*"), 1) * 10).cast("long").alias("v"))
+
+    def mean(df, name):
+        return df.agg(half_up(F.sum("v"), F.count("*") * 10, 1).alias(name))
+
+    calm_enough = (C("mean_c") >= 400) & (C("mean_c") < 1600)
+    parts = [
+        mean(rate, "mean_return_rate"),
+        mean(fields.where("label = 'tns'"), "mean_weekly_field"),
+        mean(fields.where("label = 'trophy'"), "mean_trophy_field"),
+        daily(t).agg(half_up(count_if(calm_enough) * 100, F.count("*"), 1).alias("light_moderate_share")),
+        facts.where("kind = 'night'").agg(F.count("*").alias("nights")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

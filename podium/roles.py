@@ -76,6 +76,8 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "c_custkey * 10000 + 1994 AS event_id",
             "CAST(1994 AS INT) AS period",
             "CASE WHEN c_custkey % 9 = 0 THEN 'Spring  Cup' WHEN c_custkey % 11 = 0 THEN 'Spring ##' ELSE 'Spring Cup' END AS event_name",
+            "CASE WHEN c_custkey % 3 = 0 THEN 'tns' ELSE 'trophy' END AS event_type",
+            "CASE c_custkey % 4 WHEN 0 THEN 'june' WHEN 1 THEN 'july' WHEN 2 THEN 'may' END AS series_month",
             "CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey % 3 AS INT) END AS entries",
             "CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey % 2 AS INT) END AS races_sailed",
             "CASE WHEN c_custkey % 6 < 3 THEN 'as-of' WHEN c_custkey % 6 = 3 THEN 'final' END AS publication_status",
