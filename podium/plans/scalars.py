@@ -376,11 +376,11 @@ def _(t):
 @query(
     "X30_rate_ratio",
     f"""SELECT obs_date_s, coalesce({q.pct('calm', 'n', 3)}, 0e0) AS calm_rate FROM (
-        SELECT strftime(obs_date, '%Y-%m-%d') AS obs_date_s, count(*) FILTER (speed_c <= 500) AS calm,
+        SELECT day AS obs_date_s, count(*) FILTER (speed_c <= 500) AS calm,
             count(*) FILTER (kind = 'view') AS n FROM observations GROUP BY 1)""",
 )
 def _(t):
-    days = t.observations.groupBy(F.date_format("obs_date", "yyyy-MM-dd").alias("obs_date_s")).agg(
+    days = t.observations.groupBy(C("day").alias("obs_date_s")).agg(
         F.count(F.when(C("speed_c") <= 500, 1)).alias("calm"), F.count(F.when(C("kind") == "view", 1)).alias("n")
     )
     return days.select("obs_date_s", scoring.rate3("calm", "n").alias("calm_rate"))
