@@ -94,12 +94,15 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
         "conv_id",
         F.struct(
             F.col("turn"),
-            escape(F.col("role").cast("string")).alias("role"),
-            escape(F.col("text").cast("string")).alias("text"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("said"),
     )
+    # ties are settled by the texts as they are, so they are escaped once they are in order
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
-    parts = sorted_turns.select("conv_id", pieces(merged(F.col("turns")), escape_value(trained_role)).alias("parts"))
+    escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    parts = sorted_turns.select("conv_id", escaped.alias("turns"))
+    parts = parts.select("conv_id", pieces(merged(F.col("turns")), escape_value(trained_role)).alias("parts"))
     return parts.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"),

@@ -54,3 +54,9 @@ def test_no_rows(spark):
 def test_main_path_has_no_python(spark):
     plan = chat.read_back(conversation(spark, [(1, 0, "user", "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_ties_are_settled_by_the_texts_as_they_are(spark):
+    rows = [(1, 0, "user", text) for text in ("<b", "<|a", "<]", "[INST]", "[A", "\\")]
+    back = chat.read_back(conversation(spark, rows)).first()
+    assert [t["text"] for t in back["turns"]] == sorted(text for *_, text in rows)
