@@ -1,4 +1,4 @@
-"""Event scope, canonical groups, completeness and season marts."""
+"""Event scope, canonical groups, completeness and season marts."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Leaderboards, roll-ups, cohorts and top-k."""
+"""Leaderboards, roll-ups, cohorts and top-k."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Loads, documents, search, audits and marts."""
+"""Loads, documents, search and marts."""
 
 from __future__ import annotations
 

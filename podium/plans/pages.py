@@ -1,4 +1,4 @@
-"""Page and table extraction."""
+"""Page and table extraction (H01-H17, S01, S02, S14, S15, C09), on one site of given and written pages."""
 
 from __future__ import annotations
 
