@@ -180,3 +180,13 @@ def test_incremental_loads(spark, tmp_path):
     assert load("1.json", [{"day": "a", "speed": 9}, {"day": "b", "speed": 2}]) == {"a": 9, "b": 2}
     assert load("2.json", [{"day": "a", "speed": 5}]) == {"a": 5, "b": 2}
     assert spark.read.parquet(target).count() == 3
+
+
+def test_page_class_works_out_each_text_once(spark):
+    df = spark.createDataFrame([("a.htm", 2000, "<!-- Points --><table><tr><td>Elapsed</td></tr></table>"), ("b.htm", 2000, "<p>Schedule</p>"), ("c.htm", 2000, None)],
+                               "path string, year int, html string")
+    got = df.select("path", pages.page_class("html", "path", "year").alias("c"))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?s)<!--.*?-->,") == 1  # comments are removed for all rules together
+    assert plan.count("(?is)(<table") == 1  # the words of all tables are looked for in one text
+    assert {r["path"]: r["c"] for r in got.collect()} == {"a.htm": "legacy-result", "b.htm": "non-result-html", "c.htm": "unknown"}
