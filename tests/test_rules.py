@@ -160,3 +160,13 @@ def test_high_low_by_turns(spark):
     rows = frame(spark, "day int, hour int, h long", [(1, 2, 10), (1, 8, 200), (1, 14, 20), (2, 3, 300), (2, 9, 10), (3, 5, 150)])
     got = {(r["day"], r["hour"]): r["label"] for r in history.high_low(rows, ["day"], "hour", "h", 100).collect()}
     assert got == {(1, 2): "low", (1, 8): "high", (1, 14): "low", (2, 3): "high", (2, 9): "low", (3, 5): "high"}
+
+
+def test_event_metrics_send_the_entries_once(spark):
+    rows = [(1, 2000, 7), (1, 2000, 8), (2, 2000, 7), (3, 2001, 7), (4, None, 8), (4, 2001, None), (4, 2001, 9)]
+    entries = spark.createDataFrame(rows, "event_id long, period int, participant_id long")
+    people = spark.createDataFrame([(7, "helm"), (8, "boat"), (None, "boat")], "participant_id long, participant_type string")
+    got = ev.event_metrics(entries, people)
+    assert got._jdf.queryExecution().analyzed().toString().count("Join ") == 1  # with the people only
+    found = {r["event_id"]: (r["participants"], r["helms"], r["boats"], r["oneoffs"]) for r in got.collect()}
+    assert found == {1: (2, 1, 1, 1), 2: (1, 1, 0, 0), 3: (1, 1, 0, 1)}
