@@ -317,6 +317,11 @@ def logical_races(t, members):
     return named.withColumn("race_id", F.min("contest_id").over(race))
 
 
+def gathered(listed: DataFrame) -> DataFrame:
+    """Entries of each race by subpart, dealt out by race as a join with the races needs them, so that they are sent once."""
+    return listed.repartition("race_id").groupBy("race_id", "subpart").agg(F.array_sort(F.collect_list("e")).alias("results"))
+
+
 def race_documents(t, members):
     """Races with their results, weather and readings: RACES_PER_DOC races and as many places of each as an entry holds."""
     contests = logical_races(t, members)
@@ -328,7 +333,7 @@ def race_documents(t, members):
                      times.clock("elapsed_s").alias("elapsed_time"), "points", "status")
     subpart = F.floor((C("rank") - 1) / ENTRIES_PER_DOC).cast("int").alias("subpart")
     listed = first.join(people(t), "entity_id").join(boats, "boat_id").select("race_id", subpart, entry.alias("e"))
-    results = listed.groupBy("race_id", "subpart").agg(F.array_sort(F.collect_list("e")).alias("results"))
+    results = gathered(listed)
     races = contests.where("contest_id = race_id")
     races = races.withColumn("number", F.coalesce("contest_no", F.lit(999))).withColumn("key", F.coalesce("contest_key", F.lit("")))
     races = rank_within(races, ["doc_id"], "number", [C("key"), C("race_id")], out="place", hot=hot_events(t), hot_on=["event_id"])
