@@ -100,3 +100,44 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 def test_ranking_shares_its_shuffle_with_the_join(spark):
     text = plan(spark, "J01_star_join") + plan(spark, "W14_first_winner_per_period")
     assert "hashpartitioning(contest_id" in text
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_read_the_marked_events_once(spark):
+    """Marks are worked out once for an event, not again for each use or for each contest of a series."""
+    from podium.plans import events
+    from podium.roles import Tables
+
+    plan = _plan(events.groups(Tables(spark, SF_DIR)))
+    assert "marked-" in plan and "orders.parquet" not in plan and "lineitem.parquet" not in plan
+
+
+def test_entries_of_metrics_are_dealt_once(spark):
+    """From the entries to the counts of an event, rows are dealt by participant, then by event, and by nothing else."""
+    import re
+
+    from podium.plans import events
+    from podium.roles import Tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(events.metrics(Tables(spark, SF_DIR)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)
+    keys = [re.sub(r"#\d+L?", "", k) for k in dealt]
+    assert sorted(keys) == ["contest_id", "contest_id", "event_id", "participant_id", "participant_id"]
+
+
+def test_season_facts_of_the_wanted_kinds(spark):
+    from podium.plans import marts
+    from podium.roles import Tables
+
+    t = Tables(spark, SF_DIR)
+    wanted = ("entity", "contest", "night")
+    rows = {r for r in marts.season_facts(t).collect() if r["kind"] in wanted}
+    assert rows and rows == set(marts.season_facts(t, wanted).collect())
