@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import prepare, map_texts
+from podium.llm.common import prepare, map_texts, tidy
 from podium.llm.features import frequencies
 from podium.llm.toxicity import sampled_texts
 
@@ -113,18 +113,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
 
     def reduce(batches):
         for batch in batches:
-            rows = [features(t) for t in batch.column(0).to_pylist()]
-            at = [np.flatnonzero(r) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([a.tolist() for a in at], pa.list_(pa.int16())),
-                    pa.array([r[a].tolist() for r, a in zip(rows, at, strict=True)], pa.list_(pa.float32())),
-                    batch.column(1),
-                ],
-                names=["at", "value", "y"],
-            )
-
-    rows = sampled_texts(docs, sample).mapInArrow(reduce, "at array<smallint>, value array<float>, y int").toArrow()
+            at, values = [], []
+            for text in batch.column(0):
+                row = features(text.as_py())
+                at.append(np.flatnonzero(row).astype(np.int16))
+                values.append(row[at[-1]])
+            ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate([*x, np.empty(0, kind)])) for x, kind in ((at, np.int16), (values, np.float32))]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], names=["at", "value", "y"])
+
+    rows = sampled_texts(docs, sample).mapInArrow(tidy(reduce), "at array<smallint>, value array<float>, y int").toArrow()
     y = np.searchsorted(grades, rows.column("y").to_numpy())
     if len(np.unique(y)) < 2:
         return None
@@ -161,9 +159,13 @@ def keep_good(docs: DataFrame, model: Model | None, good: int = 1) -> DataFrame:
         return docs
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def selected(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @tidy
+    def verdicts(texts):
         for part in texts:
             yield pd.Series([model.tail(model.tails(t or ""), good) >= SELECT for t in part], dtype=bool)
 
+    @F.pandas_udf("boolean")
+    def selected(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from verdicts(texts)
+
     return docs.where(selected(F.col("text").cast("string")))

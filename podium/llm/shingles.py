@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import bit_map, bit_of, cut, map_texts, on_bits, on_map, prepare
+from podium.llm.common import bit_map, bit_of, cut, map_texts, on_bits, on_map, prepare, tidy
 from podium.llm.components import components
 from podium.llm.windows import mix, prefix_sums, span_hash
 
@@ -38,6 +38,8 @@ FACTORS = np.random.default_rng(80).integers(0, 1 << 63, (BANDS * ROWS, 1), dtyp
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Shingles hashed at once, and taken into the minima at once.
 CHUNK, BLOCK = 1 << 16, 1 << 9
+#: Bytes of whole sets after which a batch is sent on.
+SENT = 1 << 20
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -96,23 +98,30 @@ def whole_sets(docs: DataFrame, shingle: int, classes: DataFrame, wanted: DataFr
     chosen = classes.join(wanted, "node", "left_semi").where("first IS NOT NULL").select(F.col("first").alias("doc_id"))
     shared = bit_map(chosen, "doc_id")
 
+    def as_batch(found):
+        nodes, datas = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(datas, pa.binary())], names=["node", "shingles"])
+
     def run(batches):
         sent = set()
         for batch in batches:
             at, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             hit = on_bits(shared.value, at) | batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            found = []
+            found, held = [], 0
             for text in batch.column(2).filter(pa.array(hit)):
                 data = shingle_set(text.as_py() or "", shingle).tobytes()
                 if (node := set_number(data)) not in sent:
                     sent.add(node)
                     found.append((node, data))
+                    held += len(data)
+                if held > SENT:
+                    yield as_batch(found)
+                    found, held = [], 0
             if found:
-                nodes, datas = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(datas, pa.binary())], names=["node", "shingles"])
+                yield as_batch(found)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(bit_of("doc_id"), "doc_id", "text")
-    made = own.mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi")
+    made = own.mapInArrow(tidy(run), "node long, shingles binary").join(wanted, "node", "left_semi")
     return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "whole")
 
 
@@ -138,7 +147,7 @@ def similar(pairs: DataFrame, whole: DataFrame, classes: DataFrame, least: tuple
             keep = [near(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "similar")
+    return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long"), "similar")
 
 
 def class_labels(docs: DataFrame, shingle: int, found: DataFrame, classes: DataFrame, grouped: DataFrame, least: tuple[int, int]) -> DataFrame:

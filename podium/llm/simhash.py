@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm import golay, shingles
-from podium.llm.common import cut, map_texts, on_map
+from podium.llm.common import cut, map_texts, on_map, tidy
 from podium.llm.components import components
 
 MAX_BITS = 4
@@ -109,7 +109,7 @@ def keyed(classes: DataFrame) -> DataFrame:
             at, keys = golay_keys(np.ascontiguousarray(fps))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps[at], pa.int64())], names=["key", "fp"])
 
-    return classes.select("fp").mapInArrow(run, "key long, fp long")
+    return classes.select("fp").mapInArrow(tidy(run), "key long, fp long")
 
 
 def near(a: str, b: str):

@@ -73,3 +73,34 @@ def test_odd_rows_pass_all_stages(spark, empty):
         assert after.count() <= docs.count()
         assert (after.count() == 0) == empty
         docs = after
+
+
+def test_workers_give_memory_back(spark):
+    """What a stage took and freed is no part of its worker when the next one begins."""
+    import pyarrow as pa
+
+    from podium.llm.common import prepare, tidy
+
+    def fill(batches):
+        for batch in batches:
+            # small pieces, the last one of which keeps the top of the heap
+            held = [bytes(60_000) for _ in range(4_000)]
+            kept.append(bytes(60_000))
+            del held
+            yield batch
+
+    def size(batches):
+        import re
+
+        for _ in batches:
+            text = open("/proc/self/smaps_rollup").read()
+            yield pa.RecordBatch.from_arrays([pa.array([int(re.search(r"\nAnonymous:\s+(\d+)", text)[1]) // 1024])], names=["mb"])
+
+    def grown(run):
+        list(run(iter([1])))
+        return next(size(iter([1]))).column(0)[0].as_py()
+
+    kept = []
+    prepare(spark)
+    before = grown(lambda batches: batches)
+    assert grown(tidy(fill)) - before < 60
