@@ -29,13 +29,13 @@ from podium.llm.common import Held, prepare
 #: A vocabulary file above this is not sent along.
 MAX_VOCABULARY = 64 << 20
 #: Distinct words kept in a cache's younger half; when it is full, it becomes the older half, which is dropped.
-CACHE = 150_000
+CACHE = 300_000
 #: Ids of one text that are decoded as one stretch.
 STRETCH = 4_096
 #: Words solved by one recursive query, and the bytes from which a word is long.
 TOGETHER, LONG = 20_000, 32
 #: Characters of text encoded together.
-PART = 1 << 20
+PART = 2 << 20
 
 SHORT_WORDS = """
 WITH RECURSIVE step(w, toks) AS (

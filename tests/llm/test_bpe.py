@@ -75,3 +75,15 @@ def test_what_a_worker_holds_goes_after_its_last_use(monkeypatch):
     held.give_back("a")
     time.sleep(0.4)
     assert held.take("a") is not first and made == ["a", "a"]
+
+
+def test_words_stay_known_between_many_others(monkeypatch):
+    own = bpe.Coder(vocabulary())
+    solved = []
+    monkeypatch.setattr(own, "solve", lambda words, sql: solved.extend(words) or [b""] * len(words))
+    few = {f"qzx{k}q" for k in range(100)}
+    for words in (few, {f"zq{k}x" for k in range(160_000)}, {f"xq{k}z" for k in range(160_000)}):
+        own.learn(words)
+    solved.clear()
+    own.learn(few)
+    assert not solved
