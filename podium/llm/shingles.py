@@ -12,8 +12,10 @@ sets of 64-bit hashes, which are written for candidates only.
 
 Groups, as in operator 6: a bucket of two is one candidate pair; in a larger one members are compared with the smallest
 member, then, where several components are left, with another centre, at last the members outside the largest component
-with the members of all other components. So a large group costs comparisons in proportion to its members, and no link
-between different components is lost. Classes that are in one component already are not compared again.
+with the members of all other components. Of these, a pair's sets are fetched only where it can be near: shingles that no
+other component holds can't be common, nor those whose bit another class's map lacks (``held``). Both are bounds, not guesses,
+so no link between different components is lost. Families whose members lie below the similarity mostly fall to them.
+Classes that are in one component already are not compared again.
 
 A null text counts as empty. Rows without doc_id take part like others; a class's ``first`` is null if all its rows lack one.
 """
@@ -24,7 +26,7 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import bit_map, bit_of, cut, map_texts, on_bits, on_map, prepare, tidy
@@ -38,6 +40,10 @@ FACTORS = np.random.default_rng(80).integers(0, 1 << 63, (BANDS * ROWS, 1), dtyp
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Shingles hashed at once, and taken into the minima at once.
 CHUNK, BLOCK = 1 << 16, 1 << 9
+#: Rounds in which a large bucket's members meet one member of its largest component.
+CENTRES = 1
+#: Bits that stand for a class's shingles where pairs are chosen.
+MARKS = 1 << 10
 #: Bytes of whole sets after which a batch is sent on.
 SENT = 1 << 20
 
@@ -150,6 +156,72 @@ def similar(pairs: DataFrame, whole: DataFrame, classes: DataFrame, least: tuple
     return cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long"), "similar")
 
 
+def held(wanted: DataFrame, whole: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(node, size, shared, marks) of the wanted classes (node, label) that may link with one of another component.
+
+    ``shared`` is the number of a class's shingles that wanted classes of other components hold too. Two such classes have
+    at most the lesser of their numbers in common; a class whose own number falls short of its size links with none.
+    ``marks`` has a bit set for each shingle's hash, by MARKS bits in 64-bit words: as many shingles as one map has bits that
+    another has not, at least, stand in the one class alone.
+    """
+    up, down = least
+
+    def run(batches):
+        for batch in batches:
+            for node, label, data in zip(*batch.columns, strict=True):
+                hashes = np.frombuffer(data.as_py(), np.int64)
+                for at in range(0, len(hashes), CHUNK):
+                    part = pa.array(hashes[at : at + CHUNK])
+                    yield pa.RecordBatch.from_arrays([part, *(pa.repeat(x, len(part)) for x in (node, label))], names=["hash", "node", "label"])
+
+    sets = cut(whole.join(wanted.select("node", "label").distinct(), "node").select("node", "label", "shingles"), "contested")
+    rows = sets.mapInArrow(tidy(run), "hash long, node long, label long")
+    own = rows.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high").select("hash")
+    alone = rows.select("hash", "node").join(own, "hash", "left_semi").groupBy("node").agg(F.count("*").alias("alone"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    found = sets.join(alone, "node", "left").withColumn("size", size)
+    found = found.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "shingles")
+    found = found.where(F.col("shared") * down >= F.col("size") * up)
+
+    def mark(batches):
+        for batch in batches:
+            rows = []
+            for data in batch.column(3):
+                bits = np.zeros(MARKS, bool)
+                bits[np.frombuffer(data.as_py(), np.uint64) % np.uint64(MARKS)] = True
+                rows.append(np.packbits(bits, bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int64()))], names=["node", "size", "shared", "marks"])
+
+    return cut(found.mapInArrow(tidy(mark), "node long, size long, shared long, marks array<long>"), "held")
+
+
+def only(one: str, other: str) -> Column:
+    """How many bits the map ``one`` has that ``other`` has not."""
+    both = F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(both, F.lit(0), lambda total, x: total + x)
+
+
+def between(mixed: DataFrame, whole: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b) of the pairs of different components of a bucket that may be near, each pair once.
+
+    ``mixed`` has (key, node, label, main): the buckets' members, and the label of the bucket's largest component.
+    """
+    up, down = least
+    mixed = cut(mixed.select("key", "node", "label", "main"), "mixed")
+    mixed = cut(mixed.join(held(mixed, whole, least), "node"), "mixed")
+    buckets = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    mixed = cut(mixed.join(buckets, "node"), "mixed")
+    a, b = (mixed.select("key", *[F.col(c).alias(f"{c}_{end}") for c in mixed.columns if c != "key"]) for end in "ab")
+    pairs = a.where("label_a <> main_a").join(b, "key")
+    # both ends outside the largest component: such a pair is met from either end
+    pairs = pairs.where("label_a <> label_b and (label_b = main_b or node_a < node_b)")
+    common = [F.col("shared_a"), F.col("shared_b"), *(F.col(f"size_{x}") - only(f"marks_{x}", f"marks_{y}") for x, y in ("ab", "ba"))]
+    for most in common:
+        pairs = pairs.where(most * (up + down) >= (F.col("size_a") + F.col("size_b")) * up)
+    first = F.array_min(F.array_intersect("keys_a", "keys_b"))
+    return pairs.where(F.col("key") == first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def class_labels(docs: DataFrame, shingle: int, found: DataFrame, classes: DataFrame, grouped: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(node, label) of the classes that link with another one.
 
@@ -182,23 +254,21 @@ def class_labels(docs: DataFrame, shingle: int, found: DataFrame, classes: DataF
     logging.info("links from Golay keys: %d, from bands besides: %d", links.count(), banded.count())
     links = links.union(banded)
     labels = components(links)
-    for everyone in (False, True):
+    for number in range(CENTRES + 1):
         # in the larger buckets, components that may still touch
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         placed = cut(placed, "placed")
-        parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("node").alias("last"))
-        parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label", "last")).alias("most"))
-        parts = cut(parts.where("parts > 1").select("key", F.col("most.label").alias("main"), F.col("most.last").alias("centre")), "parts")
+        chance = F.struct(F.xxhash64("node", F.lit(number)), "node")
+        parts = placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.max(chance)["node"].alias("one"))
+        parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label", "one")).alias("most"))
+        parts = cut(parts.where("parts > 1").select("key", F.col("most.label").alias("main"), F.col("most.one").alias("centre")), "parts")
         if parts.isEmpty():
             break
         mixed = placed.join(parts, "key")
-        few = mixed.where("label <> main")
-        if everyone:
-            mixed = cut(mixed.select("key", F.col("node").alias("b"), F.col("label").alias("of_b")), "mixed")
-            few = few.select("key", F.col("node").alias("a"), F.col("label").alias("of_a"))
-            pairs = few.join(mixed, "key").where("of_a <> of_b").select("a", "b")
+        if number < CENTRES:
+            pairs = mixed.where("label <> main").select(F.col("node").alias("a"), F.col("centre").alias("b"))
         else:
-            pairs = few.select(F.col("node").alias("a"), F.col("centre").alias("b"))
+            pairs = between(mixed, whole, least)
         more = similar(pairs, whole, classes, least)
         if not more.isEmpty():
             links = links.union(more)
