@@ -105,14 +105,48 @@ def by_batch(rows: DataFrame, batches: int) -> list[DataFrame]:
     return [rows.where(part == k) for k in range(batches)] if batches > 1 else [rows]
 
 
+def text_runs(rows: DataFrame) -> DataFrame:
+    """(first, run, did, th, places): the suffixes of each text, those of equal runs in one row with ascending places."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            size = 0
+            for did, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, whole, lo, hi, _ = windows.anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), LENGTH)
+                order = np.lexsort((lo, whole, first))
+                first, whole, place = first[order], whole[order], (lo * MORE + (hi - lo))[order]
+                begin = np.flatnonzero((first[1:] != first[:-1]) | (whole[1:] != whole[:-1])) + 1
+                begin = np.concatenate([np.zeros(min(len(first), 1), np.int64), begin])
+                for part, values in zip(out, (first[begin].view(np.int64), whole[begin].view(np.int64), np.full(len(begin), th, np.int64)), strict=False):
+                    part.append(values)
+                out[3].append(pa.repeat(pa.scalar(did, pa.int64()), len(begin)))
+                out[4].append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)), pa.int32()), pa.array(place, pa.int64())))
+                size += len(first)
+                if size > 100_000:
+                    yield run_batch(out)
+                    out, size = [[], [], [], [], []], 0
+            if size:
+                yield run_batch(out)
+
+    prepare(rows.sparkSession)
+    return rows.mapInArrow(run, "first long, run long, did long, th long, places array<long>")
+
+
+def run_batch(parts) -> pa.RecordBatch:
+    first, whole, th = (pa.array(np.concatenate(p), pa.int64()) for p in parts[:3])
+    did, places = map(pa.concat_arrays, parts[3:])
+    return pa.RecordBatch.from_arrays([first, whole, did, th, places], names=["first", "run", "did", "th", "places"])
+
+
 def candidates(rows: DataFrame, batches: int) -> DataFrame:
-    """The suffixes whose first bytes stand twice in all of rows."""
+    """The suffixes whose first bytes stand twice in all of rows, one row for each text and run."""
     family, twice = Family(), None
     for batch in by_batch(rows, batches):
         found = family.add(suffixes(batch))
         twice = found if twice is None else twice.union(found)
     twice = cut(twice.distinct(), "twice") if batches > 1 else twice
-    return cut(suffixes(rows).join(twice, "first", "left_semi"), "candidates")
+    return cut(text_runs(rows).join(twice, "first", "left_semi"), "candidates")
 
 
 def place_parts() -> list[Column]:
@@ -213,9 +247,13 @@ def span_batch(rows) -> pa.RecordBatch:
 
 
 def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(did, th, start, end): byte spans that cover just the bytes of strings of LENGTH bytes that stand elsewhere."""
+    """(did, th, places): byte spans that cover just the bytes of strings of LENGTH bytes that stand elsewhere.
+
+    A span begins at the place's window start and goes to the end of the last of its further windows.
+    """
     found = candidates(rows, batches)
-    classes = found.groupBy("first", "run").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "place")).alias("one"))
+    one = F.min(F.struct("did", "th", F.element_at("places", 1).alias("place"))).alias("one")
+    classes = found.groupBy("first", "run").agg(F.sum(F.size("places")).alias("n"), one)
     classes = cut(classes.select("first", "run", "n", "one.did", "one.th", "one.place"), "runs")
     starts = classes.groupBy("first").agg(F.count("*").alias("runs"), F.min("n").alias("fewest"))
     # starts with different runs of which one at least stands alone
@@ -224,15 +262,20 @@ def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     wanted = cut(classes.join(starts.select("first", cells), "first").select("first", "cells", "did", "th", *place_parts()), "wanted")
     alone = cut(compared(run_bytes(rows, wanted)), "shared")
     repeated = cut(classes.where("n > 1").select("first", "run"), "repeated")
-    whole = found.join(repeated, ["first", "run"]).select("did", "th", *place_parts())
-    whole = whole.select("did", "th", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + LENGTH).alias("end"))
-    return whole.unionByName(alone)
+    whole = found.join(repeated, ["first", "run"], "left_semi").select("did", "th", "places")
+    place = F.col("start").cast("long") * MORE + (F.col("end") - F.col("start") - LENGTH)
+    return whole.unionByName(alone.select("did", "th", F.array(place).alias("places")))
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
-    """(did, th, starts, ends): the spans of each text in one row."""
-    both = F.struct("start", "end")
-    return spans.groupBy("did", "th").agg(F.array_sort(F.collect_set(both)).alias("spans"))
+    """(did, th, spans): the spans (start, end) of each text in one row, sorted."""
+    places = spans.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"))
+
+    def span(place):
+        start = F.shiftright(place, 8)
+        return F.struct(start.cast("int").alias("start"), (start + F.pmod(place, F.lit(MORE)) + LENGTH).cast("int").alias("end"))
+
+    return places.select("did", "th", F.transform("places", span).alias("spans"))
 
 
 def union_of(spans) -> list[tuple[int, int]]:

@@ -112,3 +112,25 @@ def test_texts_under_one_doc_id_whose_hashes_begin_alike(spark, docs_of):
         assert {r["n_removed"] for r in got.values()} == {len(one)}
         left = suffixes.without_repeats(docs_of([(key, one), (key, two), (9, one)])).collect()
         assert sorted(r["text"] for r in left) == ["", "", two]
+
+
+def test_a_line_that_stands_often_in_each_text_is_one_row_for_each(spark, docs_of, prose):
+    line = prose(60) + "\n"
+    texts = [line * 9 + prose(40 + k) + line * 4 for k in range(12)] + [prose(90), line[7:], None]
+    rows = suffixes.keyed(docs_of(texts))
+    found = suffixes.candidates(rows, 2)
+    assert found.select("first", "run", "did", "th").distinct().count() == found.count()
+    every = suffixes.suffixes(rows).join(found.select("first").distinct(), "first", "left_semi")
+    places = found.select("first", "run", "did", "th", F.explode("places").alias("place"))
+    assert places.exceptAll(every.select(*places.columns)).count() == every.select(*places.columns).exceptAll(places).count() == 0
+    whole = suffixes.repeated_spans(rows)
+    assert whole.select("did", "th", "places").count() < every.count() / 2
+    check(suffixes.digests(docs_of(texts)).orderBy("doc_id").collect(), texts)
+
+
+def test_many_rows_of_one_id_and_text_are_spans_of_one_text(docs_of, prose):
+    text = prose(100)
+    docs = docs_of([(None, text)] * 300 + [(4, prose(50))])
+    spans = suffixes.joined_spans(suffixes.repeated_spans(suffixes.keyed(docs))).collect()
+    assert len(spans) == 1 and len({tuple(s) for s in spans[0]["spans"]}) == len(spans[0]["spans"])
+    assert suffixes.union_of(spans[0]["spans"]) == [(0, len(text))]
