@@ -280,14 +280,17 @@ def hot_events(t, column: str = "event_id"):
 
 
 def standings(t):
-    """(event_id, scope, entity_id, rank, points, best): standings of every event by points, ranked within their scope."""
+    """(event_id, scope, entity_id, rank, points, best): standings of every event by points, ranked within their scope.
+
+    Without hot events the results are dealt by event once, which both the sums and the ranks need.
+    """
     scope = F.when(C("entity_id") % 3 == 0, "overall").otherwise("a_fleet").alias("scope")
-    summed = (
-        t.ranked.join(t.contest_headers.select("contest_id", "event_id"), "contest_id")
-        .groupBy("event_id", scope, "entity_id")
-        .agg(F.sum("points").alias("points"), F.min("rank").alias("best"))
-    )
-    return rank_within(summed, ["event_id", "scope"], "points", [C("entity_id")], hot=hot_events(t), hot_on=["event_id"])
+    hot = hot_events(t)
+    entered = t.ranked.join(t.contest_headers.select("contest_id", "event_id"), "contest_id")
+    entered = entered.select("event_id", scope, "entity_id", "points", "rank")
+    dealt = entered if hot else entered.repartition("event_id")
+    summed = dealt.groupBy("event_id", "scope", "entity_id").agg(F.sum("points").alias("points"), F.min("rank").alias("best"))
+    return rank_within(summed, ["event_id", "scope"], "points", [C("entity_id")], hot=hot, hot_on=["event_id"])
 
 
 STANDINGS = """st AS (SELECT event_id, CASE WHEN entity_id % 3 = 0 THEN 'overall' ELSE 'a_fleet' END AS scope, entity_id, CAST(sum(points) AS BIGINT) AS points, min(rank) AS best FROM star GROUP BY ALL),
@@ -317,36 +320,81 @@ def logical_races(t, members):
     return named.withColumn("race_id", F.min("contest_id").over(race))
 
 
-def gathered(listed: DataFrame) -> DataFrame:
-    """Entries of each race by subpart, dealt out by race as a join with the races needs them, so that they are sent once."""
-    return listed.repartition("race_id").groupBy("race_id", "subpart").agg(F.array_sort(F.collect_list("e")).alias("results"))
+def gathered(listed: DataFrame, *more, race=("race_id",), dealt: bool = False) -> DataFrame:
+    """Entries of each race by subpart, dealt out by race as a join with the races needs them, so that they are sent once.
 
+    Entries that are ``dealt`` out already, with no race in two tasks, stay where they are.
+    """
+    rows = listed if dealt else listed.repartition(*race)
+    return rows.groupBy(*race, "subpart").agg(F.array_sort(F.collect_list("e")).alias("results"), *more)
 
-def race_documents(t, members):
-    """Races with their results, weather and readings: RACES_PER_DOC races and as many places of each as an entry holds."""
-    contests = logical_races(t, members)
-    rows = t.ranked.join(contests.select("contest_id", "race_id"), "contest_id")
-    rows = rows.select("race_id", "entity_id", "contest_id", "rank", "boat_id", "line_no", "rating", "elapsed_s", "points", "status")
-    first = keep_first(rows, ["race_id", "entity_id"], [C("contest_id"), C("rank"), C("boat_id"), C("line_no")])
-    boats = t.boats.select("boat_id", C("name").alias("boat_name"), "raw_class")
-    entry = F.struct("rank", "entity_id", "display_name", "participant_type", "boat_id", "boat_name", "raw_class", C("rating").alias("phrf_rating"),
-                     times.clock("elapsed_s").alias("elapsed_time"), "points", "status")
-    subpart = F.floor((C("rank") - 1) / ENTRIES_PER_DOC).cast("int").alias("subpart")
-    listed = first.join(people(t), "entity_id").join(boats, "boat_id").select("race_id", subpart, entry.alias("e"))
-    results = gathered(listed)
+
+def placed_races(t, contests):
+    """Races of all documents with their place and part, written once: entries are dealt by them, and documents made of them."""
     races = contests.where("contest_id = race_id")
     races = races.withColumn("number", F.coalesce("contest_no", F.lit(999))).withColumn("key", F.coalesce("contest_key", F.lit("")))
     races = rank_within(races, ["doc_id"], "number", [C("key"), C("race_id")], out="place", hot=hot_events(t), hot_on=["event_id"])
+    part = F.floor((C("place") - 1) / RACES_PER_DOC).cast("int").alias("part")
+    return shared_table(races.select("doc_id", part, "place", "race_id", "contest_no", "contest_key", "day", "start_hour", "distance_nm"), "races")
+
+
+def dealt_entries(t, contests, races):
+    """Entries of every race with all the names of their participant and boat, and the races themselves, by document part.
+
+    Names are added before and weather after this, so that entries are sent once and no more than this. A participant or boat
+    that is listed twice gives an entry twice, so names come as arrays.
+    """
+    place = contests.select("contest_id", "race_id").join(races.select("race_id", "doc_id", "part", "place"), "race_id").drop("race_id")
+    named = people(t).groupBy("entity_id").agg(F.collect_list(F.struct("display_name", "participant_type")).alias("people"))
+    boats = t.boats.groupBy("boat_id").agg(F.collect_list(F.struct(C("name").alias("boat_name"), "raw_class")).alias("boats"))
+    rows = t.ranked.join(place, "contest_id").join(named, "entity_id").join(boats, "boat_id", "left")
+    rows = rows.select("doc_id", "part", "place", "entity_id", "contest_id", "rank", "boat_id", "line_no", "rating", "elapsed_s", "points", "status", "people", "boats")
+    race = F.struct("race_id", "contest_no", "contest_key", "day", "start_hour", "distance_nm").alias("race")
+    return rows.unionByName(races.select("doc_id", "part", "place", race), allowMissingColumns=True).repartition("doc_id", "part")
+
+
+def race_results(dealt: DataFrame) -> DataFrame:
+    """(doc_id, part, place, race, subpart, results): entries of each race by subpart, first ones of a participant only.
+
+    ``dealt`` holds entries and, without a participant, the race of each place. A race without entries has one empty subpart. No
+    row leaves its document part.
+    """
+    keys = ["doc_id", "part", "place"]
+    order = F.struct("contest_id", "rank", "boat_id", "line_no")
+    rest = F.struct("rating", "elapsed_s", "points", "status", "people", "boats")
+    first = dealt.groupBy(*keys, "entity_id").agg(F.min(F.struct(order.alias("o"), rest.alias("v"))).alias("m"), F.min("race").alias("race"))
+
+    def entry(person, boat):
+        return F.struct(
+            C("m.o.rank").alias("rank"), "entity_id", person["display_name"].alias("display_name"), person["participant_type"].alias("participant_type"),
+            C("m.o.boat_id").alias("boat_id"), boat["boat_name"].alias("boat_name"), boat["raw_class"].alias("raw_class"), C("m.v.rating").alias("phrf_rating"),
+            times.clock("m.v.elapsed_s").alias("elapsed_time"), C("m.v.points").alias("points"), C("m.v.status").alias("status"),
+        )
+
+    entries = F.flatten(F.transform("m.v.people", lambda p: F.transform("m.v.boats", lambda b: entry(p, b))))
+    subpart = F.floor((C("m.o.rank") - 1) / ENTRIES_PER_DOC).cast("int").alias("subpart")
+    # an entry whose boat is not listed is left out
+    listed = first.where("race IS NOT NULL OR m.v.boats IS NOT NULL").select(*keys, "race", subpart, F.explode_outer(entries).alias("e"))
+    found = gathered(listed, F.min("race").alias("own"), race=keys, dealt=True)
+    one = Window.partitionBy(*keys)
+    whole = found.withColumn("race", F.min("own").over(one)).withColumn("n", F.count("*").over(one))
+    return whole.where("own IS NULL OR n = 1").select(*keys, "race", F.coalesce("subpart", F.lit(0)).alias("subpart"), "results")
+
+
+def race_documents(t, members):
+    """Races with their results, weather and readings: RACES_PER_DOC races and as many places of each as an entry holds."""
+    contests = logical_races(t, members)
+    races = placed_races(t, contests)
+    results = race_results(dealt_entries(t, contests, races)).withColumn("day", C("race.day"))
     weather = F.when(
         C("n_obs").isNotNull(),
         F.struct("temp_c", C("mean_c").alias("wind_speed"), "direction", C("gust_c").alias("gust"), "rain_mm", C("sky").alias("conditions")),
     ).alias("weather")
-    full = races.join(daily(t), "day", "left").join(levels(t), "day", "left").join(results, "race_id", "left")
-    one = F.struct("place", C("race_id").alias("id"), "contest_no", "contest_key", C("day").alias("date"), "start_hour", "distance_nm",
-                   F.coalesce("results", F.array().cast("array<struct<rank:bigint,entity_id:bigint,display_name:string,participant_type:string,boat_id:bigint,"
-                   "boat_name:string,raw_class:string,phrf_rating:int,elapsed_time:string,points:int,status:string>>")).alias("results"), weather, C("levels").alias("readings"))
-    part = F.floor((C("place") - 1) / RACES_PER_DOC).cast("int").alias("part")
-    rows = full.select("doc_id", part, F.coalesce("subpart", F.lit(0)).alias("subpart"), one.alias("e")).groupBy("doc_id", "part", "subpart")
+    # one row a day of the calendar, with 24 readings at most
+    full = results.join(F.broadcast(daily(t)), "day", "left").join(F.broadcast(levels(t)), "day", "left")
+    one = F.struct("place", C("race.race_id").alias("id"), "race.contest_no", "race.contest_key", C("day").alias("date"), "race.start_hour", "race.distance_nm",
+                   "results", weather, C("levels").alias("readings"))
+    rows = full.select("doc_id", "part", "subpart", one.alias("e")).groupBy("doc_id", "part", "subpart")
     # places are unique within a document
     whole = F.array_sort(F.collect_list("e"), lambda x, y: (x["place"] - y["place"]).cast("int"))
     return rows.agg(F.to_json(whole, JSON).alias("body")).select(C("doc_id").alias("event_id"), F.lit("races").alias("section"), "part", "subpart", "body")
