@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from podium.functions import identifiers as idn
 from podium.functions import text
-from podium.operators import events as ev
 from podium.operators.measures import count_if
 from podium.plans import dialect as q
-from podium.plans.events import STATS, event_rows
+from podium.plans.events import STATS
 from podium.plans.pages import SUFFIX
 from podium.plans.registry import BUILDERS, ORACLES, query
 from podium.sources import files
@@ -24,7 +23,7 @@ N = q.n()
 def audited_events(t):
     """All events with the counts of their races, results and standings: those sailed, and those announced."""
     none = F.lit(None)
-    sailed = ev.event_stats(event_rows(t), t.contest_headers, t.results).select(
+    sailed = t.marked.select(
         "event_id", "period", "event_name", C("contests").alias("races"), "results", "standings",
         none.cast("int").alias("entries"), none.cast("int").alias("races_sailed"), none.cast("string").alias("publication_status"),
     )

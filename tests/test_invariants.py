@@ -115,6 +115,21 @@ def test_groups_read_the_marked_events_once(spark):
     assert "marked-" in plan and "orders.parquet" not in plan and "lineitem.parquet" not in plan
 
 
+def test_marked_events_are_written_once_for_a_query(spark, monkeypatch):
+    """Groups and audits of one query read the same table of events, and its rows meet the counts without names."""
+    import re
+
+    from podium.plans import audits, events
+    from podium.roles import Tables
+
+    written = []
+    monkeypatch.setattr(events, "shared_table", lambda df, name: written.append(_plan(df)) or df)
+    t = Tables(spark, SF_DIR)
+    events.groups(t), events.groups(t), audits.audited_events(t)
+    assert len(written) == 1
+    assert re.search(r"Join \[(\w+)#", written[0])[1] == "series_id"  # the last of the joins
+
+
 def test_entries_of_metrics_are_dealt_once(spark):
     """From the entries to the counts of an event, rows are dealt by participant, then by event, and by nothing else."""
     import re
