@@ -190,3 +190,20 @@ def test_page_class_works_out_each_text_once(spark):
     assert plan.count("(?s)<!--.*?-->,") == 1  # comments are removed for all rules together
     assert plan.count("(?is)(<table") == 1  # the words of all tables are looked for in one text
     assert {r["path"]: r["c"] for r in got.collect()} == {"a.htm": "legacy-result", "b.htm": "non-result-html", "c.htm": "unknown"}
+
+
+def test_packed_files_read_the_same(spark, tmp_path):
+    df = spark.createDataFrame([(k, 2000 + k % 2, "text " * 50) for k in range(40)], "id long, period int, body string")
+    ddl = "id long, period int, body string"
+    lines, docs = str(tmp_path / "lines"), str(tmp_path / "docs")
+    files.write_json_lines(df, lines, packed=True)
+    files.append_lines(df.where("id < 2").selectExpr("'{' AS value"), lines, packed=True)
+    files.write_documents(df, docs, "period", files=2, packed=True)
+    files.write_documents(df.where("period = 2001 AND id < 9"), docs, "period", packed=True)
+    back = files.read_json_lines(spark, lines, ddl, corrupt=True)
+    rows = back.collect()
+    assert sorted(r["id"] for r in rows if r["corrupt_record"] is None) == list(range(40))
+    assert [r["corrupt_record"] for r in rows if r["corrupt_record"] is not None] == ["{", "{"]
+    assert sorted(r["id"] for r in files.read_documents(spark, docs, ddl).collect()) == sorted([*range(0, 40, 2), 1, 3, 5, 7])
+    written = [p for p in tmp_path.rglob("part-*")]
+    assert written and all(p.suffix == ".gz" for p in written)
