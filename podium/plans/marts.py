@@ -301,9 +301,15 @@ def people(t):
     return t.entities.select("entity_id", C("entity_name").alias("display_name"), "participant_type")
 
 
-def standing_documents(t, members):
-    """The first standing of each participant and scope over an event's views, in parts by rank."""
-    own = standings(t).join(members, "event_id")
+def standing_documents(t, members=None):
+    """The first standing of each participant and scope over an event's views, in parts by rank.
+
+    Without ``members`` every event has documents of its own, and the standings, dealt by event, stay where they are.
+    """
+    if members is None:
+        own = standings(t).where("event_id IS NOT NULL").withColumn("doc_id", C("event_id"))
+    else:
+        own = standings(t).join(members, "event_id")
     first = keep_first(own.select("doc_id", "scope", "entity_id", "rank", "event_id", "points", "best"), ["doc_id", "scope", "entity_id"], [C("rank"), C("event_id")])
     entry = F.struct("scope", "rank", "entity_id", "points", "best", "display_name", "participant_type")
     part = F.floor((C("rank") - 1) / ENTRIES_PER_DOC).cast("int")
@@ -472,14 +478,13 @@ DOCUMENT = "event_id long, section string, part int, subpart int, body string, v
 )
 def _(t):
     folder = fresh_folder(t.spark, "documents")
-    own = t.contest_headers.select("event_id", C("event_id").alias("doc_id")).distinct()
     periods = t.contest_headers.select("event_id", "period").distinct()
-    docs = standing_documents(t, own).join(periods, "event_id")
-    files.write_documents(docs.withColumn("version", F.lit(1)), folder, "period", files=DOCUMENT_FILES)
+    docs = standing_documents(t).join(periods, "event_id")
+    files.write_documents(docs.withColumn("version", F.lit(1)), folder, "period", files=DOCUMENT_FILES, packed=True)
     # a later run with fewer keys, and fewer documents under them, replaces what it writes and keeps the other keys
     later = files.read_documents(t.spark, folder, DOCUMENT).where("period >= 1996 AND floor(event_id / 10000) % 2 = 0")
-    files.write_documents(later.withColumn("version", F.lit(2)), f"{folder}-later", "period", files=DOCUMENT_FILES)
-    files.write_documents(files.read_documents(t.spark, f"{folder}-later", DOCUMENT), folder, "period", files=DOCUMENT_FILES)
+    files.write_documents(later.withColumn("version", F.lit(2)), f"{folder}-later", "period", files=DOCUMENT_FILES, packed=True)
+    files.write_documents(files.read_documents(t.spark, f"{folder}-later", DOCUMENT), folder, "period", files=DOCUMENT_FILES, packed=True)
     back = files.read_documents(t.spark, folder, DOCUMENT)
     entries = F.size(F.from_json("body", "array<struct<rank:bigint>>"))
     return back.groupBy("period", "version").agg(F.count_distinct("event_id").alias("documents"), F.sum(entries).cast("long").alias("entries"))

@@ -49,3 +49,17 @@ def test_entries_meet_their_race_where_they_are(spark):
         (2, 0): (12, []),
         (3, 0): (14, []),
     }
+
+
+def test_standings_of_single_events_are_dealt_once(spark):
+    """From the ranks in contests to the documents rows are dealt by event, and by nothing else."""
+    import re
+
+    load()
+    from podium.plans import marts
+    from podium.roles import Tables
+
+    plan = marts.standing_documents(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)]
+    assert sorted(set(dealt)) in (["contest_id", "event_id"], ["contest_id", "entity_id", "event_id"])
+    assert dealt.count("event_id") == 1
